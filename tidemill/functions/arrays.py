@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def decimate(series: Column, factor: int = 2, limit: int = 256) -> Column:
@@ -36,7 +37,7 @@ def padding_mask(n: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: t < n)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _interpolate(series: pd.Series) -> pd.Series:
     def fill(values):
         if values is None:

@@ -37,7 +37,7 @@ def check_parameters(
 
 def _take_share(df: DataFrame, ratio: float, hashed: Column, tie: str, keys: Sequence[str]) -> DataFrame:
     """``chosen`` on exactly ceil(ratio * n) rows per key, in hash order."""
-    wanted = df.groupBy(*keys).agg(F.ceil(F.round(F.count("*") * F.lit(ratio), 9)).cast("bigint").alias("n"))
+    wanted = df.groupBy(*keys).agg(F.ceil(F.count("*") * F.lit(ratio)).cast("bigint").alias("n"))
     return first_by_hash(df, hashed, [tie], wanted, keys)
 
 
@@ -49,19 +49,16 @@ def ratio_split(
 
     The validation ratio applies to what is left after the test rows are taken out.
     """
-    keys = [strata] if strata else []
-    ids = df.select(sample, *keys)
+    ids = df.select(sample, (F.col(strata) if strata else F.lit(0)).alias("__stratum"))
     if test_ratio:
-        drawn = _take_share(ids, test_ratio, hash32(f"{seed}-test", F.col(sample)), sample, keys or ["__all"]) if keys else (
-            _take_share(ids.withColumn("__all", F.lit(0)), test_ratio, hash32(f"{seed}-test", F.col(sample)), sample, ["__all"]).drop("__all")
-        )
+        drawn = _take_share(ids, test_ratio, hash32(f"{seed}-test", F.col(sample)), sample, ["__stratum"])
     else:
         drawn = ids.withColumn("chosen", F.lit(False))
     fold_numbers = F.explode(F.sequence(F.lit(first_fold), F.lit(folds - 1)))
     per_fold = drawn.withColumn("fold", fold_numbers)
     test = per_fold.filter("chosen").select("fold", sample, F.lit("test").alias("split"))
     rest = per_fold.filter("NOT chosen").drop("chosen")
-    val = _take_share(rest, val_ratio, hash32(f"{seed}-val", F.col("fold"), F.col(sample)), sample, ["fold", *keys])
+    val = _take_share(rest, val_ratio, hash32(f"{seed}-val", F.col("fold"), F.col(sample)), sample, ["fold", "__stratum"])
     others = val.select("fold", sample, F.when(F.col("chosen"), F.lit("val")).otherwise(F.lit("train")).alias("split"))
     return test.unionByName(others)
 
