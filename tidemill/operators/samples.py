@@ -28,8 +28,11 @@ def long_to_nested(df: DataFrame, case: str, dim: str, reading: str, value: str)
 
 def nested_to_long(df: DataFrame, case: str, dims: str = "dims") -> DataFrame:
     """Inverse of ``long_to_nested``: (case, dim_id, reading_id, value)."""
-    return df.select(case, F.posexplode(dims).alias("dim_id", "__s")).select(
-        case, "dim_id", F.posexplode("__s").alias("reading_id", "value")
+    # outer explodes: a plain one makes the optimizer repeat the expression behind ``dims`` in a size filter
+    return (
+        df.select(case, F.posexplode_outer(dims).alias("dim_id", "__s"))
+        .select(case, "dim_id", F.posexplode_outer("__s").alias("reading_id", "value"))
+        .filter("reading_id IS NOT NULL")
     )
 
 
@@ -42,9 +45,7 @@ def nested_to_steps(df: DataFrame, sample: str, dims: str = "dims", names: Seque
 def steps_to_nested(df: DataFrame, sample: str, t: str, features: Sequence[str]) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct(F.col(t).alias("__t"), *features)))
     grouped = df.groupBy(sample).agg(steps.alias("__s"))
-    return grouped.select(
-        sample, F.array(*[F.transform("__s", lambda x, c=c: x[c]) for c in features]).alias("dims")
-    )
+    return grouped.select(sample, F.array(*[F.col(f"__s.{c}") for c in features]).alias("dims"))
 
 
 def flatten_row_major(dims: Column) -> Column:
@@ -55,10 +56,9 @@ def flatten_row_major(dims: Column) -> Column:
 def pad(df: DataFrame, dims: str, max_len: int, fill: float = 0.0) -> DataFrame:
     """Clip or pad every series to ``max_len``; adds ``padding_mask`` (true = real step)."""
     n = F.size(F.get(dims, F.lit(0)))
-    return df.withColumns({
-        "padding_mask": A.padding_mask(n, max_len),
-        dims: F.transform(dims, lambda s: A.pad(s, max_len, fill)),
-    })
+    # two steps: inside a lambda, the name would be taken for the padded column of the same projection
+    masked = df.withColumn("padding_mask", A.padding_mask(n, max_len))
+    return masked.withColumn(dims, F.transform(dims, lambda s: A.pad(s, max_len, fill)))
 
 
 def repair_lengths(df: DataFrame, dims: str, limit: int = 256, factor: int = 2) -> DataFrame:
