@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.session import materialize
 from tidemill.sources.lines import empty_files, read_lines
 
 # fixed values: the header tags of a .ts file; @data opens the data part
@@ -22,47 +23,112 @@ def _clean(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", F.lower(F.trim("value"))).filter("value <> ''")
 
 
-def ts_headers(lines: DataFrame) -> DataFrame:
-    """Per file: flags, class list and the line on which the data begin. One row per file."""
-    rows = _clean(lines).filter(F.col("value").startswith("@"))
+OUTSIDE_BRACKETS = r":(?![^(]*\))"
+
+
+def ts_facts(lines: DataFrame) -> DataFrame:
+    """Per file: flags, class list, where the data begin, and the shape of the first case. One pass, one row per file."""
+    rows = _clean(lines)
     word = F.split("value", r"\s+")
+    tag = F.col("value").startswith("@")
 
-    def flag(tag: str) -> Column:
-        return F.coalesce(F.max(F.when(word[0] == tag, F.get(word, F.lit(1)) == "true")), F.lit(False))
+    def flag(name: str) -> Column:
+        return F.coalesce(F.max(F.when(word[0] == name, F.get(word, F.lit(1)) == "true")), F.lit(False))
 
-    def present(tag: str) -> Column:
-        return F.max(F.when(word[0] == tag, 1).otherwise(0)) == 1
+    def present(name: str) -> Column:
+        return F.max(F.when(word[0] == name, 1).otherwise(0)) == 1
 
-    classes = F.max(F.when(word[0] == "@classlabel", F.slice(word, 3, 100000)))
-    return rows.groupBy("file").agg(
+    def first_case(value: Column) -> Column:
+        return F.min_by(value, F.when(~tag, F.col("line_no")))
+
+    timed = F.col("timestamps")
+    labelled = (F.col("class_label") | F.col("target_label")).cast("int")
+    facts = rows.groupBy("file").agg(
         flag("@timestamps").alias("timestamps"), flag("@univariate").alias("univariate"),
         flag("@classlabel").alias("class_label"), flag("@targetlabel").alias("target_label"),
-        classes.alias("classes"),
+        F.max(F.when(word[0] == "@classlabel", F.slice(word, 3, 100000))).alias("classes"),
         F.min(F.when(word[0] == "@data", F.col("line_no"))).alias("data_line"),
+        F.min("line_no").alias("first_line"),
+        F.count_if(tag).alias("tags"), F.count_if(~tag).alias("cases"),
+        first_case(F.size(F.split("value", ":"))).alias("__plain"),
+        first_case(F.size(F.split("value", OUTSIDE_BRACKETS))).alias("__timed"),
         *[present(t).alias(f"has_{t[1:]}") for t in (*TS_TAGS, "@targetlabel")],
     )
+    complete = F.col("has_problemname") & F.col("has_timestamps") & F.col("has_univariate") & F.col("has_data") & (
+        F.col("has_classlabel") | F.col("has_targetlabel"))
+    rule = F.when(F.col("tags") == 0, "no_metadata").when(~complete, "metadata_incomplete").when(F.col("cases") == 0, "no_data")
+    return facts.select(
+        "file", "timestamps", "univariate", "class_label", "target_label", "classes", "data_line", "first_line",
+        (F.when(timed, F.col("__timed")).otherwise(F.col("__plain")) - labelled).alias("n_dims"), rule.alias("file_rule"),
+    )
 
 
-def _cases(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    known = headers.select("file", "timestamps", "class_label", "target_label", "classes", "data_line")
-    cases = _clean(lines).join(known, "file").filter("line_no > data_line")
-    cases = cases.filter(~F.col("value").startswith("@"))
-    outside_brackets = F.split("value", r":(?![^(]*\))")
-    parts = F.when(F.col("timestamps"), outside_brackets).otherwise(F.split("value", ":"))
+def _cut(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """Lines with their file's facts, cut into dimensions and label."""
+    rows = _clean(lines).join(facts, "file")
+    parts = F.when(F.col("timestamps"), F.split("value", OUTSIDE_BRACKETS)).otherwise(F.split("value", ":"))
     labelled = F.col("class_label") | F.col("target_label")
-    return cases.withColumns({"__parts": parts, "__labelled": labelled}).withColumns({
-        "__dims": F.when(F.col("__labelled"), F.slice("__parts", 1, F.size("__parts") - 1)).otherwise(F.col("__parts")),
-        "__label": F.when(F.col("__labelled"), F.trim(F.element_at("__parts", -1))),
+    return rows.withColumn("__parts", parts).withColumns({
+        "__dims": F.when(labelled, F.slice("__parts", 1, F.size("__parts") - 1)).otherwise(F.col("__parts")),
+        "__label": F.when(labelled, F.trim(F.element_at("__parts", -1))),
+        "__tag": F.col("value").startswith("@"),
     })
 
 
-def parse_ts(lines: DataFrame, target: str = "class") -> DataFrame:
+def _line_rules() -> Column:
+    """Names of the rules a line breaks."""
+    word = F.split("value", r"\s+")
+    given = F.get(word, F.lit(1))
+    booleans = word[0].isin(*TS_BOOLEAN_TAGS)
+    tokens = F.flatten(F.transform("__dims", lambda d: F.split(d, ",")))
+    unreadable = F.exists(tokens, lambda x: (F.trim(x) != "?") & (F.trim(x) != "") & F.trim(x).try_cast("double").isNull())
+    bad_tuple = F.exists("__dims", lambda d: (F.trim(d) != "") & ~F.trim(d).rlike(r"^\(.*\)$"))
+    tag_rules = F.array(
+        F.when((word[0].isin(*TS_TAGS, "@targetlabel")) & (F.col("line_no") > F.col("data_line")), "metadata_after_data"),
+        F.when(((word[0] == "@problemname") | booleans) & given.isNull(), "tag_without_value"),
+        F.when(booleans & given.isNotNull() & ~given.isin("true", "false"), "bad_boolean"),
+        F.when((word[0] == "@classlabel") & (given == "true") & (F.size(word) < 3), "classes_missing"),
+        F.when((word[0] == "@classlabel") & (given == "false") & (F.size(word) > 2), "classes_unexpected"),
+    )
+    case_rules = F.array(
+        F.when(F.size("__dims") != F.col("n_dims"), "inconsistent_dimensions"),
+        F.when(F.col("class_label") & ~F.array_contains("classes", F.col("__label")), "unknown_class"),
+        F.when(~F.col("timestamps") & unreadable, "bad_value"),
+        F.when(F.col("timestamps") & bad_tuple, "bad_tuple"),
+    )
+    is_case = ~F.col("__tag") & (F.col("line_no") > F.col("data_line"))
+    chosen = F.when(F.col("__tag"), tag_rules).when(is_case, case_rules).otherwise(F.array().cast("array<string>"))
+    return F.filter(chosen, lambda r: r.isNotNull())
+
+
+def ts_violations(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(file, line_no, rule) for everything a strict reader refuses."""
+    facts = ts_facts(lines) if facts is None else facts
+    per_line = _cut(lines, facts).select("file", "line_no", F.explode(_line_rules()).alias("rule"))
+    per_file = facts.filter("file_rule IS NOT NULL").select("file", F.col("first_line").alias("line_no"), F.col("file_rule").alias("rule"))
+    return per_line.unionByName(per_file)
+
+
+def validate_ts(spark: SparkSession, path: str, pattern: str | None = None, extension: str = ".ts") -> DataFrame:
+    found = ts_violations(read_lines(spark, path, pattern, extension))
+    empty = empty_files(spark, path, extension).select(
+        "file", F.lit(None).cast("bigint").alias("line_no"), F.lit("empty_file").alias("rule"))
+    return found.unionByName(empty)
+
+
+def parse_ts(lines: DataFrame, target: str = "class", facts: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Lines of `.ts` files to (file, case_no, dims, times, label | target).
 
     ``case_no`` counts lines from the start of the file's data. ``times`` holds the integer stamps, or
-    microseconds for dates, of timestamped files and is null otherwise. Labels are lower-cased.
+    microseconds for dates, of timestamped files and is null otherwise. Labels are lower-cased. With
+    ``strict`` a line that breaks a rule fails the job that reads it.
     """
-    cases = _cases(lines, ts_headers(lines))
+    rows = _cut(lines, ts_facts(lines) if facts is None else facts)
+    if strict:
+        rules = _line_rules()
+        message = F.concat(F.lit("invalid .ts input: "), F.col("file"), F.lit(":"), F.col("line_no").cast("string"), F.lit(" "), F.array_join(rules, ","))
+        rows = rows.filter(F.when(F.size(rules) > 0, F.raise_error(message).cast("boolean")).otherwise(True))
+    cases = rows.filter((F.col("line_no") > F.col("data_line")) & ~F.col("__tag"))
 
     def plain(d: Column) -> Column:
         return F.when(F.trim(d) == "", F.array().cast("array<double>")).otherwise(
@@ -86,63 +152,19 @@ def parse_ts(lines: DataFrame, target: str = "class") -> DataFrame:
     return cases.select("file", (F.col("line_no") - F.col("data_line") - 1).alias("case_no"), dims.alias("dims"), times.alias("times"), last)
 
 
-def ts_violations(lines: DataFrame) -> DataFrame:
-    """(file, line_no, rule) for everything a strict reader refuses."""
-    clean = _clean(lines)
-    headers = ts_headers(lines)
-    word = F.split("value", r"\s+")
-    tags = clean.filter(F.col("value").startswith("@")).join(headers.select("file", "data_line"), "file", "left")
-    known_tag = word[0].isin(*TS_TAGS, "@targetlabel")
-    booleans = word[0].isin(*TS_BOOLEAN_TAGS)
-    given = F.get(word, F.lit(1))
-    per_line = tags.select("file", "line_no", F.filter(F.array(
-        F.when(known_tag & (F.col("line_no") > F.col("data_line")), "metadata_after_data"),
-        F.when(((word[0] == "@problemname") | booleans) & given.isNull(), "tag_without_value"),
-        F.when(booleans & given.isNotNull() & ~given.isin("true", "false"), "bad_boolean"),
-        F.when((word[0] == "@classlabel") & (given == "true") & (F.size(word) < 3), "classes_missing"),
-        F.when((word[0] == "@classlabel") & (given == "false") & (F.size(word) > 2), "classes_unexpected"),
-    ), lambda r: r.isNotNull()).alias("rules"))
-    tag_rules = per_line.select("file", "line_no", F.explode("rules").alias("rule"))
-
-    complete = F.col("has_problemname") & F.col("has_timestamps") & F.col("has_univariate") & F.col("has_data") & (
-        F.col("has_classlabel") | F.col("has_targetlabel"))
-    cases = _cases(lines, headers).select("file", "line_no", "classes", "class_label", "__dims", "__label", "timestamps")
-    shape = cases.groupBy("file").agg(F.min_by(F.size("__dims"), "line_no").alias("__expected"), F.count("*").alias("__cases"))
-    whole = headers.join(shape, "file", "left").select("file", F.lit(None).cast("bigint").alias("line_no"), F.when(
-        ~complete, "metadata_incomplete").when(F.col("__cases").isNull(), "no_data").alias("rule")).filter("rule IS NOT NULL")
-
-    tokens = F.flatten(F.transform("__dims", lambda d: F.split(d, ",")))
-    unreadable = F.exists(tokens, lambda x: (F.trim(x) != "?") & (F.trim(x) != "") & F.trim(x).try_cast("double").isNull())
-    per_case = cases.join(shape, "file").select("file", "line_no", F.filter(F.array(
-        F.when(F.size("__dims") != F.col("__expected"), "inconsistent_dimensions"),
-        F.when(F.col("class_label") & ~F.array_contains("classes", F.col("__label")), "unknown_class"),
-        F.when(~F.col("timestamps") & unreadable, "bad_value"),
-        F.when(F.col("timestamps") & F.exists("__dims", lambda d: (F.trim(d) != "") & ~F.trim(d).rlike(r"^\(.*\)$")), "bad_tuple"),
-    ), lambda r: r.isNotNull()).alias("rules"))
-    bare = lines.groupBy("file").agg(F.max(F.trim("value").startswith("@").cast("int")).alias("h"), F.min("line_no").alias("line_no"))
-    headless = bare.filter("h = 0").select("file", "line_no", F.lit("no_metadata").alias("rule"))
-    return (
-        tag_rules.unionByName(whole)
-        .unionByName(per_case.select("file", "line_no", F.explode("rules").alias("rule")))
-        .unionByName(headless)
-    )
-
-
-def validate_ts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    found = ts_violations(read_lines(spark, path, pattern, ".ts"))
-    empty = empty_files(spark, path, ".ts").select("file", F.lit(None).cast("bigint").alias("line_no"), F.lit("empty_file").alias("rule"))
-    return found.unionByName(empty)
-
-
 def read_ts(spark: SparkSession, path: str, pattern: str | None = None, target: str = "class", strict: bool = True,
             extension: str = ".ts") -> DataFrame:
-    """Read `.ts` files; ``strict`` refuses invalid ones before returning."""
+    """Read `.ts` files. ``strict`` refuses files with broken headers at once and broken lines when they are read.
+
+    The text is scanned three times in all: split counts, file facts, cases.
+    """
     lines = read_lines(spark, path, pattern, extension)
+    facts = materialize(ts_facts(lines), "facts")
     if strict:
-        first = ts_violations(lines).limit(5).collect()
+        first = facts.filter("file_rule IS NOT NULL").limit(5).collect()
         if first:
-            raise ValueError("invalid .ts input: " + "; ".join(f"{r.file}:{r.line_no} {r.rule}" for r in first))
-    return parse_ts(lines, target)
+            raise ValueError("invalid .ts input: " + "; ".join(f"{r.file} {r.file_rule}" for r in first))
+    return parse_ts(lines, target, facts, strict)
 
 
 def parse_arff(lines: DataFrame, has_label: bool = True) -> DataFrame:

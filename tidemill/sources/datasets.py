@@ -44,7 +44,8 @@ def read_csv_mixed(spark: SparkSession, path: str | Sequence[str], pattern: str
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     heads = select_files(reader.text(path if isinstance(path, str) else list(path)), pattern).filter("_metadata.file_block_start = 0")
-    first = heads.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min_by("value", F.monotonically_increasing_id()).alias("head"))
+    heads = heads.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("__id"))
+    first = heads.groupBy("file").agg(F.min_by("value", "__id").alias("head"))
     groups = first.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("head").collect()
     if not groups:
         raise ValueError(f"no csv file under {path} matches {pattern!r}")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.session import materialize
+
 
 def select_files(df: DataFrame, pattern: str | None) -> DataFrame:
     """Keep the files whose path matches the unanchored ``pattern``; others are never opened."""
@@ -16,9 +18,12 @@ def select_files(df: DataFrame, pattern: str | None) -> DataFrame:
 def read_lines(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, extension: str | None = None) -> DataFrame:
     """(file, line_no, value): line numbers from 0 in each file.
 
-    Lines are numbered by their place within a file split plus the line counts of the file's earlier splits,
-    a table with one row per split; lines themselves are neither sorted nor moved.
+    A line's number is its place within a file split plus the line counts of the file's earlier splits: a
+    table with one row per split, counted once and written. Lines are neither sorted nor moved.
     """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # how files are cut must not follow the number of executors that happen to be up
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     reader = spark.read.option("recursiveFileLookup", "true")
     if extension:
         reader = reader.option("pathGlobFilter", f"*{extension}")
@@ -28,12 +33,13 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], pattern: str | No
         F.monotonically_increasing_id().alias("__id"), "value",
     )
     splits = raw.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("file", "__at", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    numbered = raw.join(offsets, ["file", "__at"])
-    return numbered.select("file", (F.col("__id") - F.col("__first") + F.col("__off")).alias("line_no"), "value")
+    offsets = materialize(
+        splits.select("file", "__at", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")), "splits")
+    numbered = raw.join(offsets, ["file", "__at"], "left")
+    line_no = F.col("__id") - F.col("__first") + F.col("__off")
+    return numbered.select(
+        "file", F.coalesce(line_no, F.raise_error(F.lit("file splits changed while reading"))).alias("line_no"), "value")
 
 
 def empty_files(spark: SparkSession, path: str | Sequence[str], extension: str | None = None) -> DataFrame:
