@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Model, Pipeline
@@ -18,7 +19,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
@@ -92,10 +93,11 @@ class AdaBoostModel:
             voted = tree.transform(votes).withColumn(f"__v{i}", F.struct(F.col("prediction").alias("c"), F.lit(alpha).alias("a")))
             votes = voted.select(*votes.columns, f"__v{i}")
         ballots = F.array(*[F.col(f"__v{i}") for i in range(len(self.trees))])
-        scores = F.array(*[
-            F.aggregate(F.filter(ballots, lambda v, c=c: v["c"] == float(c)), F.lit(0.0), lambda s, v: s + v["a"])
-            for c in self.classes
-        ])
+
+        def weight_for(c: float):
+            return F.aggregate(F.filter(ballots, lambda v: v["c"] == c), F.lit(0.0), lambda s, v: s + v["a"])
+
+        scores = F.array(*[weight_for(float(c)) for c in self.classes])
         best = F.get(F.array(*[F.lit(float(c)) for c in self.classes]), A.argmax(F.col("scores")))
         return votes.withColumn("scores", scores).withColumn("prediction", best).select(*df.columns, "scores", "prediction")
 
@@ -121,8 +123,6 @@ class AdaBoost:
             err = judged.agg(F.sum(F.when(wrong, F.col("__w")).otherwise(0.0)) / F.sum("__w")).first()[0]
             if err >= 1 - 1 / k:
                 break
-            import math
-
             err = max(err, 1e-10)
             alpha = math.log((1 - err) / err) + math.log(k - 1) if k > 1 else 1.0
             trees.append((alpha, tree))
@@ -140,11 +140,11 @@ class AdaBoost:
 REGISTRY: dict[str, Callable] = {
     "decision_tree": lambda **p: DecisionTreeClassifier(**p),
     "random_forest": lambda **p: RandomForestClassifier(**{"seed": 7, **p}),
-    "gradient_boosting": lambda **p: OneVsRest(classifier=GBTClassifier(**{"maxIter": 10, "seed": 7, **p})),
-    "hist_gradient_boosting": lambda **p: OneVsRest(classifier=GBTClassifier(**{"maxIter": 10, "maxBins": 255, "seed": 7, **p})),
-    "xgboost": lambda **p: OneVsRest(classifier=GBTClassifier(**{"maxIter": 10, "stepSize": 0.3, "maxDepth": 6, "seed": 7, **p})),
+    "gradient_boosting": lambda **p: OneVsRest(parallelism=4, classifier=GBTClassifier(**{"maxIter": 10, "seed": 7, **p})),
+    "hist_gradient_boosting": lambda **p: OneVsRest(parallelism=4, classifier=GBTClassifier(**{"maxIter": 10, "maxBins": 255, "seed": 7, **p})),
+    "xgboost": lambda **p: OneVsRest(parallelism=4, classifier=GBTClassifier(**{"maxIter": 10, "stepSize": 0.3, "maxDepth": 6, "seed": 7, **p})),
     "naive_bayes": lambda **p: NaiveBayes(modelType="gaussian", **p),
-    "linear_svm": lambda **p: OneVsRest(classifier=LinearSVC(**p)),
+    "linear_svm": lambda **p: OneVsRest(parallelism=4, classifier=LinearSVC(**p)),
     "mlp": lambda **p: MultilayerPerceptronClassifier(**{"seed": 7, **p}),
     "ridge_classifier": lambda **p: RidgeClassifier(**p),
     "ridge_regression": lambda **p: ridge_regression(**p),

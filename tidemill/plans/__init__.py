@@ -4,7 +4,7 @@ from tidemill.plans.registry import ORACLES, QUERIES
 
 
 def load_all() -> None:
-    from tidemill.plans import evaluation, partitions, samples, series, storage, tables  # noqa: F401
+    from tidemill.plans import evaluation, learning, partitions, samples, series, storage, tables  # noqa: F401
 
 
 __all__ = ["ORACLES", "QUERIES", "load_all"]
