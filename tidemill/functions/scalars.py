@@ -15,6 +15,12 @@ def from_epoch_us(us: Column) -> Column:
     return F.timestamp_micros(us)
 
 
+def floor_div(x: Column, n) -> Column:
+    """Integer floor division, exact for values and divisors below 2**53."""
+    divisor = n if isinstance(n, Column) else F.lit(n)
+    return ((x - F.pmod(x, divisor)) / divisor).cast("bigint")
+
+
 def pass_key(tool: Column, job: Column) -> Column:
     """'tool-job' with the job cut at its first dot."""
     return F.concat(tool, F.lit("-"), F.split(job, r"\.").getItem(0))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.scalars import epoch_us
+from tidemill.functions.scalars import epoch_us, floor_div
 from tidemill.operators.ordered import running
 from tidemill.schema import Columns
 from tidemill.session import materialize
@@ -116,11 +116,13 @@ def bucket_last(df: DataFrame, cols: Columns, freq_ms: int) -> DataFrame:
     """Last non-null value of each column per group and slot: (group, anchor, bucket, values, n_rows).
 
     Slots are anchored at midnight of the group's first day. Where the step divides a day that anchor
-    is the same for all groups and no per-group lookup is needed.
+    is the same for all groups and no per-group lookup is needed. With numeric labels (class codes) and no
+    ``tie`` column every buffer is fixed-width, and Spark aggregates by hash before and after the shuffle;
+    text labels or a tie-break make it sort.
     """
     freq = freq_ms * 1000
     us = epoch_us(F.col(cols.ts))
-    order = F.struct(us, *([F.col(cols.tie)] if cols.tie else []))
+    order = F.struct(us, F.col(cols.tie)) if cols.tie else us
     if DAY_US % freq == 0:
         anchored = df.withColumn("anchor", F.lit(0).cast("bigint"))
     else:
@@ -128,7 +130,7 @@ def bucket_last(df: DataFrame, cols: Columns, freq_ms: int) -> DataFrame:
         first = first.select(cols.group, (F.col("__first") - F.pmod(F.col("__first"), F.lit(DAY_US))).alias("anchor"))
         anchored = df.join(first, cols.group)
     return (
-        anchored.withColumn("bucket", F.floor((us - F.col("anchor")) / F.lit(freq)).cast("bigint"))
+        anchored.withColumn("bucket", floor_div(us - F.col("anchor"), freq))
         .groupBy(cols.group, "anchor", "bucket")
         .agg(*[_last_valid(c, order).alias(c) for c in cols.values], F.count("*").alias("n_rows"))
     )
@@ -188,14 +190,15 @@ def fill_slots(
     grid and the per-segment summaries, whose ``gap`` flag says that the key keeps a null after the fill.
     """
     keys = list(keys)
-    rows = sparse.withColumn("seg", F.floor(F.col("pos") / segment).cast("bigint"))
+    rows = sparse.withColumn("seg", floor_div(F.col("pos"), segment))
     by_pos = Window.partitionBy(*keys, "seg").orderBy("pos")
     behind = by_pos.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = by_pos.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("__next", F.lead("pos").over(by_pos)).withColumns(
-        {f"__prev_{f.column}": F.last(_valid(f.column), ignorenulls=True).over(behind) for f in fills}
-        | {f"__succ_{f.column}": F.first(_valid(f.column), ignorenulls=True).over(ahead) for f in fills}
-    )
+    # looking ahead by walking backwards: a frame up to "unbounded following" would rescan the rest for every row
+    ahead = Window.partitionBy(*keys, "seg").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns(
+        {"__next": F.last("pos").over(ahead)}
+        | {f"__succ_{f.column}": F.last(_valid(f.column), ignorenulls=True).over(ahead) for f in fills}
+    ).withColumns({f"__prev_{f.column}": F.last(_valid(f.column), ignorenulls=True).over(behind) for f in fills})
 
     summary = rows.groupBy(*keys, "seg").agg(
         F.max("length").alias("length"),
@@ -215,12 +218,12 @@ def fill_slots(
     )
     by_seg = Window.partitionBy(*keys).orderBy("seg")
     earlier = by_seg.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_seg.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.col("seg").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    summary = summary.withColumn("__nextstart", F.lead("__start").over(by_seg)).withColumns(
-        {f"__before_{f.column}": F.last(f"__last_{f.column}", ignorenulls=True).over(earlier) for f in fills}
-        | {f"__after_{f.column}": F.first(f"__first_{f.column}", ignorenulls=True).over(later) for f in fills}
-    )
+    summary = summary.withColumns(
+        {"__nextstart": F.last("__start").over(later)}
+        | {f"__after_{f.column}": F.last(f"__first_{f.column}", ignorenulls=True).over(later) for f in fills}
+    ).withColumns({f"__before_{f.column}": F.last(f"__last_{f.column}", ignorenulls=True).over(earlier) for f in fills})
     edge = F.lit(False)
     for f in fills:
         first, last = F.col(f"__first_{f.column}"), F.col(f"__last_{f.column}")
@@ -242,7 +245,7 @@ def fill_slots(
     end = F.coalesce("__next", "__nextstart", F.col("pos") + 1) - 1
     slots = (
         rows.withColumn("__end", end)
-        .withColumn("seg", F.explode(F.sequence(F.col("seg"), F.floor(F.col("__end") / segment).cast("bigint"))))
+        .withColumn("seg", F.explode(F.sequence(F.col("seg"), floor_div(F.col("__end"), segment))))
         .withColumn(
             "slot",
             F.explode(

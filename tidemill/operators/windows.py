@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.arrays import LABEL_AGGREGATES
+from tidemill.functions.scalars import floor_div
 from tidemill.operators.ordered import dense_index
 from tidemill.operators.resample import SEGMENT
 from tidemill.schema import require
@@ -74,14 +75,14 @@ def _centre_ok(stamps: list[int], jump: int, padding: str, start: int) -> Column
 def _by_frame(rows, group, stamps, label_stamps, jump, padding, start, segment):
     reach = [0, *stamps, *label_stamps]
     low, high = min(reach), max(reach)
-    first = F.floor(F.greatest(F.col("pos") - high, F.lit(0)) / segment)
-    last = F.floor(F.least(F.col("pos") - low, F.col("length") - 1) / segment)
-    spread = rows.withColumn("__seg", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+    first = floor_div(F.greatest(F.col("pos") - high, F.lit(0)), segment)
+    last = floor_div(F.least(F.col("pos") - low, F.col("length") - 1), segment)
+    spread = rows.withColumn("__seg", F.explode(F.sequence(first, last)))
     frame = Window.partitionBy(group, "__seg").orderBy("pos").rowsBetween(low, high)
     collected = spread.select(
         group, F.col("pos").alias("center"), "length", "__seg",
         F.collect_list(F.struct("pos", "__f", "__l")).over(frame).alias("__w"),
-    ).filter((F.floor(F.col("center") / segment) == F.col("__seg")) & _centre_ok(stamps + label_stamps, jump, padding, start))
+    ).filter((floor_div(F.col("center"), segment) == F.col("__seg")) & _centre_ok(stamps + label_stamps, jump, padding, start))
 
     def at(stamp: int) -> Column:
         index = F.greatest(F.lit(0), F.least(F.col("center") + stamp, F.col("length") - 1))
@@ -144,7 +145,7 @@ def count_windows(df: DataFrame, order: Sequence[str], length: int, out: str = "
     """Tumbling windows of ``length`` rows over the whole frame's order: ``out`` and the step ``t``."""
     indexed = dense_index(df, order, out="__i")
     return indexed.withColumns(
-        {out: F.floor(F.col("__i") / length).cast("bigint"), "t": F.col("__i") % length}
+        {out: floor_div(F.col("__i"), length), "t": F.col("__i") % length}
     ).drop("__i")
 
 

@@ -14,7 +14,7 @@ HOUR_MS = 3_600_000
 STEP_MS = 12 * HOUR_MS
 STEP_US = STEP_MS * 1000
 GAP_S = 2 * 12 * 3600  # two slots
-COLS = Columns("ts", "user_id", "event_type", ("value", "k"), "event_id")
+COLS = Columns("ts", "user_id", "event_type", ("value", "k"))  # no user has two events at one instant
 
 EV = """ev AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value,
   CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"""

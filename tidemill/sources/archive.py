@@ -110,8 +110,10 @@ def ts_violations(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame
 
 
 def validate_ts(spark: SparkSession, path: str, pattern: str | None = None, extension: str = ".ts") -> DataFrame:
-    found = ts_violations(read_lines(spark, path, pattern, extension))
-    empty = empty_files(spark, path, extension).select(
+    lines = read_lines(spark, path, pattern, extension)
+    facts = materialize(ts_facts(lines), "facts")
+    found = ts_violations(lines, facts)
+    empty = empty_files(spark, path, facts, extension, pattern).select(
         "file", F.lit(None).cast("bigint").alias("line_no"), F.lit("empty_file").alias("rule"))
     return found.unionByName(empty)
 

@@ -42,10 +42,14 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], pattern: str | No
         "file", F.coalesce(line_no, F.raise_error(F.lit("file splits changed while reading"))).alias("line_no"), "value")
 
 
-def empty_files(spark: SparkSession, path: str | Sequence[str], extension: str | None = None) -> DataFrame:
-    """Files without a byte; only the listing is read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+def empty_files(spark: SparkSession, path: str | Sequence[str], lines: DataFrame, extension: str | None = None,
+                pattern: str | None = None) -> DataFrame:
+    """Listed files that have no line. Scans skip such files, so the listing the driver holds is compared with ``lines``."""
+    reader = spark.read.option("recursiveFileLookup", "true")
     if extension:
         reader = reader.option("pathGlobFilter", f"*{extension}")
-    listing = reader.load(path if isinstance(path, str) else list(path)).select("path", "length")
-    return listing.filter("length = 0").select(F.col("path").alias("file"))
+    names = reader.text(path if isinstance(path, str) else list(path)).inputFiles()
+    listed = spark.createDataFrame([(n,) for n in names], "file string")
+    if pattern is not None:
+        listed = listed.filter(F.col("file").rlike(pattern))
+    return listed.join(lines.select("file").distinct(), "file", "left_anti")
