@@ -136,17 +136,19 @@ def bucket_last(df: DataFrame, cols: Columns, freq_ms: int) -> DataFrame:
     )
 
 
-def positions(buckets: DataFrame, group: str) -> DataFrame:
-    """Slot number within the group (``pos``), the group's slot count (``length``), first slot (``base``).
+def positions(buckets: DataFrame, group: str, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(slot rows with ``pos`` counted from the group's first slot, one row per group with its span).
 
-    The slot table is several times read from here on (spans, segment summaries, fill), so it is written
-    once instead of scanning the raw rows each time.
+    The slot table is read several times from here on (spans, segment summaries, fill), so it is written
+    once instead of scanning the raw rows each time. Group constants stay out of the slot rows.
     """
     buckets = materialize(buckets, "slots")
     span = buckets.groupBy(group).agg(
-        F.min("bucket").alias("base"), (F.max("bucket") - F.min("bucket") + 1).alias("length")
+        F.max("anchor").alias("anchor"), F.min("bucket").alias("base"),
+        (F.max("bucket") - F.min("bucket") + 1).alias("length"), F.sum("n_rows").alias("n_rows"),
     )
-    return buckets.join(span, group).withColumn("pos", F.col("bucket") - F.col("base"))
+    rows = buckets.join(span.select(group, "base"), group)
+    return rows.select(group, (F.col("bucket") - F.col("base")).alias("pos"), *values), span
 
 
 @dataclass(frozen=True)
@@ -162,32 +164,41 @@ def _valid(column: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(column).alias("v")))
 
 
-def _gap_too_long(fill: Fill, low: Column, high: Column, length: Column) -> Column:
+def _edge_gap(fill: Fill, low: Column, high: Column, length: Column) -> Column:
     """Does the stretch between two valid slots (either may be absent) keep a null after the fill?"""
     if fill.limit is None:
         return F.lit(False)
-    n = fill.limit
-    inner = high["p"] - low["p"] - 1
-    reach = 2 * n if fill.method == "linear" else n
     return (
-        F.when(low.isNotNull() & high.isNotNull(), inner > reach)
-        .when(low.isNull() & high.isNotNull(), high["p"] > n)
-        .when(low.isNotNull(), length - 1 - low["p"] > n)
+        F.when(low.isNotNull() & high.isNotNull(), _inner_gap(fill, low, high))
+        .when(low.isNull() & high.isNotNull(), high["p"] > fill.limit)
+        .when(low.isNotNull(), length - 1 - low["p"] > fill.limit)
         .otherwise(length > 0)
     )
 
 
+def _inner_gap(fill: Fill, low: Column, high: Column) -> Column:
+    if fill.limit is None:
+        return F.lit(False)
+    return high["p"] - low["p"] - 1 > (2 * fill.limit if fill.method == "linear" else fill.limit)
+
+
 def fill_slots(
     sparse: DataFrame,
+    span: DataFrame,
     keys: Sequence[str],
     fills: Sequence[Fill],
     segment: int = SEGMENT,
     reject_gaps: bool = False,
+    min_rows: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Materialise and fill every slot between a key's first and last one.
 
-    ``sparse`` holds one row per observed slot with ``pos`` (0 = first) and ``length``. Returns the filled
-    grid and the per-segment summaries, whose ``gap`` flag says that the key keeps a null after the fill.
+    ``sparse`` holds one row per observed slot (``pos``, 0 = first), ``span`` one row per key with its
+    ``length`` and whatever else is constant. Returns the filled grid, with the columns of ``span``, and the
+    per-segment summaries, whose ``gap`` flag says that the key keeps a null after the fill. ``reject_gaps``
+    leaves such keys out of the grid, ``min_rows`` those with fewer ``n_rows``.
+
+    Rows are shuffled once by (key, segment); the summaries are built on the same exchange.
     """
     keys = list(keys)
     rows = sparse.withColumn("seg", floor_div(F.col("pos"), segment))
@@ -200,27 +211,23 @@ def fill_slots(
         | {f"__succ_{f.column}": F.last(_valid(f.column), ignorenulls=True).over(ahead) for f in fills}
     ).withColumns({f"__prev_{f.column}": F.last(_valid(f.column), ignorenulls=True).over(behind) for f in fills})
 
+    def gap_inside(f: Fill) -> Column:
+        here = F.col(f.column).isNotNull() & F.col(f"__succ_{f.column}").isNotNull()
+        long = _inner_gap(f, F.col(f"__prev_{f.column}"), F.col(f"__succ_{f.column}"))
+        return F.max(F.when(here, long).otherwise(False))
+
     summary = rows.groupBy(*keys, "seg").agg(
-        F.max("length").alias("length"),
         F.min("pos").alias("__start"),
         F.count("*").alias("__rows"),
         *[F.min(_valid(f.column)).alias(f"__first_{f.column}") for f in fills],
         *[F.max(_valid(f.column)).alias(f"__last_{f.column}") for f in fills],
-        *[
-            F.max(
-                F.when(
-                    F.col(f.column).isNotNull() & F.col(f"__succ_{f.column}").isNotNull(),
-                    _gap_too_long(f, F.col(f"__prev_{f.column}"), F.col(f"__succ_{f.column}"), F.col("length")),
-                ).otherwise(False)
-            ).alias(f"__gap_{f.column}")
-            for f in fills
-        ],
+        *[gap_inside(f).alias(f"__gap_{f.column}") for f in fills],
     )
     by_seg = Window.partitionBy(*keys).orderBy("seg")
     earlier = by_seg.rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.col("seg").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    summary = summary.withColumns(
+    summary = summary.join(span, keys).withColumns(
         {"__nextstart": F.last("__start").over(later)}
         | {f"__after_{f.column}": F.last(f"__first_{f.column}", ignorenulls=True).over(later) for f in fills}
     ).withColumns({f"__before_{f.column}": F.last(f"__last_{f.column}", ignorenulls=True).over(earlier) for f in fills})
@@ -229,13 +236,19 @@ def fill_slots(
         first, last = F.col(f"__first_{f.column}"), F.col(f"__last_{f.column}")
         before, after = F.col(f"__before_{f.column}"), F.col(f"__after_{f.column}")
         edge = edge | F.col(f"__gap_{f.column}")
-        edge = edge | _gap_too_long(f, before, F.coalesce(first, after), F.col("length"))
-        edge = edge | _gap_too_long(f, F.coalesce(last, before), after, F.col("length"))
-    summary = summary.withColumn("gap", F.max(edge).over(whole))
+        edge = edge | _edge_gap(f, before, F.coalesce(first, after), F.col("length"))
+        edge = edge | _edge_gap(f, F.coalesce(last, before), after, F.col("length"))
+    if any(f.limit is not None for f in fills):
+        summary = summary.withColumn("gap", F.max(edge).over(whole))
+    else:
+        summary = summary.withColumn("gap", F.lit(False))
 
     carried = summary.filter(~F.col("gap")) if reject_gaps else summary
+    if min_rows:
+        carried = carried.filter(F.col("n_rows") >= min_rows)
+    constant = [c for c in span.columns if c not in keys]
     carried = carried.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("seg").alias("__seg"), "__nextstart",
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("seg").alias("__seg"), "__nextstart", *constant,
         *[c for f in fills for c in (f"__before_{f.column}", f"__after_{f.column}")],
     )
     same = F.col("seg") == F.col("__seg")
@@ -243,6 +256,7 @@ def fill_slots(
         same = same & (F.col(k) == F.col(f"__k_{k}"))
     rows = rows.join(carried, same)
     end = F.coalesce("__next", "__nextstart", F.col("pos") + 1) - 1
+    # a long gap is written out segment by segment, so no array exceeds ``segment`` slots
     slots = (
         rows.withColumn("__end", end)
         .withColumn("seg", F.explode(F.sequence(F.col("seg"), floor_div(F.col("__end"), segment))))
@@ -263,7 +277,7 @@ def fill_slots(
         filled[f.column] = _filled_value(f, F.col("slot"), prev, succ)
     kept = [c for c in sparse.columns if c not in filled and c != "pos"]
     grid = slots.select(
-        *kept, F.col("slot").alias("pos"), *[v.alias(c) for c, v in filled.items()],
+        *kept, *constant, F.col("slot").alias("pos"), *[v.alias(c) for c, v in filled.items()],
         (F.col("slot") == F.col("pos")).alias("observed"),
     )
     return grid, summary
@@ -297,8 +311,8 @@ def slots_of_gap(max_gap_s: float, freq_ms: int) -> int | None:
 def resample(df: DataFrame, cols: Columns, freq_ms: int, segment: int = SEGMENT) -> DataFrame:
     """Regular grid with the last non-null value per slot; empty slots become rows of nulls."""
     cols.check(df)
-    sparse = positions(bucket_last(df, cols, freq_ms), cols.group)
-    grid, _ = fill_slots(sparse, [cols.group], [Fill(c, "none") for c in cols.values], segment)
+    sparse, span = positions(bucket_last(df, cols, freq_ms), cols.group, cols.values)
+    grid, _ = fill_slots(sparse, span, [cols.group], [Fill(c, "none") for c in cols.values], segment)
     return _with_time(grid, cols, freq_ms)
 
 
@@ -349,8 +363,8 @@ def regularize(
         fills = [Fill(c, "carry", 0) for c in cols.values]
     else:
         fills = [Fill(cols.label, "carry", limit)] + [Fill(c, "linear", limit) for c in cols.features]
-    sparse = positions(bucket_last(clamped, cols, freq_ms), cols.group)
-    grid, summary = fill_slots(sparse, [cols.group], fills, segment, reject_gaps=on_gap == "skip")
+    sparse, span = positions(bucket_last(clamped, cols, freq_ms), cols.group, cols.values)
+    grid, summary = fill_slots(sparse, span, [cols.group], fills, segment, reject_gaps=on_gap == "skip", min_rows=2)
     gaps = summary.filter("gap").groupBy(cols.group).agg(F.sum("__rows").alias("rows"))
     if on_gap == "fail":
         ok = F.assert_true(~F.col("__bad"), F.lit("a group keeps nulls after the fill"))
@@ -362,16 +376,13 @@ def regularize(
         F.count(cols.label).alias("__labels"), F.count("*").alias("rows")
     )
     audits.append(all_rows.filter("__labels = 0").select(as_text, F.lit("no_labels").alias("rule"), "rows"))
-    kept_rows = sparse.groupBy(cols.group).agg(F.sum("n_rows").alias("rows"))
     short = (
         all_rows.filter("__labels > 0").select(cols.group)
-        .join(kept_rows, cols.group, "left")
+        .join(span.select(cols.group, F.col("n_rows").alias("rows")), cols.group, "left")
         .withColumn("rows", F.coalesce("rows", F.lit(0)))
         .filter("rows < 2")
     )
     audits.append(short.select(as_text, F.lit("too_short").alias("rule"), "rows"))
-    single = kept_rows.filter("rows < 2").select(cols.group)
-    grid = grid.join(single, cols.group, "left_anti")
     audits.append(gaps.select(as_text, F.lit("gap").alias("rule"), "rows"))
     audit = audits[0]
     for extra in audits[1:]:
@@ -386,8 +397,8 @@ def interpolate(
     """Linear interpolation, both directions, over rows whose ``position`` counts 0, 1, 2, ... within ``keys``."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg((F.max(position) + 1).alias("length"))
-    sparse = df.join(sizes, keys).withColumn("pos", F.col(position).cast("bigint"))
+    sparse = df.withColumn("pos", F.col(position).cast("bigint"))
     if position != "pos":
         sparse = sparse.drop(position)
-    grid, _ = fill_slots(sparse, keys, [Fill(c, "linear", limit) for c in columns], segment)
+    grid, _ = fill_slots(sparse, sizes, keys, [Fill(c, "linear", limit) for c in columns], segment)
     return grid.select(*[F.col("pos").alias(position) if c == position else F.col(c) for c in df.columns])

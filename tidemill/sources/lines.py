@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,7 +50,10 @@ def empty_files(spark: SparkSession, path: str | Sequence[str], lines: DataFrame
     if extension:
         reader = reader.option("pathGlobFilter", f"*{extension}")
     names = reader.text(path if isinstance(path, str) else list(path)).inputFiles()
+    # one spelling of "scheme:/path"
+    names = [re.sub(r"^(\w+):/+", r"\1:/", n) for n in names]
     listed = spark.createDataFrame([(n,) for n in names], "file string")
     if pattern is not None:
         listed = listed.filter(F.col("file").rlike(pattern))
-    return listed.join(lines.select("file").distinct(), "file", "left_anti")
+    seen = lines.select(F.regexp_replace("file", r"^(\w+):/+", "$1:/").alias("file")).distinct()
+    return listed.join(seen, "file", "left_anti")
