@@ -7,11 +7,12 @@ with at most one row per partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.scalars import floor_div
 from tidemill.session import materialize
 
 _COMBINE = {
@@ -95,37 +96,42 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
 def first_by_hash(
     df: DataFrame,
     hashed: Column,
-    tie: Sequence[str],
-    wanted: DataFrame,
+    tie: str,
     keys: Sequence[str],
+    wanted: Callable[[Column], Column],
     out: str = "chosen",
     buckets: int = 4096,
 ) -> DataFrame:
-    """Flag exactly the first ``wanted.n`` rows per key in order of a uniform 32-bit hash.
+    """Flag exactly the first ``wanted(n)`` of the n rows of each key, in order of a uniform 32-bit hash.
 
-    A histogram of the hash's high bits tells, per key, which bucket holds the cut. Rows in lower or
-    higher buckets are decided where they stand; only the cut bucket (about 1/``buckets`` of the key)
-    is ordered. ``wanted`` has the keys and a column ``n``.
+    A histogram of the hash's high bits tells, per key, which bucket holds the cut; only that bucket (about
+    1/``buckets`` of the key) is ordered, to find the last row chosen. That row's (hash, tie) is the key's
+    threshold, a table with one row per key, written once; all rows are then decided where they stand.
     """
     keys = list(keys)
     width = 4294967296 // buckets
-    rows = df.withColumn("__h", hashed).withColumn("__b", (F.col("__h") / width).cast("int"))
+    rows = df.withColumn("__h", hashed).withColumn("__b", floor_div(F.col("__h"), width))
     histogram = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
-    upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    by_bucket = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("__c").over(Window.partitionBy(*keys))
     cut = (
-        histogram.withColumn("__cum", F.sum("__c").over(upto))
-        .join(wanted.select(*keys, F.col("n").alias("__n")), keys)
+        histogram.withColumns({"__cum": F.sum("__c").over(by_bucket), "__n": wanted(total).cast("bigint")})
         .filter((F.col("__cum") >= F.col("__n")) & (F.col("__cum") - F.col("__c") < F.col("__n")))
-        .select(*keys, F.col("__b").alias("__cut"), (F.col("__n") - F.col("__cum") + F.col("__c")).alias("__need"))
+        .select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__cut"),
+                (F.col("__n") - F.col("__cum") + F.col("__c")).alias("__need"))
     )
-    marked = rows.join(cut, keys, "left")
-    at_cut = F.col("__b") == F.col("__cut")
-    boundary = (
-        marked.filter(at_cut)
-        .withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy("__h", *tie)))
-        .withColumn(out, F.col("__rn") <= F.col("__need"))
-    )
-    rest = marked.filter(F.col("__cut").isNull() | ~at_cut).withColumn(
-        out, F.coalesce(F.col("__b") < F.col("__cut"), F.lit(False))
+
+    def same_key(columns: Sequence[str]) -> Column:
+        on = F.lit(True)
+        for k in columns:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        return on
+
+    at_cut = rows.join(cut, same_key(keys) & (F.col("__b") == F.col("__cut")))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__h", tie))
+    last = at_cut.withColumn("__rn", nth).filter("__rn = __need").select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.struct(F.col("__h").alias("h"), F.col(tie).alias("t")).alias("__last")
     )
-    return boundary.select(*df.columns, out).unionByName(rest.select(*df.columns, out))
+    marked = rows.join(materialize(last, "thresholds"), same_key(keys), "left")
+    chosen = F.struct(F.col("__h").alias("h"), F.col(tie).alias("t")) <= F.col("__last")
+    return marked.select(*df.columns, F.coalesce(chosen, F.lit(False)).alias(out))

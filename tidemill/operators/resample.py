@@ -201,7 +201,8 @@ def fill_slots(
     Rows are shuffled once by (key, segment); the summaries are built on the same exchange.
     """
     keys = list(keys)
-    rows = sparse.withColumn("seg", floor_div(F.col("pos"), segment))
+    # the filter is what the join below implies; stated here, both uses of the rows share one exchange
+    rows = sparse.withColumn("seg", floor_div(F.col("pos"), segment)).filter("seg IS NOT NULL")
     by_pos = Window.partitionBy(*keys, "seg").orderBy("pos")
     behind = by_pos.rowsBetween(Window.unboundedPreceding, 0)
     # looking ahead by walking backwards: a frame up to "unbounded following" would rescan the rest for every row

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.hashing import hash32
@@ -37,8 +37,7 @@ def check_parameters(
 
 def _take_share(df: DataFrame, ratio: float, hashed: Column, tie: str, keys: Sequence[str]) -> DataFrame:
     """``chosen`` on exactly ceil(ratio * n) rows per key, in hash order."""
-    wanted = df.groupBy(*keys).agg(F.ceil(F.count("*") * F.lit(ratio)).cast("bigint").alias("n"))
-    return first_by_hash(df, hashed, [tie], wanted, keys)
+    return first_by_hash(df, hashed, tie, keys, lambda n: F.ceil(n * F.lit(ratio)))
 
 
 def ratio_split(
