@@ -206,6 +206,11 @@ def test_ridge_finds_a_line(spark):
     assert out.filter("abs(target - prediction) > 0.1").count() == 0
 
 
+def test_configuration_fills_the_signature(spark):
+    model = L.configured(L.RidgeClassifier, {"folds": 5, "label": "y", "unrelated": 1})
+    assert (model.folds, model.label) == (5, "y")
+
+
 def test_registries_refuse_unknown_names(spark):
     from tidemill.sources.datasets import load_dataset
 

@@ -41,7 +41,7 @@ def median_per_file(df: DataFrame, file: str, value: str, out: str = "median") -
     from tidemill.operators.ordered import running
 
     histogram = df.filter(F.col(value).isNotNull()).groupBy(file, value).agg(F.count("*").alias("__c"))
-    cumulative = running(histogram, [value], {"__cum": ("sum", F.col("__c"))}, [file])
+    cumulative = running(histogram, [value], {"__cum": ("sum", F.col("__c"))}, [file], unique=True)
     sizes = df.groupBy(file).agg(F.count(value).alias("__n")).withColumnRenamed(file, "__file")
     placed = cumulative.join(sizes, F.col(file).eqNullSafe(F.col("__file")))
     low, high = F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1")
@@ -72,7 +72,7 @@ def encode_classes(df: DataFrame, label: str, out: str = "code") -> tuple[DataFr
     from tidemill.operators.ordered import dense_index
 
     distinct = df.filter(F.col(label).isNotNull()).select(label).distinct()
-    dictionary = dense_index(distinct, [label], out=out).withColumn(out, F.col(out).cast("int"))
+    dictionary = dense_index(distinct, [label], out=out, unique=True).withColumn(out, F.col(out).cast("int"))
     return df.join(dictionary, label, "left"), dictionary
 
 

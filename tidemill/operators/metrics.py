@@ -186,7 +186,7 @@ def score_curve(pred: DataFrame, truth: str = "truth", score: str = "score") ->
     by_score = pred.groupBy(score).agg(
         F.sum(F.col(truth).cast("bigint")).alias("__p"), F.sum(1 - F.col(truth).cast("bigint")).alias("__n")
     )
-    return running(by_score, [F.col(score).desc()], {"tp": ("sum", F.col("__p")), "fp": ("sum", F.col("__n"))}).select(
+    return running(by_score, [F.col(score).desc()], {"tp": ("sum", F.col("__p")), "fp": ("sum", F.col("__n"))}, unique=True).select(
         F.col(score).alias("score"), F.col("__p").alias("dtp"), F.col("__n").alias("dfp"), "tp", "fp"
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable, Sequence
 
@@ -161,6 +162,12 @@ def make_model(name: str, **params):
     return REGISTRY[name](**params)
 
 
+def configured(build: Callable, config: dict):
+    """Call ``build`` with those entries of a flat configuration that its signature names."""
+    known = inspect.signature(build).parameters
+    return build(**{k: v for k, v in config.items() if k in known})
+
+
 def apply_transforms(df: DataFrame, transforms: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Frame-to-frame functions applied in order; the user's hook between loading and fitting."""
     for t in transforms:

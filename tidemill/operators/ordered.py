@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tidemill.functions.scalars import floor_div
 from tidemill.session import materialize
@@ -31,13 +32,17 @@ def running(
     order: Sequence[Column | str],
     aggs: dict[str, tuple[str, Column]],
     keys: Sequence[str] = (),
+    unique: bool = False,
 ) -> DataFrame:
     """Add columns of running ``sum``/``max``/``min``/``last`` (first to current row) along ``order``.
 
-    ``order`` should be total within ``keys``: only then can a hot key be spread evenly.
+    Unless ``order`` is known to be ``unique`` within ``keys``, a hash of the row breaks ties, so that many
+    rows of equal order still spread over partitions and come out in the same order every time.
     """
     keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if not unique:
+        order.append(F.xxhash64(*[F.col(c.name) for c in df.schema if not isinstance(c.dataType, (MapType, VariantType))]))
     inputs = {f"__in_{name}": expr for name, (_, expr) in aggs.items()}
     ordered = (
         df.withColumns(inputs)
@@ -88,9 +93,10 @@ def running(
     )
 
 
-def dense_index(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (), out: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (), out: str = "idx",
+                unique: bool = False) -> DataFrame:
     """0-based dense position along ``order`` (within ``keys``)."""
-    return running(df, order, {out: ("sum", F.lit(1).cast("bigint"))}, keys).withColumn(out, F.col(out) - 1)
+    return running(df, order, {out: ("sum", F.lit(1).cast("bigint"))}, keys, unique).withColumn(out, F.col(out) - 1)
 
 
 def first_by_hash(

@@ -95,7 +95,7 @@ def overlapping_groups(df: DataFrame, cols: Columns, clamp_start: bool = True, c
         .unionByName(ranges.select(F.col("lo").alias("__us"), F.lit(2).alias("__kind"), none.alias("__n"), cols.group))
         .unionByName(ranges.select(F.col("hi").alias("__us"), F.lit(0).alias("__kind"), none.alias("__n"), cols.group))
     )
-    counted = running(points, ["__us", "__kind", cols.group], {"__cum": ("sum", F.col("__n"))})
+    counted = running(points, ["__us", "__kind", cols.group], {"__cum": ("sum", F.col("__n"))}, unique=True)
     inside = (
         counted.filter("__kind <> 1")
         .groupBy(cols.group)
@@ -190,13 +190,15 @@ def fill_slots(
     segment: int = SEGMENT,
     reject_gaps: bool = False,
     min_rows: int = 0,
+    spread_gaps: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Materialise and fill every slot between a key's first and last one.
 
     ``sparse`` holds one row per observed slot (``pos``, 0 = first), ``span`` one row per key with its
     ``length`` and whatever else is constant. Returns the filled grid, with the columns of ``span``, and the
     per-segment summaries, whose ``gap`` flag says that the key keeps a null after the fill. ``reject_gaps``
-    leaves such keys out of the grid, ``min_rows`` those with fewer ``n_rows``.
+    leaves such keys out of the grid, ``min_rows`` those with fewer ``n_rows``. ``spread_gaps`` is for data whose
+    gaps have no bound: the segments of a gap are shuffled before their slots are written out.
 
     Rows are shuffled once by (key, segment); the summaries are built on the same exchange.
     """
@@ -258,19 +260,14 @@ def fill_slots(
     rows = rows.join(carried, same)
     end = F.coalesce("__next", "__nextstart", F.col("pos") + 1) - 1
     # a long gap is written out segment by segment, so no array exceeds ``segment`` slots
-    slots = (
-        rows.withColumn("__end", end)
-        .withColumn("seg", F.explode(F.sequence(F.col("seg"), floor_div(F.col("__end"), segment))))
-        .withColumn(
-            "slot",
-            F.explode(
-                F.sequence(
-                    F.greatest(F.col("pos"), F.col("seg") * segment),
-                    F.least(F.col("__end"), F.col("seg") * segment + segment - 1),
-                )
-            ),
-        )
+    pieces = rows.withColumn("__end", end).withColumn(
+        "seg", F.explode(F.sequence(F.col("seg"), floor_div(F.col("__end"), segment)))
     )
+    if spread_gaps:
+        pieces = pieces.repartition(*keys, "seg")
+    first_slot = F.greatest(F.col("pos"), F.col("seg") * segment)
+    last_slot = F.least(F.col("__end"), F.col("seg") * segment + segment - 1)
+    slots = pieces.withColumn("slot", F.explode(F.sequence(first_slot, last_slot)))
     filled = {}
     for f in fills:
         prev = F.coalesce(f"__prev_{f.column}", f"__before_{f.column}")
@@ -313,7 +310,7 @@ def resample(df: DataFrame, cols: Columns, freq_ms: int, segment: int = SEGMENT)
     """Regular grid with the last non-null value per slot; empty slots become rows of nulls."""
     cols.check(df)
     sparse, span = positions(bucket_last(df, cols, freq_ms), cols.group, cols.values)
-    grid, _ = fill_slots(sparse, span, [cols.group], [Fill(c, "none") for c in cols.values], segment)
+    grid, _ = fill_slots(sparse, span, [cols.group], [Fill(c, "none") for c in cols.values], segment, spread_gaps=True)
     return _with_time(grid, cols, freq_ms)
 
 
@@ -365,7 +362,10 @@ def regularize(
     else:
         fills = [Fill(cols.label, "carry", limit)] + [Fill(c, "linear", limit) for c in cols.features]
     sparse, span = positions(bucket_last(clamped, cols, freq_ms), cols.group, cols.values)
-    grid, summary = fill_slots(sparse, span, [cols.group], fills, segment, reject_gaps=on_gap == "skip", min_rows=2)
+    # a group that survives ``skip`` has no gap longer than the fills reach
+    skipping = on_gap == "skip"
+    grid, summary = fill_slots(
+        sparse, span, [cols.group], fills, segment, skipping, min_rows=2, spread_gaps=limit is None or not skipping)
     gaps = summary.filter("gap").groupBy(cols.group).agg(F.sum("__rows").alias("rows"))
     if on_gap == "fail":
         ok = F.assert_true(~F.col("__bad"), F.lit("a group keeps nulls after the fill"))

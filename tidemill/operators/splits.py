@@ -72,7 +72,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 1337,
         F.max(F.struct(F.col("c"), F.col(label))).getField(label).alias("dominant"), F.sum("c").alias("size")
     )
     ranked = dense_index(
-        table, [F.col("dominant"), F.col("size").desc(), hash32(f"{seed}-{salt}", F.col(group)), F.col(group)], out="__r"
+        table, [F.col("dominant"), F.col("size").desc(), hash32(f"{seed}-{salt}", F.col(group)), F.col(group)], out="__r", unique=True
     )
     lap, place = F.floor(F.col("__r") / k), F.col("__r") % k
     return ranked.select(group, F.when(lap % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("part"))
@@ -209,6 +209,6 @@ def limit_ids(df: DataFrame, sample: str, limit: float) -> DataFrame:
     The cut id comes from a dense index over the distinct ids, so nothing is sorted in one task.
     """
     ids = df.select(sample).distinct()
-    ranked = dense_index(ids, [sample], out="__i")
+    ranked = dense_index(ids, [sample], out="__i", unique=True)
     n = int(limit) if limit > 1 else int(limit * ids.count())
     return df.join(ranked.filter(F.col("__i") < n).select(sample), sample, "left_semi")

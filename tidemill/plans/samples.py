@@ -376,7 +376,9 @@ def array_functions(spark, sf):
         r6(A.total(F.concat(s, s))).alias("tiled"))
 
 
-@query("example_long_table")
+@query("example_long_table", f"""SELECT CAST(c AS INTEGER) AS case_id, CAST(d AS INTEGER) AS dim_id, CAST(r AS INTEGER) AS reading_id,
+{uniform_sql("'3'", 'CAST(c AS VARCHAR)', 'CAST(d AS VARCHAR)', 'CAST(r AS VARCHAR)')} AS value
+FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c FROM embeddings), (SELECT unnest([0, 1]) AS d), (SELECT unnest(generate_series(0, 19)) AS r)""")
 def example(spark, sf):
-    cases = table(spark, sf, "region").count()
-    return P.example_long(spark, cases, 20, 2, seed=3)
+    """One seeded case per embedding."""
+    return P.example_long(spark, table(spark, sf, "embeddings").count(), 20, 2, seed=3)
