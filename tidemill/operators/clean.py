@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import repaired_power
+from tidemill.session import materialize
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def median_per_file(df: DataFrame, file: str, value: str, out: str = "median") -
 
 def repair_power(df: DataFrame, file: str, power: str, energy: str, interval: str, ceiling: float = 1e16) -> DataFrame:
     """Rename ``power`` to ``power`` proper and replace broken readings by energy over the file's median interval."""
-    medians = median_per_file(df, file, interval, "__median").withColumnRenamed(file, "__file")
+    medians = materialize(median_per_file(df, file, interval, "__median").withColumnRenamed(file, "__file"), "medians")
     joined = df.join(medians, F.col(file).eqNullSafe(F.col("__file")), "left")
     return joined.withColumn(power, repaired_power(F.col(power), F.col(energy), F.col("__median"), ceiling)).drop("__median", "__file")
 
@@ -73,6 +74,7 @@ def encode_classes(df: DataFrame, label: str, out: str = "code") -> tuple[DataFr
 
     distinct = df.filter(F.col(label).isNotNull()).select(label).distinct()
     dictionary = dense_index(distinct, [label], out=out, unique=True).withColumn(out, F.col(out).cast("int"))
+    dictionary = materialize(dictionary, "classes")
     return df.join(dictionary, label, "left"), dictionary
 
 

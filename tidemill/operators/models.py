@@ -40,7 +40,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count("*").alias("__n"))
     total = sizes.agg(F.struct(F.sum("__n").alias("n"), F.count("*").alias("k")).alias("t")).scalar()
     weights = sizes.withColumn("__t", total).select(label, (F.col("__t.n") / (F.col("__t.k") * F.col("__n"))).alias(out))
-    return df.join(weights, label)
+    return df.join(materialize(weights, "weights"), label)
 
 
 def ridge_regression(features: str = "features", label: str = "label", alphas: Sequence[float] = RIDGE_ALPHAS, folds: int = 3) -> CrossValidator:

@@ -133,7 +133,7 @@ def first_by_hash(
             on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
         return on
 
-    at_cut = rows.join(cut, same_key(keys) & (F.col("__b") == F.col("__cut")))
+    at_cut = rows.join(materialize(cut, "cut"), same_key(keys) & (F.col("__b") == F.col("__cut")))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__h", tie))
     last = at_cut.withColumn("__rn", nth).filter("__rn = __need").select(
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.struct(F.col("__h").alias("h"), F.col(tie).alias("t")).alias("__last")

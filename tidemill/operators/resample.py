@@ -47,7 +47,7 @@ def clamp(
     """A group's own rows between its first and last label; both ends are left out by default."""
     if bounds not in ("exclusive", "inclusive"):
         raise ValueError(f"unknown bounds {bounds!r}")
-    ranges = group_ranges(df, cols, clamp_start, clamp_end).select(cols.group, "lo", "hi")
+    ranges = materialize(group_ranges(df, cols, clamp_start, clamp_end).select(cols.group, "lo", "hi"), "ranges")
     us = epoch_us(F.col(cols.ts))
     inside = (
         (us > F.col("lo")) & (us < F.col("hi")) if bounds == "exclusive" else us.between(F.col("lo"), F.col("hi"))
@@ -147,6 +147,7 @@ def positions(buckets: DataFrame, group: str, values: Sequence[str]) -> tuple[Da
         F.max("anchor").alias("anchor"), F.min("bucket").alias("base"),
         (F.max("bucket") - F.min("bucket") + 1).alias("length"), F.sum("n_rows").alias("n_rows"),
     )
+    span = materialize(span, "span")
     rows = buckets.join(span.select(group, "base"), group)
     return rows.select(group, (F.col("bucket") - F.col("base")).alias("pos"), *values), span
 
@@ -345,7 +346,7 @@ def regularize(
         raise ValueError(f"unknown on_gap {on_gap!r}")
     limit = slots_of_gap(max_gap_s, freq_ms)
     rows = adopt_rows(df, cols, clamp_start, clamp_end) if overlap == "reject" else df
-    ranges = group_ranges(df, cols, clamp_start, clamp_end).select(cols.group, "lo", "hi")
+    ranges = materialize(group_ranges(df, cols, clamp_start, clamp_end).select(cols.group, "lo", "hi"), "ranges")
     us = epoch_us(F.col(cols.ts))
     inside = (us > F.col("lo")) & (us < F.col("hi")) if bounds == "exclusive" else us.between(F.col("lo"), F.col("hi"))
     clamped = rows.join(ranges, cols.group).filter(inside).drop("lo", "hi")

@@ -12,6 +12,7 @@ from tidemill.functions.scalars import floor_div
 from tidemill.operators.ordered import dense_index
 from tidemill.operators.resample import SEGMENT
 from tidemill.schema import require
+from tidemill.session import materialize
 
 PADDINGS = ("extrapolate", "skip", "zeros")
 
@@ -49,7 +50,7 @@ def sample_windows(
     width = max(reach) - min(reach) + 1
     if method == "auto":
         reads = len(stamps) + len(label_stamps)
-        method = "scatter" if jump * 2 >= reads or width > 8 * reads else "frame"
+        method = "scatter" if jump >= 2 * reads or width > 8 * reads else "frame"
     build = {"frame": _by_frame, "scatter": _by_scatter}[method]
     rows = grid.select(group, "pos", "length", F.struct(*features).alias("__f"), F.col(label).alias("__l"))
     read = build(rows, group, stamps, label_stamps, jump, padding, start, segment)
@@ -156,7 +157,7 @@ def cap_per_class(df: DataFrame, label: str, order: Sequence[str], max_rows: int
     """
     ranked = dense_index(df, order, [label], "__r")
     sizes = df.groupBy(label).agg(F.count("*").alias("__n")).withColumn("__m", F.col("__n") - max_rows)
-    sizes = sizes.withColumnRenamed(label, "__label")
+    sizes = materialize(sizes.withColumnRenamed(label, "__label"), "sizes")
     r, n, m = F.col("__r"), F.col("__n"), F.col("__m")
     k = F.expr("(__r * __m + __n - 1) div __n")
     drop = (m > 0) & (k < m) & F.expr("((__r * __m + __n - 1) div __n) * __n div __m = __r")

@@ -32,7 +32,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once into the shared folder and continue from the written table.
 
-    One pass, survives the loss of executors, and later readers still prune columns.
+    One pass, survives the loss of executors, and later readers still prune columns. Small summary tables are
+    written too before they meet all rows: their size is then known when the join is planned, so they are
+    broadcast only if they really are small, and the rows are not shuffled just to find that out.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
