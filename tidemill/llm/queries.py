@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import simhash
+from tidemill.llm import decontamination, language_id, line_dedup, packing, simhash
+from tidemill.llm.common import bucket_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,8 +28,46 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def learned_language(docs: DataFrame) -> language_id.Model:
+    """What may be learned from: rows whose crc32 of the id, modulo 5, is not 0."""
+    return language_id.fit(docs.where(bucket_of("doc_id", 5) != 0))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    """Predicted language of every document, learned from four fifths of them."""
+    docs = read(spark, sf_dir, "documents")
+    named = docs.select("doc_id", "text", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
+    return language_id.identify(named, learned_language(docs), ["doc_id", "held_out"])
+
+
+@query("op2_benchmark_passages")
+def op2(spark, sf_dir):
+    """Every document that holds a passage of a benchmark item, with the item and where."""
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 @query("op3_simhash_groups")
 def op3(spark, sf_dir):
     """SimHash near-copies of whole documents: 4-word shingles, links at 4 bits or fewer."""
     found = simhash.near_groups(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@query("op7_packed_sequences")
+def op7(spark, sf_dir):
+    """Where each piece of each document goes in sequences of 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op9_line_dedup", line_dedup.SQL)
+def op9(spark, sf_dir):
+    """Documents without the lines of repeated three-line windows."""
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
