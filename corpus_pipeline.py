@@ -2,11 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemill.llm import decontamination, language_id, line_dedup, packing, queries, simhash
 from tidemill.session import fresh_path
 
-STAGES = []
+SURE = 0.5  # calibrated probability of the language below which a document is rejected
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter, and those whose language is less than even odds, go."""
+    named = language_id.identify(docs, queries.learned_language(docs), docs.columns)
+    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without later occurrences of three-line passages; n_chars follows the text."""
+    cut = line_dedup.dedup_lines(docs)
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return cut.select(*columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id in each SimHash group. Of rows that share that id, the least text stays.
+
+    A row of null id stands for its group only if no row of the group has an id.
+    """
+    groups = simhash.near_groups(docs)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    chosen = docs.join(stay, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    chosen = chosen.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select(*docs.columns)
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return chosen
+    alone = groups.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("fp"))
+    marked = simhash.fingerprints(nameless, docs.columns).join(alone.select("fp"), "fp", "left_semi")
+    return chosen.unionByName(marked.dropDuplicates(["fp"]).select(*docs.columns))
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document, with its place in sequences of 2048 tokens."""
+    return packing.pack(docs, queries.tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language id", keep_known_language),
+    ("line dedup", drop_repeated_lines),
+    ("simhash near-dedup", one_of_each_group),
+    ("benchmark decontamination", drop_benchmark_passages),
+    ("best-fit packing", pack_sequences),
+]
 
 ORACLE_SQL = None  # SQL cannot express the learned language model, SimHash or the packing
 
