@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontamination, language_id, line_dedup, packing, simhash
-from tidemill.llm.common import bucket_of
+from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, packing, simhash
+from tidemill.llm.common import Scratch, bucket_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op3(spark, sf_dir):
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    """Licence notices of every document: base phrases by word, and the labels of all rules that stay."""
+    return licenses.summary(read(spark, sf_dir, "documents"))
+
+
 @query("op7_packed_sequences")
 def op7(spark, sf_dir):
     """Where each piece of each document goes in sequences of 2048 tokens."""
@@ -71,3 +77,11 @@ def op9(spark, sf_dir):
     """Documents without the lines of repeated three-line windows."""
     found = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op10_class_language_model")
+def op10(spark, sf_dir):
+    """Class-based bigram scores of every document, learned from six sevenths of them."""
+    scratch = Scratch(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(bucket_of("doc_id", 7) == 2, F.lit(False)).alias("held_out"))
+    return class_lm.score(docs, class_lm.fit(docs.where("NOT held_out"), scratch), ["doc_id", "held_out"], scratch)
