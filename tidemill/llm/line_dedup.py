@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     spans = scratch.write(spans, "line-spans").select(F.col("__id").alias("__sid"), F.col("__th").alias("__sth"), "__spans")
 
     joined = docs.withColumn("__th", F.xxhash64(text)).join(
-        spans, F.col(id_column).eqNullSafe(F.col("__sid")) & (F.col("__th") == F.col("__sth")), "left")
+        spans.hint("merge"), F.col(id_column).eqNullSafe(F.col("__sid")) & (F.col("__th") == F.col("__sth")), "left")
     cut, n = F.col("__spans"), F.size(lines)
 
     def piece(i):
