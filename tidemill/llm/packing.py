@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -16,47 +19,67 @@ from tidemill.llm.common import Scratch, map_text
 
 CAPACITY = 2048
 END = 0
-REMEMBERED = 400_000  # words whose ids a task keeps; beyond that it starts anew
+LAST = np.array([END], dtype="<u4").tobytes()
+REMEMBERED = 300_000  # words whose ids a task keeps, and as many older ones
 LONG_WORD = 64  # longer words are not remembered
 SPLITS = 64  # parts of a length whose pieces are numbered apart from each other
 
 
 class Encoder:
-    """Ids of whole texts. Words between white space are encoded once and remembered, as they never depend on their neighbours
-    in a tokenizer that splits at white space and drops it."""
+    """Ids of whole texts by a tokenizer that lower-cases and then encodes each word, digit and run of signs apart.
+
+    Texts of ASCII and Latin letters only are split here the way the tokenizer splits them, and each different part is encoded
+    once and remembered; all other texts are given to the tokenizer whole. The ids are the same.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        letters = [chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha() and len(chr(c).lower()) == 1]
+        self.plain = {*map(chr, range(0x1C)), *map(chr, range(0x20, 0x80)), *letters} - set("ŉſ")
+        # fixed value: how the tokenizer of this vocabulary splits words
+        self.parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\s0-9a-zß-öø-ſ]+").findall
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words, new = [], set()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
+        if len(self.known) > REMEMBERED:  # what is used again is taken over
+            self.known, self.older = {}, self.known
+        known, words = self.known, []
         for t in texts:
-            if any(c in t for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
-                words.append(None)
-                continue
-            if t.isascii() and "<|" not in t:
-                t = t.lower()  # as the tokenizer does
-            w = t.split()
-            words.append(w)
-            new.update(x for x in w if x not in known)
-        fresh = list(new)
-        for i in range(0, len(fresh), 4096):
-            for word, e in zip(fresh[i:i + 4096], self.tokenizer.encode_batch_fast(fresh[i:i + 4096], add_special_tokens=False)):
-                known[word] = e.ids
+            words.append(self.parts(t.lower()) if self.plain.issuperset(t) and "<|" not in t else None)
+        fresh = []
+        for w in set(chain.from_iterable(filter(None, words))).difference(known):
+            if (ids := self.older.get(w)) is None:
+                fresh.append(w)
+            else:
+                known[w] = ids
+        for i in range(0, len(fresh), 64):
+            some = fresh[i:i + 64]
+            ids = np.array(self._ids(" ".join(some)), dtype="<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(some):
+                all_bytes = ids.tobytes()
+                begin = 0
+                for word, end in zip(some, (4 * ends).tolist()):
+                    known[word] = all_bytes[begin:end]
+                    begin = end
+            else:
+                known.update((word, np.array(self._ids(word), dtype="<u4").tobytes()) for word in some)
         out = []
-        for t, w in zip(texts, words):
-            if w is None:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+        for t, part in zip(texts, words):
+            if part is None:
+                out.append(np.array([*self._ids(t), END], dtype="<u4"))
             else:
-                ids = []
-                for x in w:
-                    ids += known[x]
-            out.append(np.array([*ids, END], dtype="<u4"))
+                out.append(np.frombuffer(b"".join([*map(known.__getitem__, part), LAST]), dtype="<u4"))
         for word in fresh:
             if len(word) > LONG_WORD:
                 del known[word]
