@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, packing, simhash
+from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, packing, simhash, suffix_dedup, token_counts, topk
 from tidemill.llm.common import Scratch, bucket_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,18 +60,38 @@ def op3(spark, sf_dir):
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+@query("op4_section_tokens")
+def op4(spark, sf_dir):
+    """Tokens of every section of every document: its source, its language, and each line of its text."""
+    docs = read(spark, sf_dir, "documents")
+    return token_counts.record_sections(docs, tokenizer_file("byte_bpe_50k.tiktoken"), ["doc_id"], ["source", "lang", "text"])
+
+
 @query("op5_license_scan")
 def op5(spark, sf_dir):
     """Licence notices of every document: base phrases by word, and the labels of all rules that stay."""
     return licenses.summary(read(spark, sf_dir, "documents"))
 
 
+@query("op6_repeated_bytes")
+def op6(spark, sf_dir):
+    """Bytes of every document that belong to strings of 200 bytes found elsewhere, too."""
+    return suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op7_packed_sequences")
 def op7(spark, sf_dir):
     """Where each piece of each document goes in sequences of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op8_top_k", topk.SQL)
+def op8(spark, sf_dir):
+    """The 10 best integer inner products of every hundredth vector among all others."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 @query("op9_line_dedup", line_dedup.SQL)
 def op9(spark, sf_dir):
     """Documents without the lines of repeated three-line windows."""
