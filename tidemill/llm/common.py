@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.session import fresh_path
 
 SPACE = "\\x20\\x09-\\x0D"
+BATCH_MB = 8  # text that a Python worker is handed at once, unless the session says less
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARK_BATCH = "67108864b"  # fixed value: what Spark has where nobody sets it
 
 
 def bucket_of(id_column: str, n: int) -> Column:
@@ -19,6 +22,12 @@ def bucket_of(id_column: str, n: int) -> Column:
     return F.crc32(F.col(id_column).cast("string")) % n
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the bytes of an Arrow batch to ``BATCH_MB`` where the session still has Spark's own value."""
+    if spark.conf.get(_BATCH_CONF) == _SPARK_BATCH:
+        spark.conf.set(_BATCH_CONF, f"{BATCH_MB}MB")
+
+
 def map_text(
     df: DataFrame, keep: list[str], text: Column, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]],
     out: list[T.StructField],
@@ -26,8 +35,10 @@ def map_text(
     """Columns ``keep`` of every row beside columns computed in Arrow batches from the text's UTF-8 bytes.
 
     ``make()`` runs once per task and returns the function of a batch. Batches are bounded by rows and by bytes
-    (``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts do not pile up.
+    (see ``bound_batches``), so long texts do not pile up in the executor, in Python or between them. Workers outlive a task, so what Arrow
+    keeps in reserve is given back at its end.
     """
+    bound_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + out)
     probe = "__text_bytes"
     narrow = df.select(*keep, F.encode(text, "UTF-8").alias(probe))
@@ -39,6 +50,9 @@ def map_text(
                 made = fn(batch.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made,
                                                  names=[f.name for f in schema.fields])
+                del made, batch
+        del fn
+        pa.default_memory_pool().release_unused()
 
     return narrow.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import map_text
+from tidemill.llm.common import bound_batches, map_text
 
 SIZE = 1 << 15  # hashed n-gram features
 ORDERS = (1, 2, 3)
@@ -118,6 +118,7 @@ def fit(rows: DataFrame, id_column: str = "doc_id", text: str = "text", label: s
     id at a rate that gives each label the same share; a fifth of these is held back for the temperature. What reaches the
     driver is one row per feature and at most ``SIZE`` numbers for each sampled row, whatever the input's size.
     """
+    bound_batches(rows.sparkSession)
     rows = rows.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
 
     def presence(batches):
