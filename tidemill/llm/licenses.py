@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.arrays import bind
 from tidemill.llm.common import Scratch
 
 
@@ -151,7 +152,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tupl
 
     has = {phrase: wide.contains(f" {phrase} ") for phrase, _ in BASE}
     none = F.array().cast("array<int>")
-    places = F.concat(*[F.when(has[p], _starts(F.split(F.col("__w"), " ", -1), p)).otherwise(none) for p, _ in BASE])
+    some = has[BASE[0][0]]
+    for p, _ in BASE[1:]:
+        some = some | has[p]
+    places = F.when(some, bind(F.split(F.col("__w"), " ", -1), lambda words: F.concat(*[_starts(words, p) for p, _ in BASE]))).otherwise(none)
     base_labels = F.array_sort(F.array_compact(F.array(*[F.when(has[p], F.lit(label)) for p, label in BASE])))
 
     listed = rules()
@@ -174,7 +178,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tupl
 
     found = base.select(
         id_column, "text_hash", n_words.cast("bigint").alias("n_words"), places.alias("__places"), base_labels.alias("base_labels"),
-        F.when(gate, F.flatten(F.transform(F.array(present), tried))).alias("__tried"))
+        F.when(gate, bind(present, tried)).alias("__tried"))
     found = scratch.write(found, "licence-scan")
 
     documents = found.select(
