@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from tidemill.session import clear_scratch  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,6 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

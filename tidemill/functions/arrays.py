@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -60,6 +62,11 @@ def interpolate(series: Column) -> Column:
     return _interpolate(series.cast("array<double>"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, though ``use`` may read it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(series: Column) -> Column:
     return F.aggregate(series, F.lit(0.0), lambda a, x: a + x)
 
@@ -70,16 +77,15 @@ def mean(series: Column) -> Column:
 
 def spread(series: Column, ddof: int = 1) -> Column:
     """Standard deviation of one array; null when fewer than ``ddof + 1`` values."""
-    m = mean(series)
-    squares = F.aggregate(series, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    squares = bind(mean(series), lambda m: F.aggregate(series, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
     return F.sqrt(F.try_divide(squares, F.size(series) - ddof))
 
 
 def standardize(series: Column, ddof: int = 1, constant_divisor: float | None = None) -> Column:
     """(x - mean) / std of the row's own series; a constant series gives nulls, or divides by the given value."""
-    m, s = mean(series), spread(series, ddof)
+    s = spread(series, ddof)
     divisor = s if constant_divisor is None else F.coalesce(F.nullif(s, F.lit(0.0)), F.lit(constant_divisor))
-    return F.transform(series, lambda x: F.try_divide(x - m, divisor))
+    return bind(F.struct(mean(series).alias("m"), divisor.alias("d")), lambda v: F.transform(series, lambda x: F.try_divide(x - v["m"], v["d"])))
 
 
 def minmax(series: Column, eps: float = 2.220446049250313e-16, constant_divisor: float | None = None) -> Column:
@@ -88,7 +94,7 @@ def minmax(series: Column, eps: float = 2.220446049250313e-16, constant_divisor:
         divisor = hi - lo + F.lit(eps)
     else:
         divisor = F.coalesce(F.nullif(hi - lo, F.lit(0.0)), F.lit(constant_divisor))
-    return F.transform(series, lambda x: F.try_divide(x - lo, divisor))
+    return bind(F.struct(lo.alias("lo"), divisor.alias("d")), lambda v: F.transform(series, lambda x: F.try_divide(x - v["lo"], v["d"])))
 
 
 def transpose(rows: Column) -> Column:
@@ -104,10 +110,14 @@ def take(series: Column, indexes: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda s: F.exp(s - top))
-    norm = total(raised)
-    return F.transform(raised, lambda e: e / norm)
+    raised = bind(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp(s - top)))
+    return bind(raised, lambda r: bind(total(r), lambda norm: F.transform(r, lambda e: e / norm)))
+
+
+def log_softmax_at(scores: Column, index: Column) -> Column:
+    """Logarithm of one entry of ``softmax``, without making the others."""
+    return bind(F.array_max(scores), lambda top: F.get(scores, index.cast("int")) - top - F.log(
+        F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - top))))
 
 
 def logistic_pair(score: Column) -> Column:

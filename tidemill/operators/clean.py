@@ -105,14 +105,17 @@ def join_measurements(thickness: DataFrame, roughness: DataFrame, job: str = "Pr
 
 
 def health_check(df: DataFrame, columns: Sequence[str], bins: int = 20, tiny: float = 1e-8, huge: float = 1e6) -> tuple[DataFrame, DataFrame]:
-    """Per feature: nulls, near-zero and huge values, min, approximate median, max; and an even-width histogram."""
+    """Per feature: nulls, near-zero and huge values, min, exact median, max; and an even-width histogram."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])))
     summary = long.groupBy("feature").agg(
         F.count_if(F.col("x").isNull() | F.isnan("x")).alias("missing"),
         F.count_if(F.abs("x") < tiny).alias("near_zero"),
         F.count_if(F.abs("x") > huge).alias("huge"),
-        F.min("x").alias("min"), F.percentile_approx("x", 0.5, 10000).alias("median"), F.max("x").alias("max"),
+        F.min("x").alias("min"), F.max("x").alias("max"),
     )
+    medians = materialize(median_per_file(long.filter(~F.isnan("x")), "feature", "x").withColumnRenamed("feature", "__feature"), "medians")
+    summary = summary.join(medians, F.col("feature") == F.col("__feature"), "left").select(
+        "feature", "missing", "near_zero", "huge", "min", "median", "max")
     limits = summary.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("min", "max")))).alias("m")).scalar()
     b = F.element_at(F.col("__m"), F.col("feature"))
     width = F.nullif((b["max"] - b["min"]) / bins, F.lit(0.0))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemill.functions.arrays import bind
 from tidemill.functions.hashing import uniform
 
 
@@ -19,26 +23,39 @@ def bernoulli_keep(
     return F.when(f.isin(list(exclude)), F.lit(True)).otherwise(keep) if exclude else keep
 
 
-def markov_keep(length: Column, ratio: float, mean_len: float, seed: int, *key: Column) -> Column:
-    """``array<boolean>`` of a two-state chain: hidden runs of ``mean_len`` steps on average, ``ratio`` hidden overall.
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.BooleanType())))
+def _walk(dims: pd.Series, key: pd.Series, seed: pd.Series, apart: pd.Series, ratio: pd.Series, stop_kept: pd.Series, stop_hidden: pd.Series) -> pd.Series:
+    def row(series, name, salt, separate, r, kept, hidden):
+        if series is None:
+            return None
+        out = []
+        for f, steps in enumerate(series):
+            stem = "-".join([str(salt), *([] if name is None else [name]), *([str(f)] if separate else [])]) + "-"
 
-    The chain is folded inside the row over hashed uniforms: step -1 draws the start, step t the move after t.
+            def draw(t, stem=stem):
+                return int(md5(f"{stem}{t}".encode()).hexdigest()[:8], 16) / 2.0**32
+
+            state, flags = draw(-1) > r, []
+            for t in range(0 if steps is None else len(steps)):
+                flags.append(state)
+                state = state != (draw(t) < (kept if state else hidden))
+            out.append(flags)
+        return out
+
+    return pd.Series([row(*x) for x in zip(dims, key, seed, apart, ratio, stop_kept, stop_hidden)])
+
+
+def markov_keep(dims: Column, ratio: float, mean_len: float, seed: int, key: Column, apart: bool = True) -> Column:
+    """``array<array<boolean>>`` of the shape of ``dims``, a two-state chain for each series: hidden runs of ``mean_len`` steps on
+    average, ``ratio`` hidden overall.
+
+    The draws are ``uniform`` of the key, the series if ``apart``, and the step: step -1 draws the start, step t the move after t. The
+    chains are followed in Arrow batches in linear time; folded with array functions, each step would copy the row.
     """
-    steps = F.sequence(F.lit(0), length.cast("int") - 1)
     if ratio >= 1:
-        return F.transform(steps, lambda _: F.lit(False))
+        return F.transform(dims, lambda s: F.transform(s, lambda _: F.lit(False)))
     stop_hidden = 1.0 / mean_len
-    stop_kept = stop_hidden * ratio / (1 - ratio)
-    begin = F.struct(
-        (uniform(seed, *key, F.lit(-1)) > ratio).alias("s"), F.array().cast("array<boolean>").alias("out")
-    )
-
-    def step(acc: Column, t: Column) -> Column:
-        stop = F.when(acc["s"], F.lit(stop_kept)).otherwise(F.lit(stop_hidden))
-        flip = uniform(seed, *key, t) < stop
-        return F.struct((acc["s"] != flip).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
-
-    return F.aggregate(steps, begin, step, lambda acc: acc["out"])
+    return _walk(dims, key.cast("string"), F.lit(seed), F.lit(apart), F.lit(float(ratio)), F.lit(stop_hidden * ratio / (1 - ratio)), F.lit(stop_hidden))
 
 
 def noise_mask(
@@ -57,15 +74,15 @@ def noise_mask(
     if mode not in ("separate", "concurrent") or distribution not in ("geometric", "bernoulli"):
         raise ValueError("unknown mask mode or distribution")
     key = F.col(sample)
+    if distribution == "geometric":
+        df = df.withColumn(out, markov_keep(F.col(dims), ratio, mean_len, seed, key, mode == "separate"))
+        if exclude:
+            df = df.withColumn(out, F.transform(out, lambda row, f: F.when(
+                f.isin(list(exclude)), F.transform(row, lambda _: F.lit(True))).otherwise(row)))
+        return df
 
     def row(series: Column, f: Column) -> Column:
-        if distribution == "geometric":
-            parts = (key, f) if mode == "separate" else (key,)
-            keep = markov_keep(F.size(series), ratio, mean_len, seed, *parts)
-        else:
-            keep = F.transform(
-                F.sequence(F.lit(0), F.size(series) - 1), lambda t: bernoulli_keep(ratio, seed, key, t, f, mode)
-            )
+        keep = F.transform(F.sequence(F.lit(0), F.size(series) - 1), lambda t: bernoulli_keep(ratio, seed, key, t, f, mode))
         if exclude:
             keep = F.when(f.isin(list(exclude)), F.transform(series, lambda _: F.lit(True))).otherwise(keep)
         return F.when(F.size(series) > 0, keep).otherwise(F.array().cast("array<boolean>"))
@@ -94,18 +111,18 @@ def apply_mask(df: DataFrame, dims: str, mask: str, compensate: bool = False) ->
     """
     pairs = F.transform(F.arrays_zip(F.col(dims).alias("x"), F.col(mask).alias("m")),
                         lambda z: F.arrays_zip(z["x"].alias("v"), z["m"].alias("k")))
-    width = F.size(dims)
-
-    def visible(t: Column) -> Column:
-        return F.greatest(F.lit(1), F.aggregate(mask, F.lit(0), lambda a, r: a + F.get(r, t).cast("int")))
-
-    def value(z: Column, t: Column) -> Column:
-        kept = F.when(z["k"], z["v"]).otherwise(F.lit(0.0))
-        return kept * width / visible(t) if compensate else kept
-
+    kept = F.transform(pairs, lambda s: F.transform(s, lambda z: F.when(z["k"], z["v"]).otherwise(F.lit(0.0))))
+    if compensate:
+        # visible features of each step, counted once: the masks are added up series by series
+        none = F.transform(F.get(mask, F.lit(0)), lambda _: F.lit(0))
+        visible = F.aggregate(mask, none, lambda a, r: F.zip_with(a, r, lambda n, k: F.coalesce(n, F.lit(0)) + F.coalesce(k.cast("int"), F.lit(0))))
+        width = F.size(dims)
+        plain = kept
+        kept = bind(visible, lambda v: F.transform(plain, lambda s: F.transform(
+            s, lambda x, t: x * width / F.greatest(F.lit(1), F.get(v, t)))))
     return df.withColumns({
         "targets": F.col(dims),
-        dims: F.transform(pairs, lambda s: F.transform(s, value)),
+        dims: kept,
         "target_mask": F.transform(mask, lambda r: F.transform(r, lambda k: ~k)),
     })
 

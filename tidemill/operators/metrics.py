@@ -215,8 +215,10 @@ def cross_entropy(scores: Column, target: Column, given: str = "logits") -> Colu
     """Loss of one sample: -log of the target's probability."""
     if given not in ("logits", "probabilities"):
         raise ValueError(f"unknown score kind {given!r}")
-    probs = A.softmax(scores) if given == "logits" else scores
-    return -F.log(F.greatest(F.get(probs, target.cast("int")), F.lit(1e-300)))
+    least = F.lit(1e-300)
+    if given == "logits":
+        return -F.greatest(A.log_softmax_at(scores, target), F.log(least))
+    return -F.log(F.greatest(F.get(scores, target.cast("int")), least))
 
 
 def mean_loss(pred: DataFrame, loss: Column) -> DataFrame:

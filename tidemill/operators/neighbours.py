@@ -40,14 +40,23 @@ def nearest(
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"qid": [], "rid": [], "distance": [], "label": []})
-        b = b.sort_values("id", ignore_index=True)
-        refs = np.stack(b["v"].to_numpy())
-        out = []
-        for qid, v in zip(a["id"], a["v"]):
-            d = np.sqrt(((refs - v) ** 2).sum(axis=1))
-            best = np.lexsort((b["id"], d))[:k]
-            out.append(pd.DataFrame({"qid": qid, "rid": b["id"].to_numpy()[best], "distance": d[best], "label": b["label"].to_numpy()[best]}))
-        return pd.concat(out, ignore_index=True)
+        refs, asked, ids = np.stack(b["v"].to_numpy()), np.stack(a["v"].to_numpy()), b["id"].to_numpy()
+        found: list[list[np.ndarray]] = [[], [], []]
+        for begin in range(0, len(asked), 512):
+            some = asked[begin:begin + 512]
+            scale = (some ** 2).sum(axis=1)[:, None] + (refs ** 2).sum(axis=1)[None, :]
+            near = scale - 2 * some @ refs.T
+            m = min(k, len(refs))
+            # whatever rounding of the product may hide stays a candidate; its distance is then worked out directly
+            limit = np.partition(near, m - 1, axis=1)[:, m - 1:m] + 1e-9 * (1 + scale.max(axis=1, keepdims=True))
+            for i, row in enumerate(near <= limit):
+                at = np.flatnonzero(row)
+                d = np.sqrt(((refs[at] - some[i]) ** 2).sum(axis=1))
+                top = np.lexsort((ids[at], d))[:m]
+                for kept, x in zip(found, (np.full(len(top), begin + i), at[top], d[top])):
+                    kept.append(x)
+        q, r, d = (np.concatenate(x) for x in found)
+        return pd.DataFrame({"qid": a["id"].to_numpy()[q], "rid": ids[r], "distance": d, "label": b["label"].to_numpy()[r]})
 
     per_block = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(compare, _BEST)
     # per query: k rows from each reference block

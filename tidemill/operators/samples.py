@@ -111,11 +111,16 @@ def example_long(spark, cases: int = 50, length: int = 20, dims: int = 2, seed:
     return keyed.withColumn("value", uniform(seed, F.col("case_id"), F.col("dim_id"), F.col("reading_id")))
 
 
+def position_value(t: Column, d: Column, dim: int) -> Column:
+    """Positional encoding of step ``t`` in column ``d``, of any length: even columns sine, odd columns cosine of
+    t * 10000^(-2i/dim)."""
+    angle = t * F.exp((d - d % 2) * F.lit(-9.210340371976184 / dim))
+    return F.when(d % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))
+
+
 def positional_encoding(spark, max_len: int, dim: int) -> DataFrame:
-    """Sine/cosine table (t, d, value): even columns sine, odd columns cosine of t * 10000^(-2i/dim)."""
+    """The same as a table (t, d, value) of ``max_len`` steps."""
     grid = spark.range(max_len).select(F.col("id").alias("t")).withColumn(
         "d", F.explode(F.sequence(F.lit(0), F.lit(dim - 1)))
     )
-    even = F.expr("d div 2") * 2
-    angle = F.col("t") * F.exp(even * F.lit(-9.210340371976184 / dim))
-    return grid.select("t", "d", F.when(F.col("d") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)).alias("value"))
+    return grid.select("t", "d", position_value(F.col("t"), F.col("d"), dim).alias("value"))

@@ -92,12 +92,14 @@ def group_stratified_split(
     rest = ids
     if test_ratio:
         dealt = group_folds(ids, group, label, int(1 / test_ratio), seed, "test")
-        held = dealt.filter("part = 0").select(group)
-        test = ids.join(held, group, "left_semi")
-        rest = ids.join(held, group, "left_anti")
+        held = dealt.filter("part = 0").select(F.col(group).alias("__group"))
+        same = F.col(group).eqNullSafe(F.col("__group"))  # no group is a group, too
+        test = ids.join(held, same, "left_semi")
+        rest = ids.join(held, same, "left_anti")
         parts.append(test.withColumn("fold", numbers).select("fold", sample, F.lit("test").alias("split")))
     dealt = group_folds(rest, group, label, k, seed, "val")
-    others = rest.join(dealt, group).withColumn("fold", numbers)
+    dealt = dealt.withColumnRenamed(group, "__group")
+    others = rest.join(dealt, F.col(group).eqNullSafe(F.col("__group"))).withColumn("fold", numbers)
     role = F.when(F.col("part") == F.col("fold"), F.lit("val")).otherwise(F.lit("train"))
     out = others.select("fold", sample, role.alias("split"))
     for p in parts:
@@ -110,7 +112,8 @@ def group_split(df: DataFrame, sample: str, group: str, val_ratio: float, test_r
     """Whole groups drawn at random, without regard to labels: exactly ceil(ratio * groups) of them."""
     groups = df.select(group).distinct()
     roles = ratio_split(groups, group, val_ratio, test_ratio, folds, seed)
-    return df.select(sample, group).join(roles, group).select("fold", sample, "split")
+    roles = roles.withColumnRenamed(group, "__group")
+    return df.select(sample, group).join(roles, F.col(group).eqNullSafe(F.col("__group"))).select("fold", sample, "split")
 
 
 def group_list_split(df: DataFrame, sample: str, group: str, test_groups: Sequence = (), val_groups: Sequence = (),

@@ -158,9 +158,10 @@ def cap_per_class(df: DataFrame, label: str, order: Sequence[str], max_rows: int
     ranked = dense_index(df, order, [label], "__r")
     sizes = df.groupBy(label).agg(F.count("*").alias("__n")).withColumn("__m", F.col("__n") - max_rows)
     sizes = materialize(sizes.withColumnRenamed(label, "__label"), "sizes")
-    r, n, m = F.col("__r"), F.col("__n"), F.col("__m")
-    k = F.expr("(__r * __m + __n - 1) div __n")
-    drop = (m > 0) & (k < m) & F.expr("((__r * __m + __n - 1) div __n) * __n div __m = __r")
+    m = F.col("__m")
+    # products of two counts outgrow 64 bits
+    k = "((CAST(__r AS DECIMAL(19, 0)) * CAST(__m AS DECIMAL(18, 0)) + __n - 1) div __n)"
+    drop = (m > 0) & F.expr(f"{k} < __m AND CAST({k} AS DECIMAL(19, 0)) * CAST(__n AS DECIMAL(18, 0)) div __m = __r")
     joined = ranked.join(sizes, F.col(label).eqNullSafe(F.col("__label")))
     return joined.filter((m <= 0) | ~drop).select(*df.columns)
 

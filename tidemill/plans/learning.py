@@ -12,8 +12,10 @@ from tidemill.operators import models as L
 from tidemill.operators import neighbours as NB
 from tidemill.operators import splits as X
 from tidemill.operators import tracking as T
+from tidemill.functions.hashing import uniform
 from tidemill.plans.registry import events, query, r6, table
-from tidemill.plans.samples import KEEP, VEC, cells, exploded, vectors
+from tidemill.plans.samples import KEEP, VEC, cells, exploded, uniform_sql, vectors
+from tidemill.plans.series import EV
 from tidemill.session import fresh_path, materialize
 
 
@@ -83,10 +85,10 @@ def votes(spark, sf):
     return NB.vote(NB.nearest(test, train, "sample_id", "series", "label", 5, block_rows=128))
 
 
-FEATS = tuple(f"x{i}" for i in range(8))
+FEATS = tuple(f"x{i}" for i in range(64))
 
 
-@query("gaussian_naive_bayes", """WITH l AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(generate_series(1, 8)) AS i)),
+@query("gaussian_naive_bayes", """WITH l AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i)),
 m AS (SELECT label, i, count(*) AS n, avg(x) AS mu, var_pop(x) + 1e-9 AS v FROM l WHERE vec_id % 5 <> 0 GROUP BY 1, 2),
 s AS (SELECT l.vec_id, m.label, ln(any_value(n)) + sum(-ln(v) / 2 - (x - mu) * (x - mu) / (2 * v)) AS score FROM l JOIN m ON m.i = l.i WHERE vec_id % 5 = 0 GROUP BY 1, 2)
 SELECT vec_id AS sample_id, arg_max(label, score) AS pred, round(max(score), 5) AS score FROM s GROUP BY 1""")
@@ -97,7 +99,7 @@ def naive_bayes(spark, sf):
 
 
 @query("gaussian_moments", """SELECT label, 'x' || (i - 1) AS feature, count(*) AS n, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, round(var_pop(CAST(embedding[i] AS DOUBLE)), 8) AS var
-FROM embeddings, (SELECT unnest(generate_series(1, 8)) AS i) GROUP BY 1, 2, i""")
+FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2, i""")
 def moments(spark, sf):
     v = vectors(spark, sf).select("label", *[F.col("series")[i].alias(c) for i, c in enumerate(FEATS)])
     return L.gaussian_moments(v, "label", FEATS).select("label", "feature", "n", r6("mean").alias("mean"), r6("var", 8).alias("var"))
@@ -177,10 +179,16 @@ def imputation(spark, sf):
     return L.impute_and_score(series, "series_id", "t", "x", "keep").withColumn("mse", r6("mse", 8))
 
 
-@query("transduction_task")
+@query("transduction_task", f"""WITH {EV}, d AS (SELECT event_id % 64 AS t, value AS a, k AS b, value * 0.5 + k + {uniform_sql("'5'", 'CAST(event_id AS VARCHAR)')} * 20 AS y FROM ev),
+m AS (SELECT *, t >= 12 AND t < 44 AS hidden FROM d), s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+  covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM m WHERE NOT hidden),
+w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM s)
+SELECT round(avg(pow(y - (my + wa * (a - ma) + wb * (b - mb)), 2)), 5) AS mse, count(*) AS cells FROM m, w WHERE hidden""")
 def transduction(spark, sf):
-    e = events(spark, sf)
-    df = e.withColumn("keep", F.col("event_id") % 4 != 0).withColumn("mixed", F.col("value") * 0.5 + F.col("k"))
-    out = L.transduce(df, ["mixed"], ["value", "k"], "keep")
+    """A third feature, noisy and hidden in the middle of each block of events, from the two visible ones."""
+    noise = uniform(5, F.col("event_id")) * 20
+    df = events(spark, sf).withColumn("mixed", F.col("value") * 0.5 + F.col("k") + noise)
+    keep = K.transduct_keep(F.col("event_id") % 64, F.lit(2), F.lit(64), (2,), 0.2, 0.3)
+    out = L.transduce(df.withColumn("keep", keep), ["mixed"], ["value", "k"], "keep", solver="normal")
     cells_ = out.select("mixed", F.col("mixed_pred").alias("p"), (~F.col("keep")).alias("predict"))
-    return M.masked_mse(cells_, "mixed", "p", F.col("predict"), F.lit(True)).withColumn("mse", r6("mse"))
+    return M.masked_mse(cells_, "mixed", "p", F.col("predict"), F.lit(True)).withColumn("mse", r6("mse", 5))

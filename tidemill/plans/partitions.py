@@ -76,7 +76,7 @@ def group_list(spark, sf):
     return X.split(events(spark, sf), "by_group_list", "event_id", group="user_id", test_groups=(1, 3), val_groups=(5, 7))
 
 
-@query("split_by_file_pattern")
+@query("split_by_file_pattern", """SELECT 0 AS fold, event_id, CASE WHEN event_id % 8 < 2 THEN 'test' WHEN event_id % 8 = 2 THEN 'val' ELSE 'train' END AS split FROM events""")
 def pattern(spark, sf):
     path = fresh_path(spark, "parts")
     events(spark, sf).select("event_id", (F.col("event_id") % 8).alias("part")).write.partitionBy("part").parquet(path)
@@ -155,7 +155,8 @@ def set_ops(spark, sf):
     return out
 
 
-@query("split_kind_by_task")
+@query("split_kind_by_task", f"""WITH src AS ({EVENT_IDS}), {deal_sql('src', 'v', 4, 'val')}
+SELECT 0 AS fold, event_id, CASE WHEN part = 0 THEN 'val' ELSE 'train' END AS split FROM src s JOIN d_v ON d_v.user_id = s.user_id""")
 def kinds(spark, sf):
     df = events(spark, sf)
     kind = X.choose_kind("classification", "event_type", "user_id")

@@ -38,6 +38,7 @@ VEC = """v AS (SELECT vec_id AS sample_id, label, i - 1 AS t, CAST(embedding[i]
   FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i))"""
 TALK = """tk AS (SELECT conv_id AS sample_id, CAST(length(text) AS DOUBLE) AS x, count(*) OVER (PARTITION BY conv_id) AS n,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t FROM conversations)"""
+BLOCK = 64  # events that make a sample of bounded size
 EPS = "2.220446049250313e-16"
 STATS = "st AS (SELECT avg(value) AS m, stddev_samp(value) AS s, min(value) AS lo, max(value) AS hi, avg(k) AS km, stddev_samp(k) AS ks, min(k) AS klo, max(k) AS khi FROM {})"
 
@@ -197,17 +198,18 @@ def nested_to_steps(spark, sf):
     return P.nested_to_steps(vectors(spark, sf), "sample_id", names=("a", "b")).select("sample_id", "t", r6("a").alias("a"), r6("b").alias("b"))
 
 
-@query("long_to_nested", """SELECT user_id AS case_id, CAST(d AS INTEGER) AS dim_id, CAST(row_number() OVER (PARTITION BY user_id, d ORDER BY event_id) - 1 AS INTEGER) AS reading_id, value
+@query("long_to_nested", f"""SELECT event_id // {BLOCK} AS case_id, CAST(d AS INTEGER) AS dim_id, CAST(row_number() OVER (PARTITION BY event_id // {BLOCK}, d ORDER BY event_id) - 1 AS INTEGER) AS reading_id, value
 FROM (SELECT *, event_id % 2 AS d FROM events)""")
 def long_to_nested(spark, sf):
-    df = events(spark, sf).select(F.col("user_id").alias("case_id"), (F.col("event_id") % 2).alias("dim"), F.col("event_id").alias("reading"), "value")
+    """A case is a block of events, so its size does not depend on the number of events."""
+    df = events(spark, sf).select(F.expr(f"event_id div {BLOCK}").alias("case_id"), (F.col("event_id") % 2).alias("dim"), F.col("event_id").alias("reading"), "value")
     return P.nested_to_long(P.long_to_nested(df, "case_id", "dim", "reading", "value"), "case_id")
 
 
-@query("steps_to_nested", f"""WITH {EV} SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS t, value, k FROM ev""")
+@query("steps_to_nested", f"""WITH {EV} SELECT event_id // {BLOCK} AS block, CAST(row_number() OVER (PARTITION BY event_id // {BLOCK} ORDER BY event_id) - 1 AS INTEGER) AS t, value, k FROM ev""")
 def steps_to_nested(spark, sf):
-    nested = P.steps_to_nested(events(spark, sf), "user_id", "event_id", ["value", "k"])
-    return P.nested_to_steps(nested, "user_id", names=("value", "k"))
+    nested = P.steps_to_nested(events(spark, sf).withColumn("block", F.expr(f"event_id div {BLOCK}")), "block", "event_id", ["value", "k"])
+    return P.nested_to_steps(nested, "block", names=("value", "k"))
 
 
 @query("length_statistics", f"""WITH {TALK}, l AS (SELECT sample_id, count(*) AS n, least(count(*), 4) AS m FROM tk GROUP BY 1)
@@ -243,10 +245,10 @@ def keep_listed(spark, sf):
     return P.keep_ids(exploded(vectors(spark, sf)), ids, "sample_id").groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
-@query("features_with_labels_and_groups", """SELECT vec_id AS sample_id, e.label, l.quality, round(CAST(embedding[1] AS DOUBLE), 6) AS x, d.lang AS grp
-FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id JOIN documents d ON d.doc_id = e.vec_id""")
+@query("features_with_labels_and_groups", f"""WITH {VEC} SELECT sample_id, v.label, CAST(t AS INTEGER) AS t, l.quality, round(x, 6) AS x, d.lang AS grp
+FROM v JOIN labels l ON l.doc_id = sample_id JOIN documents d ON d.doc_id = sample_id""")
 def attached(spark, sf):
-    v = vectors(spark, sf).select("sample_id", "label", r6(F.col("series")[0]).alias("x"))
+    v = vectors(spark, sf).select("sample_id", "label", F.posexplode("series").alias("t", "x")).withColumn("x", r6("x"))
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), "quality")
     groups = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("grp"))
     return P.attach(v, labels, "sample_id", groups)
@@ -255,10 +257,9 @@ def attached(spark, sf):
 @query("positional_encoding", """SELECT e.sample_id, t, CAST(d AS INTEGER) AS d, round(e.x + CASE WHEN d % 2 = 0 THEN sin(t * exp((d // 2) * 2 * (-9.210340371976184 / 4))) ELSE cos(t * exp((d // 2) * 2 * (-9.210340371976184 / 4))) END, 6) AS x
 FROM (SELECT conv_id AS sample_id, CAST(length(text) AS DOUBLE) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t FROM conversations) e, (SELECT unnest(generate_series(0, 3)) AS d)""")
 def encoded(spark, sf):
-    longest = 64
-    table_ = P.positional_encoding(spark, longest, 4)
     steps = exploded(talks(spark, sf)).withColumn("t", F.col("t").cast("bigint"))
-    return steps.join(table_, "t").select("sample_id", "t", "d", r6(F.col("x") + F.col("value")).alias("x"))
+    every = steps.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return every.select("sample_id", "t", "d", r6(F.col("x") + P.position_value(F.col("t"), F.col("d"), 4)).alias("x"))
 
 
 # ---- masks ---------------------------------------------------------------------------------------------
@@ -343,16 +344,16 @@ def schedule(spark, sf):
 
 
 @query("softmax_scores", """SELECT sample_id, CAST(c AS INTEGER) AS c, round(exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w), 6) AS p FROM
-(SELECT vec_id AS sample_id, i - 1 AS c, CAST(embedding[i] AS DOUBLE) AS s FROM embeddings, (SELECT unnest(generate_series(1, 10)) AS i)) WINDOW w AS (PARTITION BY sample_id)""")
+(SELECT vec_id AS sample_id, i - 1 AS c, CAST(embedding[i] AS DOUBLE) AS s FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i)) WINDOW w AS (PARTITION BY sample_id)""")
 def softmax(spark, sf):
-    df = vectors(spark, sf).select("sample_id", A.softmax(F.slice("series", 1, 10)).alias("p"))
+    df = vectors(spark, sf).select("sample_id", A.softmax(F.col("series")).alias("p"))
     return df.select("sample_id", F.posexplode("p").alias("c", "p")).withColumn("p", r6("p"))
 
 
-@query("logistic_scores", """SELECT vec_id AS sample_id, round(1 - 1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS p0, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS p1 FROM embeddings""")
+@query("logistic_scores", f"""WITH {VEC} SELECT sample_id, CAST(t AS INTEGER) AS t, round(1 - 1 / (1 + exp(-x)), 6) AS p0, round(1 / (1 + exp(-x)), 6) AS p1 FROM v""")
 def logistic(spark, sf):
-    p = A.logistic_pair(F.col("series")[0])
-    return vectors(spark, sf).select("sample_id", r6(p[0]).alias("p0"), r6(p[1]).alias("p1"))
+    p = A.logistic_pair(F.col("x"))
+    return exploded(vectors(spark, sf)).select("sample_id", "t", r6(p[0]).alias("p0"), r6(p[1]).alias("p1"))
 
 
 @query("seconds_to_hms", f"""WITH {EV}, s AS (SELECT event_id, value * 100 AS v FROM ev) SELECT event_id, CAST(floor(v / 3600) AS BIGINT) AS hours,
@@ -367,7 +368,7 @@ SELECT sample_id, CAST(count(*) AS INTEGER) AS n, round(sum(x) FILTER (t BETWEEN
 round(sum(x) FILTER (t IN (5, 1, 9)), 6) AS taken, round(sum(y * y), 6) AS centred, round(sum(x) * 2, 6) AS tiled FROM c GROUP BY 1""")
 def array_functions(spark, sf):
     s = F.col("series")
-    centred = F.transform(s, lambda x: x - A.mean(s))
+    centred = A.bind(A.mean(s), lambda m: F.transform(s, lambda x: x - m))
     return vectors(spark, sf).select(
         "sample_id", F.size(s).alias("n"), r6(A.total(F.slice(s, 5, 8))).alias("sliced"),
         r6(A.total(F.filter(s, lambda _, i: i % 3 == 0))).alias("strided"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import samples as P
 from tidemill.operators import tracking as T
+from tidemill.plans.evaluation import PRED, predictions
 from tidemill.plans.registry import events, query, r6, table
 from tidemill.plans.samples import VEC, vectors
 from tidemill.session import fresh_path
@@ -62,28 +63,32 @@ def ts_labels(spark, sf):
     return restored(A.read_ts(spark, ts_files(spark, sf), extension=".txt"), "label").drop("dims")
 
 
-@query("ts_regression_read", "SELECT vec_id AS sample_id, round(CAST(embedding[1] AS DOUBLE), 9) AS target FROM embeddings")
+@query("ts_regression_read", f"""WITH {VEC}, f AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 9) AS target FROM embeddings)
+SELECT sample_id, CAST(t // 32 AS INTEGER) AS dim_id, CAST(t % 32 AS INTEGER) AS reading_id, CASE WHEN t % 32 % 5 <> 0 THEN round(x, 6) END AS value, target FROM v JOIN f ON vec_id = sample_id""")
 def ts_regression(spark, sf):
     got = A.read_ts(spark, ts_files(spark, sf, target=True), target="double", extension=".txt")
-    return restored(got, r6("target", 9).alias("target")).drop("dims")
+    cases = restored(got, r6("target", 9).alias("target"))
+    return long(cases).join(cases.select("sample_id", "target"), "sample_id")
 
 
-@query("ts_timestamped_read", """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS i, epoch_us(date_trunc('second', ts)) AS us, value,
+@query("ts_timestamped_read", f"""SELECT event_id // {CHUNK} AS block, CAST(row_number() OVER (PARTITION BY event_id // {CHUNK} ORDER BY ts, event_id) - 1 AS INTEGER) AS i, epoch_us(ts) AS us, value,
 CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events""")
 def ts_timestamped(spark, sf):
+    """A case is a block of events, so its line is of bounded size; stamps keep their microseconds."""
     path = fresh_path(spark, "tts")
     e = events(spark, sf)
-    steps = F.array_sort(F.collect_list(F.struct("us", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "value", "k")))
-    users = e.groupBy("user_id").agg(steps.alias("s"))
+    steps = F.array_sort(F.collect_list(F.struct("us", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "value", "k")))
+    blocks = e.groupBy(F.expr(f"event_id div {CHUNK}").alias("block")).agg(steps.alias("s"))
 
     def tuples(c):
         return F.array_join(F.transform("s", lambda x: F.concat(F.lit("("), x["at"], F.lit(","), x[c].cast("string"), F.lit(")"))), ",")
 
-    cases = users.select(F.col("user_id").alias("part"), F.lit(0).alias("o"), F.concat_ws(":", tuples("value"), tuples("k"), F.lit("a")).alias("line"))
-    R.write_lines(cases, "part", "o", R.ts_header("Users", False, ["a"], timestamps=True), path)
+    cases = blocks.select(F.expr(f"block div {CHUNK}").alias("part"), (F.col("block") % CHUNK).alias("o"), F.concat_ws(":", tuples("value"), tuples("k"), F.lit("a")).alias("line"))
+    R.write_lines(cases, "part", "o", R.ts_header("Blocks", False, ["a"], timestamps=True), path)
     got = A.read_ts(spark, path, extension=".txt")
     zipped = F.arrays_zip(F.col("times")[0].alias("us"), F.col("dims")[0].alias("value"), F.col("dims")[1].alias("k"))
-    return got.select(part_of("file").alias("user_id"), F.posexplode(zipped).alias("i", "z")).select("user_id", "i", "z.*")
+    block = part_of("file") * CHUNK + F.col("case_no")
+    return got.select(block.alias("block"), F.posexplode(zipped).alias("i", "z")).select("block", "i", "z.*")
 
 
 @query("ts_validation", f"""WITH s AS (SELECT vec_id, vec_id // {CHUNK} AS part, vec_id % {CHUNK} AS r, label FROM embeddings)
@@ -110,10 +115,10 @@ def arff_multi(spark, sf):
     return long(restored(A.parse_arff(read_lines(spark, path))))
 
 
-@query("arff_univariate_read", f"""WITH {VEC} SELECT sample_id, 'Cls' || label AS label, CAST(t AS INTEGER) AS reading_id, CASE WHEN t % 5 <> 0 THEN round(x, 6) END AS value FROM v WHERE t < 32""")
+@query("arff_univariate_read", f"""WITH {VEC} SELECT sample_id, 'Cls' || label AS label, CAST(t AS INTEGER) AS reading_id, CASE WHEN t % 32 % 5 <> 0 THEN round(x, 6) END AS value FROM v""")
 def arff_uni(spark, sf):
     path = fresh_path(spark, "arff1")
-    cases = numbered(spark, sf).select("part", "sample_id", F.concat_ws(",", R.series_text(F.col("dims")[0]), "label").alias("line"))
+    cases = numbered(spark, sf).select("part", "sample_id", F.concat_ws(",", R.series_text(F.flatten("dims")), "label").alias("line"))
     R.write_lines(cases, "part", "sample_id", ["@relation v", "@attribute a numeric", "@attribute class {a,b}", "@data"], path)
     got = restored(A.parse_arff(read_lines(spark, path)), "label")
     return got.select("sample_id", "label", F.posexplode(F.col("dims")[0]).alias("reading_id", "value")).withColumn("value", r6("value"))
@@ -130,48 +135,46 @@ def tsv(spark, sf):
 
 
 def csv_dir(df, spark, name, part):
+    """One file per value of ``part``, which is dropped from the rows; choose parts of bounded size."""
     path = fresh_path(spark, name)
-    df.withColumn("file", F.col(part)).repartition("file").sortWithinPartitions("file").write.partitionBy("file").option("header", True).csv(path)
+    df.withColumnRenamed(part, "file").repartition("file").sortWithinPartitions("file").write.partitionBy("file").option("header", True).csv(path)
     return path
 
 
 @query("disk_health_directory", """SELECT CAST(l_suppkey AS BIGINT) AS serial_number, p_type AS model, epoch_us(date_trunc('day', l_shipdate)) AS us, l_quantity > 49 AS failure, l_discount AS smart_1_raw
-FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type LIKE 'ST%' AND l_linenumber = 1""")
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type LIKE 'ST%'""")
 def disk_health(spark, sf):
-    l = table(spark, sf, "lineitem").filter("l_linenumber = 1").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     disks = l.select(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_suppkey").alias("serial_number"), F.col("p_type").alias("model"),
         (F.col("l_quantity") > 49).cast("int").alias("failure"), F.col("l_discount").alias("smart_1_raw"), F.col("l_tax").alias("smart_1_normalized"),
-        F.lit(None).cast("double").alias("smart_9_raw"), F.year("l_shipdate").alias("y"))
-    df = D.load_dataset(spark, "disk_health", csv_dir(disks, spark, "disks", "y"))
+        F.lit(None).cast("double").alias("smart_9_raw"), F.concat_ws("-", F.date_format("l_shipdate", "yyyy-MM"), F.expr("l_orderkey div 500000")).alias("y"))
+    df = D.load_dataset(spark, "disk_health", csv_dir(disks, spark, "disks", "y"), schema=disks.drop("y").schema)
     from tidemill.functions.scalars import epoch_us
 
     return df.select(F.col("serial_number").cast("bigint").alias("serial_number"), "model", epoch_us(F.col("date")).alias("us"), "failure", "smart_1_raw")
 
 
-@query("weld_directory", """WITH w AS (SELECT l_orderkey AS id, l_returnflag AS file, CASE WHEN l_orderkey % 13 = 5 THEN 1e17 ELSE l_extendedprice END AS pe, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS cur,
-  l_quantity AS te, l_discount + 1 AS dt FROM lineitem WHERE l_linenumber < 4), m AS (SELECT file, median(dt) AS md FROM w GROUP BY 1)
+@query("weld_directory", """WITH w AS (SELECT l_orderkey AS id, l_returnflag || l_orderkey // 20000 AS file, CASE WHEN l_orderkey % 13 = 5 THEN 1e17 ELSE l_extendedprice END AS pe, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS cur,
+  l_quantity AS te, l_discount + 1 AS dt FROM lineitem), m AS (SELECT file, median(dt) AS md FROM w GROUP BY 1)
 SELECT id AS sample_id, count(*) AS n, round(sum(coalesce(cur, 0)), 4) AS current, round(sum(CASE WHEN pe > 1e16 THEN te / md ELSE pe END), 4) AS power FROM w JOIN m USING (file) GROUP BY 1""")
 def weld(spark, sf):
-    l = table(spark, sf, "lineitem").filter("l_linenumber < 4")
-    w = l.select(
+    w = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("weld_record_index"), F.col("l_tax").alias("wire_feed_speed"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("current"),
         F.col("l_tax").alias("voltage"), F.col("l_tax").alias("motor_current"), F.when(F.col("l_orderkey") % 13 == 5, 1e17).otherwise(F.col("l_extendedprice")).alias("per_energy"),
-        F.col("l_quantity").alias("true_energy"), (F.col("l_discount") + 1).alias("diff_time"), "l_returnflag")
-    df = D.load_dataset(spark, "weld", csv_dir(w, spark, "welds", "l_returnflag"))
+        F.col("l_quantity").alias("true_energy"), (F.col("l_discount") + 1).alias("diff_time"),
+        F.concat("l_returnflag", F.expr("l_orderkey div 20000").cast("string")).alias("part"))
+    df = D.load_dataset(spark, "weld", csv_dir(w, spark, "welds", "part"), schema=w.drop("part").schema)
     return df.groupBy(F.col("sample_id").cast("bigint").alias("sample_id")).agg(F.count("*").alias("n"), r6(F.sum("current"), 4).alias("current"), r6(F.sum("power"), 4).alias("power"))
 
 
 @query("grid_measurement_directory", """SELECT vec_id // 50 AS part, CAST(embedding[1] AS DOUBLE) < 0 AS neg, count(*) AS n, round(sum(CASE WHEN vec_id % 7 <> 0 THEN CAST(embedding[1] AS DOUBLE) ELSE 0 END), 6) AS a, round(sum(CAST(embedding[2] AS DOUBLE)), 6) AS b FROM embeddings GROUP BY 1, 2""")
 def grid(spark, sf):
     v = vectors(spark, sf)
-    rows = v.select("sample_id", F.when(F.col("sample_id") % 7 != 0, F.col("series")[0]).alias("va_11"), F.col("series")[1].alias("vb_22"), F.col("series")[0].alias("raw_33"), F.expr("sample_id div 50").alias("part"))
+    rows = v.select("sample_id", F.when(F.col("sample_id") % 7 != 0, F.col("series")[0]).alias("va_11"), F.col("series")[1].alias("vb_22"), F.col("series")[0].alias("raw_33"), F.lpad(F.expr("sample_id div 50").cast("string"), 12, "0").alias("part"))  # files are read in order of their names
     path = fresh_path(spark, "grid")
     rows.repartition("part").sortWithinPartitions("part", "sample_id").select("va_11", "vb_22", "raw_33", "part").write.partitionBy("part").option("header", True).csv(path)
-    df = D.read_csv(spark, path)
-    df = D.load_dataset(spark, "grid", path, window=50)
-    from tidemill.operators.windows import length_stats  # noqa: F401
-
+    df = D.load_dataset(spark, "grid", path, window=50, schema=rows.drop("sample_id", "part").schema)
     renamed = df.toDF("sample_id", "t", "a", "b", "raw")
     whole = renamed.groupBy((F.col("raw") < 0).alias("neg"), "sample_id").agg(F.count("*").alias("n"), r6(F.sum("a")).alias("a"), r6(F.sum("b")).alias("b"))
     return whole.select(F.col("sample_id").alias("part"), "neg", "n", "a", "b")
@@ -202,26 +205,40 @@ def wafer(spark, sf):
     return meta.select(F.col("WaferPassID").alias("pass"), "pjid", r6("mean_thickness", 2).alias("mean_thickness"), r6("std_thickness", 2).alias("std_thickness"), "trace_csv")
 
 
-@query("cached_parse")
+@query("cached_parse", GAPPY)
 def cached(spark, sf):
+    """Parsed once and written; the second call must not look at its source."""
     path = fresh_path(spark, "cache")
     source = ts_files(spark, sf)
     D.cached(spark, path, lambda: A.read_ts(spark, source, extension=".txt"))
-    return D.cached(spark, path, lambda: A.read_ts(spark, "/nowhere"))
+    return long(restored(D.cached(spark, path, lambda: A.read_ts(spark, "/nowhere"))))
 
 
-@query("file_selection_by_pattern")
+@query("file_selection_by_pattern", f"""SELECT vec_id // {CHUNK} AS part, count(*) + 5 AS lines FROM embeddings WHERE vec_id // {CHUNK} % 2 = 0 GROUP BY 1""")
 def file_selection(spark, sf):
-    return read_lines(spark, ts_files(spark, sf), pattern="part=[0-2]/").groupBy("file").agg(F.count("*").alias("lines"))
+    """Every second file: its samples and the five lines of its header."""
+    lines = read_lines(spark, ts_files(spark, sf), pattern="part=[0-9]*[02468]/")
+    return lines.groupBy(part_of("file").alias("part")).agg(F.count("*").alias("lines"))
 
 
-@query("predictions_round_trip")
+@query("predictions_round_trip", f"""WITH {PRED} SELECT event_id, truth, pred, score, CAST(c AS INTEGER) AS c, CAST((event_id * (c + 3) * 31) % 97 AS DOUBLE) / 97 AS class_score, 'r1' AS run_id, 'test' AS split
+FROM pr, (SELECT unnest([0, 1, 2, 3, 4]) AS c)""")
 def predictions_round_trip(spark, sf):
-    from tidemill.plans.evaluation import predictions
-
     path = fresh_path(spark, "pred")
     T.save_predictions(predictions(spark, sf).withColumns({"run_id": F.lit("r1"), "split": F.lit("test")}), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("event_id", "truth", "pred", "score", F.posexplode("scores").alias("c", "class_score"), "run_id", "split")
+
+
+@query("durations_sheet", """SELECT 'u' || user_id AS run_id, s AS split, 0 AS epoch, 'seconds' AS metric, round(CASE WHEN s = 'train' THEN sum(value) ELSE count(*) / 8.0 END, 6) AS value
+FROM events, (SELECT unnest(['train', 'test']) AS s) GROUP BY user_id, s""")
+def durations_sheet(spark, sf):
+    """Run times of every run, appended to the sheet and read back; a user's events stand for a run."""
+    path = fresh_path(spark, "durations")
+    runs = events(spark, sf).groupBy(F.concat(F.lit("u"), "user_id").alias("run_id")).agg(F.sum("value").alias("train"), (F.count("*") / 8.0).alias("test"))
+    for part in ("test", "train"):
+        rows = runs.select("run_id", F.lit(part).alias("split"), F.lit(0).alias("epoch"), F.lit("seconds").alias("metric"), r6(part).alias("value"))
+        T.save_durations(rows, path)
+    return spark.read.schema("run_id string, split string, epoch int, metric string, value double").option("header", True).csv(path)
 
 
 @query("mixed_header_files", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_custkey AS VARCHAR) END AS cust FROM orders""")
@@ -232,3 +249,33 @@ def mixed_headers(spark, sf):
     o.filter("o_orderkey % 2 = 1").selectExpr("o_custkey AS cust", "o_orderkey AS id").write.option("header", True).csv(path + "/b")
     df = D.read_csv_mixed(spark, path)
     return df.select(F.col("id").cast("bigint").alias("id"), F.col("price").cast("double").alias("price"), F.col("cust").cast("string").alias("cust"))
+
+
+@query("wafer_traces")
+def wafer_traces(spark, sf):
+    """Traces, catalog and measurements as files, read back by the loader: passes of the trace recipe with a label.
+
+    Line numbers, which give the time, repeat within an order, and the order of equal times follows the file, so SQL cannot state the steps.
+    """
+    path = fresh_path(spark, "wafers")
+    o = table(spark, sf, "orders")
+    l = table(spark, sf, "lineitem")
+    traces = l.select(
+        F.col("l_orderkey").alias("WaferPassID"), F.timestamp_seconds(F.col("l_linenumber")).cast("string").alias("TimeStamp"),
+        F.when(F.col("l_linenumber") % 3 != 2, F.col("l_quantity")).alias("p"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_discount")).alias("q"),
+        F.expr("l_orderkey div 2000").alias("file"))
+    traces.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/tracedata")
+    written = D.read_csv(spark, f"{path}/tracedata", schema=traces.drop("file").schema).select("WaferPassID", F.element_at(F.split("_file", "/"), -1).alias("name")).distinct()
+    job = F.concat(F.lit("T-"), F.col("o_orderkey"))
+    catalog = o.join(written, F.col("o_orderkey") == F.col("WaferPassID")).select(
+        "WaferPassID", F.col("o_custkey").alias("WaferID"), F.lit("T").alias("ToolID"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".1")).alias("PJID"),
+        F.when(F.col("o_orderkey") % 2 == 0, "CH2").otherwise("CH1").alias("ChamberID"), F.when(F.col("o_orderkey") % 3 == 0, "QUALCH2CO20").otherwise("OTHER").alias("ChamberRecipeID"),
+        F.concat(F.lit("D:/x/"), F.replace(F.col("name"), F.lit(".csv"), F.lit(".zip"))).alias("TraceDataFile"))
+    catalog.write.option("header", True).csv(f"{path}/catalog")
+    known = o.filter("o_custkey % 4 <> 0")
+    for folder, job_name, value, kind in (("Rate_time_series_x_Average_", "Proc_cj_id", "Mea_value", 0), ("mCTF_x_Average_", "Control_job_id", "Wafer_mean", 1),
+                                          ("Rate_time_series_x_StdDev_", "Proc_cj_id", "Std_dep_thk", 0), ("mCTF_x_StdDev_", "Control_job_id", "Wafer_std", 1)):
+        known.filter(F.expr("o_orderkey div 6 % 2") == kind).select(job.alias(job_name), F.col("o_custkey").alias("Wafer_id"), F.col("o_totalprice").alias(value)).write.option(
+            "header", True).csv(f"{path}/measurements/{folder}")
+    steps, labels = D.load_wafers(spark, path, trace_schema=traces.drop("file").schema, catalog_schema=catalog.schema)
+    return steps.join(labels, "sample_id").select(F.col("sample_id").alias("pass"), "t", r6("p").alias("p"), r6("q").alias("q"), F.round(F.col("target").cast("double"), 2).alias("target"))

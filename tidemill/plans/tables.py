@@ -109,10 +109,10 @@ def unlabelled(spark, sf):
 
 
 @query("feature_health_summary", f"""WITH {EV}, l AS (SELECT 'value' AS feature, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM ev UNION ALL SELECT 'k', k FROM ev)
-SELECT feature, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (abs(x) < 1e-8) AS near_zero, count(*) FILTER (abs(x) > 1e6) AS huge, min(x) AS min, max(x) AS max FROM l GROUP BY 1""")
+SELECT feature, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (abs(x) < 1e-8) AS near_zero, count(*) FILTER (abs(x) > 1e6) AS huge, min(x) AS min, median(x) AS median, max(x) AS max FROM l GROUP BY 1""")
 def health(spark, sf):
     df = events(spark, sf).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
-    return C.health_check(df, ["value", "k"])[0].drop("median")
+    return C.health_check(df, ["value", "k"])[0]
 
 
 @query("feature_histogram", f"""WITH {EV}, l AS (SELECT 'value' AS feature, value AS x FROM ev UNION ALL SELECT 'k', k FROM ev), b AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1)
@@ -124,15 +124,17 @@ def feature_histogram(spark, sf):
 # ---- joins ---------------------------------------------------------------------------------------------
 
 def measurement(spark, sf, which: int, value: str, job: str):
-    """Suppliers' line totals as wafer measurements: two overlapping kinds."""
-    l = table(spark, sf, "lineitem").filter(F.col("l_linenumber") == which)
+    """Suppliers' line totals as wafer measurements, of all lines: odd line numbers are the first kind; even ones are cut in two
+    overlapping ways."""
+    kinds = {1: "l_linenumber % 2 = 1", 2: "l_linenumber % 2 = 0", 3: "l_linenumber % 2 = 0 OR l_suppkey % 2 = 0"}
+    l = table(spark, sf, "lineitem").filter(kinds[which])
     picked = l.groupBy(F.col("l_orderkey").alias("Wafer_id")).agg(F.max("l_suppkey").alias(job), F.round(F.sum("l_quantity"), 2).alias(value))
     return picked
 
 
-MEAS = """m1 AS (SELECT l_orderkey AS w, max(l_suppkey) AS j, round(sum(l_quantity), 2) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
-m2 AS (SELECT l_orderkey AS w, max(l_suppkey) AS j, round(sum(l_quantity), 2) AS v FROM lineitem WHERE l_linenumber = 2 GROUP BY 1),
-m3 AS (SELECT l_orderkey AS w, max(l_suppkey) AS j, round(sum(l_quantity), 2) AS v FROM lineitem WHERE l_linenumber = 3 GROUP BY 1),
+MEAS = """m1 AS (SELECT l_orderkey AS w, max(l_suppkey) AS j, round(sum(l_quantity), 2) AS v FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1),
+m2 AS (SELECT l_orderkey AS w, max(l_suppkey) AS j, round(sum(l_quantity), 2) AS v FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1),
+m3 AS (SELECT l_orderkey AS w, max(l_suppkey) AS j, round(sum(l_quantity), 2) AS v FROM lineitem WHERE l_linenumber % 2 = 0 OR l_suppkey % 2 = 0 GROUP BY 1),
 th AS (SELECT a.j AS pj, coalesce(a.w, b.w) AS w, b.j AS cj, coalesce(a.v, b.v) AS v, CASE WHEN a.w IS NULL THEN 'right_only' WHEN b.w IS NULL THEN 'left_only' ELSE 'both' END AS m
   FROM m1 a FULL OUTER JOIN m2 b ON a.j = b.j AND a.w = b.w),
 ro AS (SELECT a.j AS pj, coalesce(a.w, b.w) AS w, b.j AS cj, coalesce(a.v, b.v) AS v, CASE WHEN a.w IS NULL THEN 'right_only' WHEN b.w IS NULL THEN 'left_only' ELSE 'both' END AS m

@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL = "tidemill.scratch.dir"
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local runs, tests) a temporary folder is chosen and remembered
-    in the session.
+    Only where a session on one machine (master ``local`` or ``local[n]``) names none, a temporary folder is chosen, remembered in
+    the session and removed when Python ends. On a cluster it must be named: a folder of the driver's machine would be
+    another one on each executor.
     """
     base = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
     if not base:
-        base = spark.conf.get("tidemill.scratch.dir", None)
+        base = spark.conf.get(_LOCAL, None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("tidemill.scratch.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set(_LOCAL, base)
     return base.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``clear_scratch`` removes what is there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything written through this module so far. Call it once the results that read it are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        target = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        target.getFileSystem(conf).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

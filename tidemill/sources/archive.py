@@ -46,7 +46,7 @@ def ts_facts(lines: DataFrame) -> DataFrame:
     facts = rows.groupBy("file").agg(
         flag("@timestamps").alias("timestamps"), flag("@univariate").alias("univariate"),
         flag("@classlabel").alias("class_label"), flag("@targetlabel").alias("target_label"),
-        F.max(F.when(word[0] == "@classlabel", F.slice(word, 3, 100000))).alias("classes"),
+        F.max(F.when(word[0] == "@classlabel", F.slice(word, 3, F.size(word)))).alias("classes"),
         F.min(F.when(word[0] == "@data", F.col("line_no"))).alias("data_line"),
         F.min("line_no").alias("first_line"),
         F.count_if(tag).alias("tags"), F.count_if(~tag).alias("cases"),

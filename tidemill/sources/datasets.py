@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tidemill.functions.scalars import flat_csv_name, pass_key
 from tidemill.operators import clean
 from tidemill.operators.ordered import dense_index
+from tidemill.operators.resample import interpolate
 from tidemill.operators.splits import limit_ids
 from tidemill.operators.windows import count_windows
 from tidemill.sources.archive import read_arff, read_ts, read_tsv
+from tidemill.session import materialize
 from tidemill.sources.lines import select_files
 
 # fixed values of the weld data: the poisoned record, the feature columns, the fixed length
@@ -26,24 +28,34 @@ WAFER_TRACE_RECIPE = "QUALCH2CO20"
 WAFER_LENGTH = 130
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, schema=None) -> DataFrame:
-    """CSV files of one layout, with the file, and the row's place in it for a stable order."""
+WANTED_FILES = 10_000  # file names handed to a scan; beyond that a semi-join picks the rows
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, schema=None, names: Sequence[str] | None = None) -> DataFrame:
+    """CSV files of one layout, with the file, and the row's place in it for a stable order. ``names``: only files so called are opened.
+
+    Give the ``schema``; without one, an extra pass over the files guesses it.
+    """
     reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     raw = select_files(reader.csv(path if isinstance(path, str) else list(path)), pattern)
+    if names is not None:
+        raw = raw.filter(F.col("_metadata.file_name").isin(list(names)))
     return raw.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_row"),
     )
 
 
-def read_csv_mixed(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+def read_csv_mixed(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """CSV files whose columns differ: files are grouped by header line, groups are united by column name.
 
     The driver sees distinct headers with their file names, which it lists for any scan anyway.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     heads = select_files(reader.text(path if isinstance(path, str) else list(path)), pattern).filter("_metadata.file_block_start = 0")
+    if names is not None:
+        heads = heads.filter(F.col("_metadata.file_name").isin(list(names)))
     heads = heads.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("__id"))
     first = heads.groupBy("file").agg(F.min_by("value", "__id").alias("head"))
     groups = first.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("head").collect()
@@ -113,21 +125,30 @@ def wafer_measurements(thick_1, thick_2, rough_1, rough_2) -> DataFrame:
 
 
 def load_wafers(spark, path, pattern=None, limit=None, features: Sequence[str] = (), label: str = "mean_thickness",
-                measurements: str = "measurements", catalog: str = "catalog", traces: str = "tracedata") -> tuple[DataFrame, DataFrame]:
-    """(trace steps, labels). Which traces are read follows from the metadata by a semi-join on the file name."""
+                measurements: str = "measurements", catalog: str = "catalog", traces: str = "tracedata",
+                trace_schema=None, catalog_schema=None) -> tuple[DataFrame, DataFrame]:
+    """(trace steps, labels). Gaps within a pass are interpolated from its own steps, what is left without a value becomes 0.
+
+    The metadata name the trace files. Up to ``WANTED_FILES`` names go to the scan, so that no other file is opened; a semi-join on
+    the file name holds for any number. With ``trace_schema`` all traces have one layout and are not looked at beforehand.
+    """
     def kind(p: str) -> DataFrame:
         return read_csv_mixed(spark, f"{path}/{measurements}", p)
 
     measured = wafer_measurements(
         kind("Rate_time_series.*_Average_"), kind("/mCTF.*_Average_"), kind("Rate_time_series.*_StdDev_"), kind("/mCTF.*_StdDev_"))
-    meta = wafer_metadata(read_csv(spark, f"{path}/{catalog}"), measured)
-    wanted = meta.filter(F.col("ChamberRecipeID") == WAFER_TRACE_RECIPE)
-    steps = read_csv_mixed(spark, f"{path}/{traces}", pattern)
-    steps = steps.withColumn("trace_csv", F.element_at(F.split("_file", "/"), -1)).join(wanted.select("trace_csv"), "trace_csv", "left_semi")
+    meta = wafer_metadata(read_csv(spark, f"{path}/{catalog}", schema=catalog_schema), measured)
+    wanted = materialize(meta.filter(F.col("ChamberRecipeID") == WAFER_TRACE_RECIPE).select("trace_csv").distinct(), "wanted")
+    listed = [r[0] for r in wanted.limit(WANTED_FILES + 1).collect() if r[0] is not None]
+    names = listed if len(listed) <= WANTED_FILES else None
+    steps = read_csv_mixed(spark, f"{path}/{traces}", pattern, names) if trace_schema is None else read_csv(
+        spark, f"{path}/{traces}", pattern, trace_schema, names)
+    steps = steps.withColumn("trace_csv", F.element_at(F.split("_file", "/"), -1)).join(wanted, "trace_csv", "left_semi")
     steps, labels = clean.drop_unlabelled(steps, meta.select("WaferPassID", label), "WaferPassID", label)
     features = list(features) or [c for c in steps.columns if c not in ("WaferPassID", "TimeStamp", "trace_csv", "_file", "_at", "_row")]
-    steps = dense_index(clean.fill_zero(steps, features), [F.to_timestamp(F.col("TimeStamp").cast("string")), F.col("_row")], ["WaferPassID"], "t")
-    steps = steps.select(F.col("WaferPassID").alias("sample_id"), "t", *features)
+    steps = dense_index(steps, [F.to_timestamp(F.col("TimeStamp").cast("string")), F.col("_row")], ["WaferPassID"], "t")
+    steps = steps.select(F.col("WaferPassID").alias("sample_id"), "t", *[F.col(c).cast("double").alias(c) for c in features])
+    steps = clean.fill_zero(interpolate(steps, ["sample_id"], "t", features), features)
     labels = labels.select(F.col("WaferPassID").alias("sample_id"), F.col(label).cast("float").alias("target"))
     return (steps, labels) if limit is None else (limit_ids(steps, "sample_id", limit), labels)
 
