@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, packing, simhash, suffix_dedup, token_counts, topk
+from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, packing, simhash, suffix_dedup, token_counts, token_files, topk
 from tidemill.llm.common import Scratch, bucket_of
+from tidemill.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,15 @@ def op10(spark, sf_dir):
     scratch = Scratch(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(bucket_of("doc_id", 7) == 2, F.lit(False)).alias("held_out"))
     return class_lm.score(docs, class_lm.fit(docs.where("NOT held_out"), scratch), ["doc_id", "held_out"], scratch)
+
+
+def token_digests(files: DataFrame) -> DataFrame:
+    return token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op11_token_files")
+def op11(spark, sf_dir):
+    """Documents as they come back from bit-packed token files that hold all of them in order of their ids."""
+    files = token_files.write_tokens(
+        read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), fresh_path(spark, "tokens"), end=1)
+    return token_digests(files)
