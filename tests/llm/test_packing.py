@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from fixtures import clashing, documents, frame
 
-from tidemill.llm import packing
+from tidemill.llm import encoding, packing
 from tidemill.llm.queries import QUERIES, tokenizer_file
 
 WORD = tokenizer_file("word_bpe_49k.json")
@@ -91,14 +91,14 @@ def test_ids_are_the_tokenizers():
 
     texts = ["", "It's OK, I'LL don't!! a_b 12", "a\x1cb\x1fc", "<|endoftext|> <|ENDOFTEXT|>", "İstanbul ÀÉ ²½ x² ŉ ſ", "áé", "日本語 ㍍ 😀", "naïve—dash “q” Œuvre ẞ", "x" * 5000,
              " \x85 \xa0 ", "'s 'S s' 'll", *[t or "" for _, t in documents()]]
-    encode, tok = packing.Encoder(WORD), Tokenizer.from_file(WORD)
+    encode, tok = encoding.Encoder(WORD), Tokenizer.from_file(WORD)
     for batch in (texts, texts[::-1]):
-        assert [x.tolist() for x in encode(batch)] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in batch]
-    packing_limit, packing.REMEMBERED = packing.REMEMBERED, 3
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(batch)] == [tok.encode(t, add_special_tokens=False).ids for t in batch]
+    limit, encoding.REMEMBERED = encoding.REMEMBERED, 3
     try:
-        assert [x.tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     finally:
-        packing.REMEMBERED = packing_limit
+        encoding.REMEMBERED = limit
 
 
 def check_rows(rows, docs, capacity=2048):

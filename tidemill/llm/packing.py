@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import defaultdict
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -16,93 +13,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.common import Scratch, map_text
+from tidemill.llm.encoding import encoder, in_bounds
 
 CAPACITY = 2048
 END = 0
 LAST = np.array([END], dtype="<u4").tobytes()
-REMEMBERED = 300_000  # words whose ids a task keeps, and as many older ones
-LONG_WORD = 64  # longer words are not remembered
 SPLITS = 64  # parts of a length whose pieces are numbered apart from each other
 
 
-class Encoder:
-    """Ids of whole texts by a tokenizer that lower-cases and then encodes each word, digit and run of signs apart.
-
-    Texts of ASCII and Latin letters only are split here the way the tokenizer splits them, and each different part is encoded
-    once and remembered; all other texts are given to the tokenizer whole. The ids are the same.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
-        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        letters = [chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha() and len(chr(c).lower()) == 1]
-        self.plain = {*map(chr, range(0x1C)), *map(chr, range(0x20, 0x80)), *letters} - set("ŉſ")
-        # fixed value: how the tokenizer of this vocabulary splits words
-        self.parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\s0-9a-zß-öø-ſ]+").findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:  # what is used again is taken over
-            self.known, self.older = {}, self.known
-        known, words = self.known, []
-        for t in texts:
-            words.append(self.parts(t.lower()) if self.plain.issuperset(t) and "<|" not in t else None)
-        fresh = []
-        for w in set(chain.from_iterable(filter(None, words))).difference(known):
-            if (ids := self.older.get(w)) is None:
-                fresh.append(w)
-            else:
-                known[w] = ids
-        for i in range(0, len(fresh), 64):
-            some = fresh[i:i + 64]
-            ids = np.array(self._ids(" ".join(some)), dtype="<u4")
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) == len(some):
-                all_bytes = ids.tobytes()
-                begin = 0
-                for word, end in zip(some, (4 * ends).tolist()):
-                    known[word] = all_bytes[begin:end]
-                    begin = end
-            else:
-                known.update((word, np.array(self._ids(word), dtype="<u4").tobytes()) for word in some)
-        out = []
-        for t, part in zip(texts, words):
-            if part is None:
-                out.append(np.array([*self._ids(t), END], dtype="<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([*map(known.__getitem__, part), LAST]), dtype="<u4"))
-        for word in fresh:
-            if len(word) > LONG_WORD:
-                del known[word]
-        return out
-
-
 def pieces(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """``keep`` columns with ``piece``, ``start``, ``length`` and ``ids_crc32``, a row for each piece of at most ``capacity`` ids.
 
     A document's ids are its whole text's, then id 0; null text is empty, so each document has a piece.
     """
     def make():
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
 
         def cut(texts):
-            rows, begin, size = [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or b"")
-                if size >= 1 << 21 or i == len(texts) - 1:
-                    for ids in encode([(x or b"").decode("utf-8", "replace") for x in texts[begin:i + 1]]):
-                        rows.append([{"piece": k, "start": s, "length": len(p), "ids_crc32": zlib.crc32(p.tobytes())}
-                                     for k, s in enumerate(range(0, len(ids), capacity)) for p in (ids[s:s + capacity],)])
-                    begin, size = i + 1, 0
+            rows = []
+            for run in in_bounds(texts):
+                for ids in encode(run):
+                    ids += LAST
+                    n = len(ids) // 4
+                    rows.append([{"piece": k, "start": s, "length": min(capacity, n - s), "ids_crc32": zlib.crc32(ids[4 * s:4 * (s + capacity)])}
+                                 for k, s in enumerate(range(0, n, capacity))])
             return [pa.array(rows, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))]
 
         return cut
