@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, packing, simhash, suffix_dedup, token_counts, token_files, topk
+from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, merkle, packing, simhash, suffix_dedup, token_counts, token_files, topk
 from tidemill.llm.common import Scratch, bucket_of
 from tidemill.session import fresh_path
 
@@ -118,3 +119,19 @@ def op11(spark, sf_dir):
     files = token_files.write_tokens(
         read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), fresh_path(spark, "tokens"), end=1)
     return token_digests(files)
+
+
+def proof_digests(docs: DataFrame) -> DataFrame:
+    """Leaves, roots and folded proofs of documents; texts are lower-cased where 5 divides the crc32 of the id."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.when(bucket_of("doc_id", 5) == 0, merkle.leaf_digest([*columns[:-1], lower]))
+    made = merkle.prove(merkle.build(docs, "source", "doc_id", columns, {"claimed": changed}), "claimed")
+    return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark, sf_dir):
+    """Every document's leaf, roots and proof in the manifest, checked against a text that may have been changed."""
+    return proof_digests(read(spark, sf_dir, "documents"))
