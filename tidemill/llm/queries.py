@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, merkle, packing, simhash, suffix_dedup, token_counts, token_files, topk
+from tidemill.llm import class_lm, decontamination, language_id, licenses, line_dedup, merkle, packing, prefix_trie, simhash, suffix_dedup, token_counts, token_files, topk
 from tidemill.llm.common import Scratch, bucket_of
 from tidemill.session import fresh_path
 
@@ -135,3 +135,34 @@ def proof_digests(docs: DataFrame) -> DataFrame:
 def op13(spark, sf_dir):
     """Every document's leaf, roots and proof in the manifest, checked against a text that may have been changed."""
     return proof_digests(read(spark, sf_dir, "documents"))
+
+
+def branched(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, lengths) of rebuilt conversations: the first turns of conversation c - c % 5, then c's own after as many; crc32(c) % 9 of them."""
+    own = turns.groupBy("conv").agg(F.count("*").alias("n"))
+    own = own.select("conv", "n", (F.col("conv") - F.col("conv") % 5).alias("base"), F.crc32(F.col("conv").cast("string")) % 9).toDF("conv", "n", "base", "h")
+    base = own.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
+    own = own.join(base, "base", "left").withColumn("taken", F.least("h", F.coalesce("n_base", F.lit(0))))
+    own = own.withColumn("length", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
+    rest = turns.join(own, "conv").where("pos >= h").withColumn("pos", F.col("pos") - F.col("h") + F.col("taken"))
+    heads = turns.where("pos < 8").withColumnRenamed("conv", "base").join(own, "base").where("pos < h")
+    columns = ["conv", "pos", "d0", "d1", "size", "length"]
+    return rest.select(*columns).unionByName(heads.select(*columns)), own.select("conv", "length")
+
+
+def trie_nodes(conversations: DataFrame) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with sums over its subtree."""
+    scratch = Scratch(conversations.sparkSession)
+    turns, lengths = branched(scratch.write(prefix_trie.numbered(conversations, "conv_id", "turn", "role", "text"), "turns"))
+    trie = prefix_trie.build(turns, lengths, scratch)
+    childless, saved = (F.col("n_children") == 0).cast("long"), (F.col("n_convs") - 1) * F.col("size")
+    nodes = prefix_trie.rollup(trie, {"leaves": childless, "saved": saved}, ["parent_conv", "n_convs", "n_children"], scratch)
+    return nodes.join(prefix_trie.end_digests(trie), ["conv", "depth"]).select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children",
+        F.col("sum_leaves").alias("n_leaves"), F.col("sum_saved").alias("saved_tokens"), "ends_sha256")
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf_dir):
+    """The prefixes that conversations share, as a trie with sums over subtrees."""
+    return trie_nodes(read(spark, sf_dir, "conversations"))
