@@ -1,42 +1,80 @@
-"""Exact k nearest neighbours in bounded blocks.
+"""Exact k nearest neighbours, pruned by pivots.
 
-Queries and references are cut into blocks by a hash of their id; a task compares one query block with one
-reference block as matrices and passes on only the k best per query. Block sizes are fixed, so no task grows
-with the data, and no pair of rows is ever emitted.
+References go to the nearest of some pivots, and the references of a pivot to chunks by their distance from it, so a chunk is a ring
+around its pivot. A query looks into one chunk of its own pivot to learn how far its k-th neighbour can be at most. By the triangle
+inequality a ring can hold something nearer only if its radii, as seen from the query, reach within that bound, and a pivot's whole cell only if
+the query is near enough to the plane between the two pivots. Only those (query block, chunk) pairs are shuffled and compared, as
+matrices of bounded size. (After Lu, Shen, Chen and Ooi: Efficient processing of k nearest neighbor joins using MapReduce, 2012.)
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.arrays import mode_first_seen
+from tidemill.operators.ordered import dense_index
+from tidemill.session import materialize
 
+MAX_PIVOTS = 1024
+PIVOT_BYTES = 16 << 20  # of all pivots together: they travel with the tasks
+_SLACK = 1e-9  # relative; what rounding may do to a bound
 _BEST = "qid bigint, rid bigint, distance double, label int"
 
 
-def nearest(
-    queries: DataFrame, references: DataFrame, sample: str, vector: str, label: str, k: int, block_rows: int = 4096
-) -> DataFrame:
-    """(qid, rank, rid, distance, label): Euclidean distance, ties by reference id."""
-    q_blocks = -(-queries.count() // block_rows) or 1
-    r_blocks = -(-references.count() // block_rows) or 1
-
-    def block(n: int):
-        return F.pmod(F.xxhash64(sample), F.lit(n)).cast("int")
-
-    left = queries.select(
-        F.col(sample).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), block(q_blocks).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("rb"),
-    )
-    right = references.select(
-        F.col(sample).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"),
-        F.col(label).cast("int").alias("label"), block(r_blocks).alias("rb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-    )
+class Cells(NamedTuple):
+    pivots: np.ndarray
+    low: np.ndarray  # smallest and largest distance from the pivot in each cell
+    high: np.ndarray
+    near: np.ndarray  # the k smallest distances in each cell, infinite where there are fewer
+
+
+def usable(vector: str) -> Column:
+    """Whether a vector has components, and all are numbers."""
+    v = F.col(vector)
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double"))), F.lit(False))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances, worked out directly: a product of matrices would lose digits that bounds rely on."""
+    out = np.empty((len(a), len(b)))
+    for begin in range(0, len(a), step := max(1, (1 << 21) // max(1, b.size))):
+        out[begin:begin + step] = np.sqrt(((a[begin:begin + step, None, :] - b[None]) ** 2).sum(axis=2))
+    return out
+
+
+def _pivots(references: DataFrame, rows: int) -> np.ndarray:
+    """About the square root of the references' number, drawn by a hash of the id; bounded in number and in bytes."""
+    width = references.select(F.size("v")).first()[0]
+    n = max(1, min(int(rows ** 0.5), MAX_PIVOTS, PIVOT_BYTES // (8 * width)))
+    return np.unique(np.array([r.v for r in references.orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()]), axis=0)
+
+
+def _to_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add ``cell`` (nearest pivot) and ``dist`` (from it)."""
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = _distances(_matrix(batch.column("v")), pivots)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell.astype("int32")), pa.array(d[np.arange(len(d)), cell])], names=[*batch.schema.names, "cell", "dist"])
+
+    return df.mapInArrow(assign, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in df.schema], "cell int", "dist double"]))
+
+
+def _compare(k: int):
+    """Function of (queries, references) of a pair of blocks: the k best references of each query."""
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"qid": [], "rid": [], "distance": [], "label": []})
@@ -58,10 +96,107 @@ def nearest(
         q, r, d = (np.concatenate(x) for x in found)
         return pd.DataFrame({"qid": a["id"].to_numpy()[q], "rid": ids[r], "distance": d, "label": b["label"].to_numpy()[r]})
 
-    per_block = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(compare, _BEST)
-    # per query: k rows from each reference block
-    ranked = per_block.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "rid")))
-    return ranked.filter(F.col("rank") <= k).select("qid", "rank", "rid", "distance", "label")
+    return compare
+
+
+def _meet(visits: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """The k best of each (query, chunk) visit; a chunk is copied for each block of queries that visits it."""
+    at = ["cell", "chunk", "qb"]
+    copies = references.join(visits.select(*at).distinct(), ["cell", "chunk"]).select(
+        *at, "id", "v", "label").toDF(*at, "id", "v", "label")  # columns of its own: both sides read the visits
+    return visits.select(*at, "id", "v").groupBy(*at).cogroup(copies.groupBy(*at)).applyInPandas(_compare(k), _BEST)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "rid")))
+    return ranked.filter(F.col("rank") <= k)
+
+
+def _cells(references: DataFrame, pivots: np.ndarray, k: int) -> Cells:
+    """Bounds of every cell: at most ``MAX_PIVOTS`` rows."""
+    n = len(pivots)
+    low, high, near = np.full(n, np.inf), np.full(n, -np.inf), np.full((n, k), np.inf)
+    first = Window.partitionBy("cell").orderBy("dist")
+    nearest_ = references.where("chunk = 0").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).groupBy("cell").agg(
+        F.sort_array(F.collect_list("dist")).alias("near"))
+    for r in references.groupBy("cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).collect():
+        low[r.cell], high[r.cell] = r.low, r.high
+    for r in nearest_.collect():
+        near[r.cell, :len(r.near)] = r.near
+    return Cells(pivots, low, high, near)
+
+
+def _candidates(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(id, v, qb, bound, cell, d): the cells that may hold one of a query's k nearest, and its distance from their pivots."""
+    between = _distances(cells.pivots, cells.pivots)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = _distances(_matrix(batch.column("v")), cells.pivots)
+            own = batch.column("cell").to_numpy()
+            bound = batch.column("bound").fill_null(np.inf).to_numpy()
+            reach = np.stack([np.partition((row[:, None] + cells.near).ravel(), k - 1)[k - 1] if cells.near.size >= k else np.inf for row in d])
+            bound = np.minimum(bound, reach)
+            some = (bound + _SLACK * (1 + d.max(axis=1)))[:, None]
+            kept = np.isfinite(cells.low) & (d - some <= cells.high) & (d + some >= cells.low)
+            gap = between[own]  # plane between the query's pivot and another: everything there is at least this far
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(gap > 0, (d ** 2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * gap), 0)
+            kept &= plane <= some
+            q, c = np.nonzero(kept)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(q)), batch.column("v").take(pa.array(q)), batch.column("qb").take(pa.array(q)),
+                 pa.array(some[q, 0]), pa.array(c.astype("int32")), pa.array(d[q, c])], names=["id", "v", "qb", "bound", "cell", "d"])
+
+    return queries.select("id", "v", "qb", "cell", "bound").mapInArrow(look, "id bigint, v array<double>, qb int, bound double, cell int, d double")
+
+
+def visits(queries: DataFrame, references: DataFrame, k: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(visits, references in chunks): which chunks each query must be compared with. Both inputs have ``id`` and ``v``."""
+    rows = references.count()
+    if not rows:
+        return queries.select("id", "v", *[F.lit(0).alias(c) for c in ("cell", "chunk", "qb")]).where("false"), references.withColumns(
+            {"cell": F.lit(0), "chunk": F.lit(0), "dist": F.lit(0.0)})
+    pivots = _pivots(references, rows)
+    placed = dense_index(_to_cells(references, pivots), ["dist", "id"], ["cell"], out="place")
+    placed = materialize(placed.withColumn("chunk", F.expr(f"int(place div {block_rows})")).drop("place"), "neighbour-chunks")
+    blocks = -(-queries.count() // block_rows) or 1
+    asked = materialize(_to_cells(queries, pivots).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "neighbour-queries")
+    first = _meet(asked.withColumn("chunk", F.lit(0)), placed, k)
+    bound = _best(first, k).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("distance").alias("bound"))
+    bound = bound.groupBy("id").agg(F.max("bound").alias("bound"))
+    asked = asked.join(materialize(bound, "neighbour-bounds"), "id", "left")
+    chunks = materialize(placed.groupBy("cell", "chunk").agg(F.min("dist").alias("low"), F.max("dist").alias("high")), "neighbour-rings")
+    meets = (F.col("d") - F.col("bound") <= F.col("high")) & (F.col("d") + F.col("bound") >= F.col("low"))
+    seen = _candidates(asked, _cells(placed, pivots, k), k).join(chunks, "cell").where(meets).select("id", "v", "cell", "chunk", "qb")
+    return materialize(seen, "neighbour-visits"), placed
+
+
+def nearest(
+    queries: DataFrame, references: DataFrame, sample: str, vector: str, label: str, k: int, block_rows: int = 4096
+) -> DataFrame:
+    """(qid, rank, rid, distance, label): Euclidean distance, ties by reference id.
+
+    Rows whose vector is null or empty, or holds a null or NaN, neither ask nor answer; vectors of unequal lengths are refused. Query ids
+    are unique. References that fit one block are compared as they are, there being nothing to prune.
+    """
+    v = F.col(vector).cast("array<double>").alias("v")
+    asked = queries.filter(usable(vector)).select(F.col(sample).cast("bigint").alias("id"), v)
+    answers = references.filter(usable(vector)).select(F.col(sample).cast("bigint").alias("id"), v, F.col(label).cast("int").alias("label"))
+    (n_asked, *a), (n_answers, *b) = [df.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first() for df in (asked, answers)]
+    widths = {w for w in (*a, *b) if w is not None}
+    if len(widths) > 1:
+        raise ValueError(f"vectors differ in length: {sorted(widths)}")
+    if n_answers <= block_rows:
+        blocks = -(-n_asked // block_rows) or 1
+        alone = {"cell": F.lit(0), "chunk": F.lit(0)}
+        seen = asked.withColumns({**alone, "qb": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")})
+        placed = answers.withColumns(alone)
+    else:
+        seen, placed = visits(asked, answers, k, block_rows)
+    return _best(_meet(seen, placed, k), k).select("qid", "rank", "rid", "distance", "label")
 
 
 def vote(neighbours: DataFrame) -> DataFrame:
