@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
+from tidemill.operators.boosting import Boosting
 from tidemill.operators.metrics import masked_mse
+from tidemill.operators.ridge import Ridge, RidgeModel, TooWide
 from tidemill.session import materialize
 
 # fixed values: penalties tried by the ridge models, 10 log-spaced from 1e-3 to 1e3
@@ -43,19 +45,49 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return df.join(materialize(weights, "weights"), label)
 
 
-def ridge_regression(features: str = "features", label: str = "label", alphas: Sequence[float] = RIDGE_ALPHAS, folds: int = 3) -> CrossValidator:
-    """Linear least squares with an L2 penalty chosen by cross-validation.
+class RidgeRegression(Ridge):
+    """Least squares with an L2 penalty chosen by cross-validation, all from one aggregation (``operators.ridge``).
 
-    Up to 4096 features the solver needs one pass over the data per fit (normal equations), beyond that L-BFGS.
+    Where the matrices would be too wide for it, L-BFGS takes a pass per step, penalty and fold.
     """
-    base = LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, solver="auto")
-    grid = ParamGridBuilder().addGrid(base.regParam, list(alphas)).build()
-    return CrossValidator(estimator=base, estimatorParamMaps=grid, numFolds=folds, seed=1337, parallelism=2,
-                          evaluator=RegressionEvaluator(labelCol=label, metricName="mse"))
 
+    def __init__(self, features: str = "features", label: str = "label", alphas: Sequence[float] = RIDGE_ALPHAS, folds: int | None = 3,
+                 weight: str | None = None):
+        super().__init__(features, label, alphas, folds, False, weight)
 
-class RidgeClassifierModel:
-    """One +-1 regression per class; the class with the highest score wins."""
+    def fit(self, df: DataFrame) -> Model | RidgeModel:
+        try:
+            return super().fit(df)
+        except TooWide:
+            weighted = {"weightCol": self.weight} if self.weight else {}
+            base = LinearRegression(featuresCol=self.features, labelCol=self.label, elasticNetParam=0.0, standardization=False, solver="l-bfgs", **weighted)
+            rows = df.count()  # this solver's loss is a mean over rows
+            grid = ParamGridBuilder().addGrid(base.regParam, [a / rows for a in self.alphas]).build()
+            return CrossValidator(estimator=base, estimatorParamMaps=grid, numFolds=self.folds or 3, seed=1337, parallelism=2,
+                                  evaluator=RegressionEvaluator(labelCol=self.label, metricName="mse")).fit(df).bestModel
+
+
+class RidgeClassifier(Ridge):
+    """One +-1 regression per class, all from one aggregation; the class with the highest score wins."""
+
+    def __init__(self, features: str = "features", label: str = "label", alphas: Sequence[float] = RIDGE_ALPHAS, folds: int | None = 3,
+                 weight: str | None = None):
+        super().__init__(features, label, alphas, folds, True, weight)
+
+    def fit(self, df: DataFrame) -> Model | RidgeModel:
+        try:
+            return super().fit(df)
+        except TooWide:
+            classes = sorted(r[0] for r in df.select(self.label).distinct().collect())
+            models = []
+            for c in classes:
+                signed = df.withColumn("__sign", F.when(F.col(self.label) == c, 1.0).otherwise(-1.0))
+                models.append(RidgeRegression(self.features, "__sign", self.alphas, self.folds, self.weight).fit(signed))
+            return SeparateModels(classes, models)
+
+
+class SeparateModels:
+    """One regression per class; the class with the highest score wins."""
 
     def __init__(self, classes: Sequence[int], models: Sequence[Model]):
         self.classes, self.models = list(classes), list(models)
@@ -71,19 +103,6 @@ class RidgeClassifierModel:
         )
 
 
-class RidgeClassifier:
-    def __init__(self, features: str = "features", label: str = "label", alphas: Sequence[float] = RIDGE_ALPHAS, folds: int = 3):
-        self.features, self.label, self.alphas, self.folds = features, label, alphas, folds
-
-    def fit(self, df: DataFrame) -> RidgeClassifierModel:
-        classes = sorted(r[0] for r in df.select(self.label).distinct().collect())
-        models = []
-        for c in classes:
-            signed = df.withColumn("__sign", F.when(F.col(self.label) == c, 1.0).otherwise(-1.0))
-            models.append(ridge_regression(self.features, "__sign", self.alphas, self.folds).fit(signed).bestModel)
-        return RidgeClassifierModel(classes, models)
-
-
 class AdaBoostModel:
     def __init__(self, classes: Sequence[int], trees: Sequence[tuple[float, Model]]):
         self.classes, self.trees = list(classes), list(trees)
@@ -109,13 +128,13 @@ class AdaBoost:
     Each round's weights are written to the shared folder, so the plan does not grow with the rounds.
     """
 
-    def __init__(self, features: str = "features", label: str = "label", rounds: int = 10, depth: int = 1):
-        self.features, self.label, self.rounds, self.depth = features, label, rounds, depth
+    def __init__(self, features: str = "features", label: str = "label", rounds: int = 10, depth: int = 1, weight: str | None = None):
+        self.features, self.label, self.rounds, self.depth, self.weight = features, label, rounds, depth, weight
 
     def fit(self, df: DataFrame) -> AdaBoostModel:
         classes = sorted(r[0] for r in df.select(self.label).distinct().collect())
         k = len(classes)
-        weighted = df.select(self.features, self.label).withColumn("__w", F.lit(1.0))
+        weighted = df.select(self.features, self.label, (F.col(self.weight) if self.weight else F.lit(1.0)).alias("__w"))
         trees = []
         for _ in range(self.rounds):
             tree = DecisionTreeClassifier(featuresCol=self.features, labelCol=self.label, weightCol="__w", maxDepth=self.depth, seed=7).fit(weighted)
@@ -142,13 +161,14 @@ REGISTRY: dict[str, Callable] = {
     "decision_tree": lambda **p: DecisionTreeClassifier(**p),
     "random_forest": lambda **p: RandomForestClassifier(**{"seed": 7, **p}),
     "gradient_boosting": lambda **p: OneVsRest(parallelism=4, classifier=GBTClassifier(**{"maxIter": 10, "seed": 7, **p})),
-    "hist_gradient_boosting": lambda **p: OneVsRest(parallelism=4, classifier=GBTClassifier(**{"maxIter": 10, "maxBins": 255, "seed": 7, **p})),
-    "xgboost": lambda **p: OneVsRest(parallelism=4, classifier=GBTClassifier(**{"maxIter": 10, "stepSize": 0.3, "maxDepth": 6, "seed": 7, **p})),
+    # fixed values: the usual defaults of the two libraries' classifiers
+    "hist_gradient_boosting": lambda **p: Boosting(**{"growth": "leaf", "rate": 0.1, "l2": 0.0, "min_rows": 20, "max_leaves": 31, **p}),
+    "xgboost": lambda **p: Boosting(**{"growth": "depth", "rate": 0.3, "l2": 1.0, "min_hessian": 1.0, "max_depth": 6, **p}),
     "naive_bayes": lambda **p: NaiveBayes(modelType="gaussian", **p),
     "linear_svm": lambda **p: OneVsRest(parallelism=4, classifier=LinearSVC(**p)),
     "mlp": lambda **p: MultilayerPerceptronClassifier(**{"seed": 7, **p}),
     "ridge_classifier": lambda **p: RidgeClassifier(**p),
-    "ridge_regression": lambda **p: ridge_regression(**p),
+    "ridge_regression": lambda **p: RidgeRegression(**p),
     "ada_boost": lambda **p: AdaBoost(**p),
     "gradient_boosting_regression": lambda **p: GBTRegressor(**{"maxIter": 10, "seed": 7, **p}),
     "linear_regression": lambda **p: LinearRegression(**p),
@@ -168,6 +188,13 @@ def configured(build: Callable, config: dict):
     return build(**{k: v for k, v in config.items() if k in known})
 
 
+def configured_model(name: str, config: dict):
+    """The registry's model of this name, filled with those entries of a flat configuration that its constructor names."""
+    kind = type(make_model(name))
+    known = set(inspect.signature(kind.__init__).parameters) - {"self"}
+    return make_model(name, **{k: v for k, v in config.items() if k in known})
+
+
 def apply_transforms(df: DataFrame, transforms: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Frame-to-frame functions applied in order; the user's hook between loading and fitting."""
     for t in transforms:
@@ -175,13 +202,26 @@ def apply_transforms(df: DataFrame, transforms: Sequence[Callable[[DataFrame], D
     return df
 
 
-def classify(train: DataFrame, test: DataFrame, model: str, sample: str, label: str, **params) -> DataFrame:
-    """Fit on ``train``, predict ``test``: (sample, truth, pred). Both hold a ``features`` vector."""
+def classify(train: DataFrame, test: DataFrame, model: str, sample: str, label: str, class_weight: str | None = None, **params) -> DataFrame:
+    """Fit on ``train``, predict ``test``: (sample, truth, pred). Both hold a ``features`` vector.
+
+    ``class_weight="balanced"``: each row weighs n / (classes * rows of its class) in the fit, in any model that knows weights.
+    """
+    if class_weight not in (None, "balanced"):
+        raise ValueError(f"class_weight is None or 'balanced', not {class_weight!r}")
     params = {"labelCol": label, **params} if model in ("decision_tree", "random_forest", "naive_bayes", "mlp") else params
     estimator = make_model(model, **params)
+    if class_weight:
+        train = class_weights(train, label, "__class_weight")
+        if isinstance(estimator, (RidgeClassifier, AdaBoost, Boosting)):
+            estimator.weight = "__class_weight"
+        elif hasattr(estimator, "setWeightCol"):
+            estimator = estimator.setWeightCol("__class_weight")
+        else:
+            raise ValueError(f"{model} knows no weights")
     if isinstance(estimator, OneVsRest):
         estimator = estimator.setLabelCol(label)
-    if isinstance(estimator, (RidgeClassifier, AdaBoost)):
+    if isinstance(estimator, (RidgeClassifier, AdaBoost, Boosting)):
         estimator.label = label
     fitted = estimator.fit(train)
     return fitted.transform(test).select(

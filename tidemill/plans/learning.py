@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
 from tidemill.operators import kernels as E
+from tidemill.operators.boosting import Boosting
+from tidemill.operators.ridge import Ridge
 from tidemill.operators import masking as K
 from tidemill.operators import metrics as M
 from tidemill.operators import models as L
@@ -127,8 +129,8 @@ for _name, _params in {
     "decision_tree": {"maxDepth": 5},
     "random_forest": {"numTrees": 20, "maxDepth": 5},
     "gradient_boosting": {"maxIter": 3, "maxDepth": 3},
-    "hist_gradient_boosting": {"maxIter": 2, "maxDepth": 3},
-    "xgboost": {"maxIter": 2, "maxDepth": 4},
+    "hist_gradient_boosting": {"rounds": 2, "max_leaves": 4},
+    "xgboost": {"rounds": 2, "max_depth": 3},
     "naive_bayes": {},
     "linear_svm": {"maxIter": 8},
     "mlp": {"layers": [64, 16, 10], "maxIter": 30},
@@ -138,6 +140,90 @@ for _name, _params in {
     _classifier(_name, **_params)
 
 
+MIXED = f"""{EV}, d AS (SELECT event_id, value AS a, k AS b, value * 0.5 + k + {uniform_sql("'5'", 'CAST(event_id AS VARCHAR)')} * 20 AS y FROM ev)"""
+# two features: the normal equations by hand, from sums over the rows that train
+TWO = """avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab,
+ count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_"""
+SOLVED = """*, (ay * (bb + alpha) - by_ * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, (by_ * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb"""
+
+
+def mixed(spark, sf):
+    noise = uniform(5, F.col("event_id")) * 20
+    return events(spark, sf).select("event_id", F.array("value", "k").alias("features"), (F.col("value") * 0.5 + F.col("k") + noise).alias("y"))
+
+
+@query("transforms_and_registered_model", f"""WITH {MIXED}, u AS (SELECT * FROM d WHERE b < 90),
+s AS (SELECT {TWO}, CAST(100000 AS DOUBLE) AS alpha FROM u), w AS (SELECT {SOLVED} FROM s)
+SELECT event_id, round(my + wa * (a - ma) + wb * (b - mb), 5) AS prediction FROM u, w""")
+def registered(spark, sf):
+    """A list of transforms, and a model of the registry that takes what it knows from a flat configuration."""
+    steps = [lambda d: d.filter(F.col("features")[1] < 90), lambda d: L.with_vector(d, "features"), lambda d: d.withColumnRenamed("y", "target")]
+    d = L.apply_transforms(mixed(spark, sf), steps)
+    config = {"alphas": (1e5,), "label": "target", "features": "features", "batch_size": 32}
+    model = L.configured_model("ridge_regression", config)
+    return model.fit(d).transform(d).select("event_id", r6("prediction", 5).alias("prediction"))
+
+
+@query("ridge_penalties_by_fold", f"""WITH {MIXED}, f AS (SELECT unnest([0, 1, 2]) AS fold), al AS (SELECT unnest([1.0::DOUBLE, 100000, 10000000]) AS alpha),
+s AS (SELECT fold, {TWO} FROM f JOIN d ON d.event_id % 3 <> fold GROUP BY fold), w AS (SELECT {SOLVED} FROM s, al)
+SELECT alpha, round(avg(pow(y - (my + wa * (a - ma) + wb * (b - mb)), 2)), 5) AS mse FROM d JOIN w ON d.event_id % 3 = fold GROUP BY alpha""")
+def penalties(spark, sf):
+    """Error of each penalty on the folds left out, all from one aggregation."""
+    d = mixed(spark, sf).withColumn("fold", F.col("event_id") % 3)
+    model = Ridge("features", "y", [1.0, 1e5, 1e7], folds=3, fold="fold").fit(d)
+    return spark.createDataFrame([(a, round(e, 5)) for a, e in model.errors.items()], "alpha double, mse double")
+
+
+def _ridge_classes(weight):
+    return f"""WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+n AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS k FROM v WHERE vec_id % 5 <> 0 GROUP BY label),
+t AS (SELECT v.*, {weight} AS w FROM v JOIN n USING (label) WHERE vec_id % 5 <> 0),
+m AS (SELECT sum(w) AS sw, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM t),
+q AS (SELECT sum(w * (a - ma) * (a - ma)) AS aa, sum(w * (b - mb) * (b - mb)) AS bb, sum(w * (a - ma) * (b - mb)) AS ab FROM t, m),
+s AS (SELECT c.label, sum(w * CASE WHEN t.label = c.label THEN 1 ELSE -1 END) / any_value(sw) AS my, sum(w * (a - ma) * CASE WHEN t.label = c.label THEN 1 ELSE -1 END) AS ay,
+  sum(w * (b - mb) * CASE WHEN t.label = c.label THEN 1 ELSE -1 END) AS by_, 0.5::DOUBLE AS alpha FROM t, m, (SELECT DISTINCT label FROM t) c GROUP BY c.label),
+z AS (SELECT {SOLVED} FROM s, q),
+p AS (SELECT vec_id, label, my + wa * (a - ma) + wb * (b - mb) AS score FROM (SELECT vec_id, a, b FROM v WHERE vec_id % 5 = 0), z, m)
+SELECT vec_id AS sample_id, arg_max(label, score) AS pred, round(max(score), 6) AS score FROM p GROUP BY 1"""
+
+
+def _ridge_query(spark, sf, weighted):
+    train, test = [d.select("sample_id", "label", F.slice("series", 1, 2).alias("features")) for d in split_vectors(spark, sf)]
+    if weighted:
+        train = L.class_weights(train, "label")
+    model = L.RidgeClassifier(alphas=(0.5,), weight="weight" if weighted else None).fit(train)
+    return model.transform(test).select("sample_id", F.col("prediction").cast("int").alias("pred"), r6(F.array_max("scores")).alias("score"))
+
+
+@query("ridge_classifier_two_features", _ridge_classes("1.0::DOUBLE"))
+def ridge_classes(spark, sf):
+    return _ridge_query(spark, sf, False)
+
+
+@query("ridge_classifier_balanced", _ridge_classes("total / (k * CAST(n AS DOUBLE))"))
+def ridge_balanced(spark, sf):
+    """The same with balanced class weights in the fit."""
+    return _ridge_query(spark, sf, True)
+
+
+@query("boosting_two_leaves", f"""WITH {EV}, d AS (SELECT event_id, value AS y, CASE WHEN event_id % 9 <> 0 THEN k END AS f0, CAST(user_id % 7 AS DOUBLE) AS f1 FROM ev),
+o AS (SELECT avg(y) AS base FROM d), r AS (SELECT d.*, base - y AS g FROM d, o),
+l AS (SELECT event_id, g, 0 AS f, f0 AS x FROM r UNION ALL SELECT event_id, g, 1, f1 FROM r),
+t AS (SELECT f, sum(g) AS gt, count(*) AS ht, coalesce(sum(g) FILTER (x IS NULL), 0) AS gm, count(*) FILTER (x IS NULL) AS hm FROM l GROUP BY f),
+c AS (SELECT f, x AS cut, sum(sum(g)) OVER (PARTITION BY f ORDER BY x) AS g0, sum(count(*)) OVER (PARTITION BY f ORDER BY x) AS h0,
+  row_number() OVER (PARTITION BY f ORDER BY x DESC) AS above FROM l WHERE x IS NOT NULL GROUP BY f, x),
+s AS (SELECT f, cut, side, g0 + side * gm AS gl, h0 + side * hm AS hl, gt, ht FROM c JOIN t USING (f), (SELECT unnest([1, 0]) AS side) WHERE above > 1),
+b AS (SELECT * FROM s ORDER BY round(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1), 7) DESC, f, cut, side DESC LIMIT 1)
+SELECT event_id, round(base + CASE WHEN x <= cut OR (x IS NULL AND side = 1) THEN -0.3 * gl / (hl + 1) ELSE -0.3 * (gt - gl) / (ht - hl + 1) END, 6) AS prediction
+FROM o, b JOIN l USING (f)""")
+def two_leaves(spark, sf):
+    """One round of one split by second-order gain, missing values on the better side."""
+    d = events(spark, sf).select("event_id", F.col("value").alias("y"), F.array(
+        F.when(F.col("event_id") % 9 != 0, F.col("k")), (F.col("user_id") % 7).cast("double")).alias("features"))
+    model = Boosting(label="y", loss="squared", rounds=1, max_depth=1, rate=0.3, l2=1.0, min_hessian=0).fit(d)
+    return model.transform(d).select("event_id", r6("prediction").alias("prediction"))
+
+
 @query("regress_ridge_on_kernels")
 def regress_ridge(spark, sf):
     kernels = E.make_kernels(spark, 32, 32, 2, seed=9)
