@@ -56,12 +56,33 @@ def kernel_features_sql(spark, sf):
     return k.withColumns({"ppv": r6("ppv"), "top": r6("top")})
 
 
-@query("random_kernels_saved_and_applied")
+def drawn_kernels_sql(length: int, n: int, channels: int, seed: int) -> str:
+    """The kernels of ``make_kernels`` as a table of taps: kernel_id, bias, dil, pad, c, w, tap."""
+    def u(name, *parts):
+        return uniform_sql(f"'{seed}-{name}'", *[f"CAST({p} AS VARCHAR)" for p in parts])
+
+    lengths = [m for m in E.LENGTHS if m < length]
+    return f"""k0 AS (SELECT i AS kernel_id, {lengths}[1 + CAST(floor({u('length', 'i')} * {len(lengths)}) AS INTEGER)] AS len FROM (SELECT unnest(generate_series(0, {n - 1})) AS i)),
+k1 AS (SELECT *, {u('bias', 'kernel_id')} * 2 - 1 AS bias, CAST(floor(pow(2.0, {u('dilation', 'kernel_id')} * log2(floor({length - 1} / CAST(len - 1 AS DOUBLE))))) AS INTEGER) AS dil,
+ CAST(floor(pow(2.0, {u('width', 'kernel_id')} * log2({channels + 1}.0))) AS INTEGER) AS width FROM k0),
+k2 AS (SELECT *, CASE WHEN {u('padding', 'kernel_id')} < 0.5 THEN ((len - 1) * dil) // 2 ELSE 0 END AS pad FROM k1),
+k3 AS (SELECT k2.*, c, row_number() OVER (PARTITION BY kernel_id ORDER BY {u('channel', 'kernel_id', 'c')}, c) AS place FROM k2, (SELECT unnest(generate_series(0, {channels - 1})) AS c)),
+k4 AS (SELECT k3.*, unnest(generate_series(0, len - 1)) AS tap FROM k3 WHERE place <= width),
+k5 AS (SELECT *, sqrt(-2 * ln(1 - {u('radius', 'kernel_id', 'c', 'tap')})) * cos(2 * pi() * {u('angle', 'kernel_id', 'c', 'tap')}) AS raw FROM k4),
+kn AS (SELECT kernel_id, len, bias, dil, pad, c, tap, raw - avg(raw) OVER (PARTITION BY kernel_id, c) AS w FROM k5)"""
+
+
+@query("random_kernels_saved_and_applied", f"""WITH {VEC}, d AS (SELECT sample_id, t // 32 AS c, t % 32 AS t, x FROM v), {drawn_kernels_sql(32, 64, 2, 5)},
+o AS (SELECT s.sample_id, kn.kernel_id, p, any_value(bias) + sum(w * coalesce(d.x, 0)) AS y
+ FROM (SELECT DISTINCT sample_id FROM d) s CROSS JOIN kn CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS p)
+ LEFT JOIN d ON d.sample_id = s.sample_id AND d.c = kn.c AND d.t = p + tap * dil - pad WHERE p < 32 + 2 * pad - (len - 1) * dil GROUP BY 1, 2, 3),
+f AS (SELECT sample_id, kernel_id, avg(CAST(y > 0 AS INTEGER)) AS ppv, max(y) AS top FROM o GROUP BY 1, 2)
+SELECT sample_id, CAST(2 * kernel_id + j AS INTEGER) AS i, round(CASE WHEN j = 0 THEN ppv ELSE top END, 6) AS x FROM f, (SELECT unnest([0, 1]) AS j)""")
 def random_kernels(spark, sf):
     path = fresh_path(spark, "kernels")
     T.save_kernels(E.make_kernels(spark, 32, 64, 2, seed=5), path)
     feats = E.apply_kernels(vectors(spark, sf), "dims", spark.read.parquet(path))
-    return feats.select("sample_id", F.posexplode("kernel_features").alias("i", "x"))
+    return feats.select("sample_id", F.posexplode("kernel_features").alias("i", "x")).withColumn("x", r6("x"))
 
 
 NN = """tr AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings WHERE vec_id % 5 <> 0), te AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings WHERE vec_id % 5 = 0),
