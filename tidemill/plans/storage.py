@@ -251,17 +251,23 @@ def mixed_headers(spark, sf):
     return df.select(F.col("id").cast("bigint").alias("id"), F.col("price").cast("double").alias("price"), F.col("cust").cast("string").alias("cust"))
 
 
-@query("wafer_traces")
+@query("wafer_traces", """WITH l AS (SELECT l_orderkey AS pass, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS t,
+ CASE WHEN l_linenumber % 3 <> 2 THEN l_quantity END AS p, CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END AS q FROM lineitem),
+n AS (SELECT *, last_value(p IGNORE NULLS) OVER b AS bv, last_value(CASE WHEN p IS NOT NULL THEN t END IGNORE NULLS) OVER b AS bt,
+ first_value(p IGNORE NULLS) OVER a AS av, first_value(CASE WHEN p IS NOT NULL THEN t END IGNORE NULLS) OVER a AS at_ FROM l
+ WINDOW b AS (PARTITION BY pass ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY pass ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT pass, t, round(coalesce(CASE WHEN at_ > bt THEN bv + (av - bv) * (t - bt) / (at_ - bt) ELSE coalesce(bv, av) END, 0), 6) AS p, round(coalesce(q, 0), 6) AS q,
+ round(CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE), 2) AS target FROM n JOIN orders ON o_orderkey = pass WHERE o_orderkey % 6 = 0 AND o_orderkey // 6 % 2 = 0 AND o_custkey % 4 <> 0""")
 def wafer_traces(spark, sf):
     """Traces, catalog and measurements as files, read back by the loader: passes of the trace recipe with a label.
 
-    Line numbers, which give the time, repeat within an order, and the order of equal times follows the file, so SQL cannot state the steps.
+    Line number and price give the time, which is unique within an order. Only measurements of the first kind carry the job that the catalog names.
     """
     path = fresh_path(spark, "wafers")
     o = table(spark, sf, "orders")
     l = table(spark, sf, "lineitem")
     traces = l.select(
-        F.col("l_orderkey").alias("WaferPassID"), F.timestamp_seconds(F.col("l_linenumber")).cast("string").alias("TimeStamp"),
+        F.col("l_orderkey").alias("WaferPassID"), F.timestamp_seconds(F.col("l_linenumber").cast("long") * 10**9 + F.round(F.col("l_extendedprice") * 100).cast("long")).cast("string").alias("TimeStamp"),
         F.when(F.col("l_linenumber") % 3 != 2, F.col("l_quantity")).alias("p"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_discount")).alias("q"),
         F.expr("l_orderkey div 2000").alias("file"))
     traces.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/tracedata")

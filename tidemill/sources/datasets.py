@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from tidemill.operators.windows import count_windows
 from tidemill.sources.archive import read_arff, read_ts, read_tsv
 from tidemill.session import materialize
 from tidemill.sources.lines import select_files
+from tidemill.sources.manifest import files, heads, same_path
 
 # fixed values of the weld data: the poisoned record, the feature columns, the fixed length
 WELD_BAD_ID = 920397
@@ -28,6 +30,7 @@ WAFER_TRACE_RECIPE = "QUALCH2CO20"
 WAFER_LENGTH = 130
 
 
+MAX_LAYOUTS = 1000  # different headers that one read may meet
 WANTED_FILES = 10_000  # file names handed to a scan; beyond that a semi-join picks the rows
 
 
@@ -47,21 +50,61 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], pattern: str | None
     )
 
 
-def read_csv_mixed(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, names: Sequence[str] | None = None) -> DataFrame:
-    """CSV files whose columns differ: files are grouped by header line, groups are united by column name.
+def read_csv_mixed(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, names: Sequence[str] | None = None, schema=None) -> DataFrame:
+    """CSV files whose columns differ, in one scan: each file's own header says where a column is; what it lacks is null.
 
-    The driver sees distinct headers with their file names, which it lists for any scan anyway.
+    A table of the files' first lines is joined to the lines, and all columns of the distinct headers, by name, make the result. Records do not
+    span lines; a line that repeats its file's header is taken for one. Columns named twice in a header count once. Give the ``schema``;
+    without one, a pass over the values finds each column's type (bigint, double, timestamp or string). What does not fit its type is null.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    heads = select_files(reader.text(path if isinstance(path, str) else list(path)), pattern).filter("_metadata.file_block_start = 0")
+    listed = files(spark, path, ".csv", pattern)
     if names is not None:
-        heads = heads.filter(F.col("_metadata.file_name").isin(list(names)))
-    heads = heads.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("__id"))
-    first = heads.groupBy("file").agg(F.min_by("value", "__id").alias("head"))
-    groups = first.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("head").collect()
-    if not groups:
+        listed = listed.filter(F.element_at(F.split("file", "/"), -1).isin(list(names)))
+    first = materialize(heads(listed), "heads")
+    layouts = [r.head for r in first.select("head").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if not layouts:
         raise ValueError(f"no csv file under {path} matches {pattern!r}")
-    return clean.union_tolerant(*[read_csv(spark, g.files) for g in groups])
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers under {path}")
+    split = [next(csv.reader([h])) for h in layouts]
+    width = max(map(len, split))
+    columns = sorted({c for h in split for c in h if c}) if schema is None else [f.name for f in schema.fields]
+    cells = ", ".join(f"c{i} string" for i in range(width))
+
+    def parsed(line):
+        record = F.from_csv(line, cells)
+        return F.array(*[record[f"c{i}"] for i in range(width)])
+
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    lines = select_files(reader.text(path if isinstance(path, str) else list(path)), pattern)
+    if names is not None:
+        lines = lines.filter(F.col("_metadata.file_name").isin(list(names)))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+                         F.monotonically_increasing_id().alias("_row"), same_path(F.col("_metadata.file_path")).alias("__file"))
+    header = first.select(same_path(F.col("file")).alias("__file"), F.col("head").alias("__head"), parsed(F.col("head")).alias("__names"))
+    rows = lines.join(header, "__file").filter((F.col("value") != "") & (F.regexp_replace("value", "^\ufeff|\r$", "") != F.col("__head")))
+    rows = rows.withColumn("__cells", parsed(F.regexp_replace("value", "\r$", "")))
+
+    def column(name: str):
+        place = F.array_position("__names", F.lit(name))
+        return F.when(place > 0, F.get("__cells", place.cast("int") - 1))
+
+    text = rows.select(*[column(c).alias(c) for c in columns], "_file", "_at", "_row")
+    if schema is not None:
+        return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], "_file", "_at", "_row")
+    kinds = _kinds(text, columns)
+    return text.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in columns], "_file", "_at", "_row")
+
+
+def _kinds(text: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The first of bigint, double, timestamp that all values of a column are; string otherwise and for a column of nulls."""
+    def all_are(c: str, kind: str):
+        return F.every(F.col(c).isNull() | F.col(c).try_cast(kind).isNotNull())
+
+    tried = ("bigint", "double", "timestamp")
+    tests = [all_are(c, k).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in tried] + [F.count(F.col(c)).alias(f"{i}_n") for i, c in enumerate(columns)]
+    got = text.agg(*tests).first()
+    return {c: next((k for k in tried if got[f"{i}_n"] and got[f"{i}_{k}"]), "string") for i, c in enumerate(columns)}
 
 
 def load_disk_health(spark, path, pattern=None, schema=None, limit=None, model_prefix: str = "ST") -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.session import materialize
+from tidemill.sources.manifest import same_path
 
 
 def select_files(df: DataFrame, pattern: str | None) -> DataFrame:
@@ -50,10 +50,8 @@ def empty_files(spark: SparkSession, path: str | Sequence[str], lines: DataFrame
     if extension:
         reader = reader.option("pathGlobFilter", f"*{extension}")
     names = reader.text(path if isinstance(path, str) else list(path)).inputFiles()
-    # one spelling of "scheme:/path"
-    names = [re.sub(r"^(\w+):/+", r"\1:/", n) for n in names]
-    listed = spark.createDataFrame([(n,) for n in names], "file string")
+    listed = spark.createDataFrame([(n,) for n in names], "file string").select(same_path(F.col("file")).alias("file"))
     if pattern is not None:
         listed = listed.filter(F.col("file").rlike(pattern))
-    seen = lines.select(F.regexp_replace("file", r"^(\w+):/+", "$1:/").alias("file")).distinct()
+    seen = lines.select(same_path(F.col("file")).alias("file")).distinct()
     return listed.join(seen, "file", "left_anti")
