@@ -28,6 +28,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, f"{BATCH_MB}MB")
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function of batches; at a task's end Arrow gives back what it keeps in reserve, as workers outlive tasks."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def map_text(
     df: DataFrame, keep: list[str], text: Column, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]],
     out: list[T.StructField],

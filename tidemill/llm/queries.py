@@ -78,7 +78,7 @@ def op5(spark, sf_dir):
 @query("op6_repeated_bytes")
 def op6(spark, sf_dir):
     """Bytes of every document that belong to strings of 200 bytes found elsewhere, too."""
-    return suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents"), with_kept=False)
 
 
 @query("op7_packed_sequences")

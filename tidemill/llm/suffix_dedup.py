@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import Scratch
+from tidemill.llm.common import bound_batches, releasing, Scratch
 
 LENGTH = 200
 REACH = 128  # positions among which a suffix finds its sample
@@ -130,7 +130,7 @@ def _sampled(docs: DataFrame, kind, limit: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(name), pa.array(covered), pa.array(place)],
                                                  names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def _squeezed(docs: DataFrame, kind) -> DataFrame:
@@ -143,7 +143,7 @@ def _squeezed(docs: DataFrame, kind) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(t) for t in batch.column(2).to_pylist()], pa.binary())],
                                              names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def _induced(docs: DataFrame, kind, limit: int) -> DataFrame:
@@ -174,12 +174,13 @@ def _induced(docs: DataFrame, kind, limit: int) -> DataFrame:
                         [batch.column(0).take(at), batch.column(1).take(at), pa.array(name, pa.int64()), pa.array(part, pa.int32()), pa.array(first, pa.int64()),
                          pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
-def _cut(docs: DataFrame, kind) -> DataFrame:
+def _cut(docs: DataFrame, kind, with_kept: bool) -> DataFrame:
     longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([T.StructField("id", kind), *longs, T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
+    kept_bytes = [T.StructField("kept", T.BinaryType())] if with_kept else []
+    schema = T.StructType([T.StructField("id", kind), *longs, *kept_bytes, T.StructField("kept_sha256", T.StringType())])
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
@@ -195,16 +196,16 @@ def _cut(docs: DataFrame, kind) -> DataFrame:
                 gone = np.cumsum(change[:-1]) > 0
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(text), int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())],
-                                             names=schema.names)
+                rows.append((len(text), int(gone.sum()), spans, *([kept] if with_kept else []), hashlib.sha256(kept).hexdigest()))
+            types = [pa.int64()] * 3 + [pa.binary()] * with_kept + [pa.string()]
+            cols = list(zip(*rows)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
-def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", limit: int = BLOCK) -> DataFrame:
-    """A row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes) and ``kept_sha256``.
+def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", limit: int = BLOCK, with_kept: bool = True) -> DataFrame:
+    """A row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes, if wanted) and ``kept_sha256``.
 
     Removed is each byte covered by a string of 200 bytes that starts at another place, too, in any document.
 
@@ -220,6 +221,7 @@ def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Null ids are ids like any other. Other columns are not read. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType
     plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     plain = plain.select("id", F.xxhash64("t").alias("hash"), F.encode("t", "UTF-8").alias("bytes"))
@@ -235,7 +237,7 @@ def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         F.collect_list(F.when(F.col("mixed"), F.struct("name", "place"))).alias("undecided"))
     decided = scratch.write(decided, "suffix-samples")
 
-    texts = _squeezed(plain, kind)
+    texts = scratch.write(_squeezed(plain, kind), "suffix-texts")
     open_ones = decided.where(F.size("undecided") > 0).select(F.col("id").alias("i"), F.col("hash").alias("h"), "undecided")
     met = texts.join(open_ones.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).select("id", "hash", "z", "undecided")
     tuples = _induced(met, kind, limit).repartition("name", "part").select("id", "hash", "name", "part", "first", F.posexplode("names").alias("nth", "own"))
@@ -248,4 +250,4 @@ def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     b = points.select(F.col("id").alias("j"), F.col("hash").alias("g"), "points")
     joined = texts.join(a.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left").join(
         b.hint("merge"), F.col("id").eqNullSafe(F.col("j")) & (F.col("hash") == F.col("g")), "left")
-    return _cut(joined.select("id", "hash", "z", "places", "points"), kind).withColumnRenamed("id", id_column)
+    return _cut(joined.select("id", "hash", "z", "places", "points"), kind, with_kept).withColumnRenamed("id", id_column)
