@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, language_id, line_dedup, packing, queries, simhash
@@ -25,30 +25,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id in each SimHash group. Of rows that share that id, the least text stays.
+    """The document of smallest id in each SimHash group; of the group's rows that share that id, the one of least text, then of least other columns.
 
-    A row of null id stands for its group only if no row of the group has an id.
+    Rows of one id in different groups are each their own group's affair. A row of null id stands for its group only if no row of
+    the group has an id. An empty table gives no rows.
     """
-    groups = simhash.near_groups(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(stay, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    chosen = chosen.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select(*docs.columns)
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
-        return chosen
-    alone = groups.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("fp"))
-    marked = simhash.fingerprints(nameless, docs.columns).join(alone.select("fp"), "fp", "left_semi")
-    return chosen.unionByName(marked.dropDuplicates(["fp"]).select(*docs.columns))
+    groups = simhash.near_groups(docs).select("fp", F.col("root").alias("__root"), F.col("component_id").alias("__least")).distinct()
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # no column can clash with the operator's
+    plain = docs.toDF(*names.values())
+    rows = simhash.fingerprints(plain, plain.columns, names["text"]).join(groups, "fp").where(F.col(names["doc_id"]).eqNullSafe(F.col("__least")))
+    order = F.struct(names["text"], *[n for c, n in names.items() if c != "text"])
+    chosen = rows.groupBy("__root").agg(F.min(order).alias("__first"))
+    return chosen.select(*[F.col("__first")[n].alias(c) for c, n in names.items()])
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item. Null and empty texts hold none; repeated rows and null ids are judged by their text."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its place in sequences of 2048 tokens."""
+    """A row per piece of a document, with its place in sequences of 2048 tokens. Null and empty texts are a piece of one id."""
     return packing.pack(docs, queries.tokenizer_file("word_bpe_49k.json"))
 
 
