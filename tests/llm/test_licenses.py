@@ -18,10 +18,8 @@ def plain(text):
         base |= {label} if hits else set()
     wide = " " + " ".join(words) + " "
     found = []
-    if any(g in wide for g in lic.GATE):
-        for r in lic.rules():
-            if " " + r.keyword in wide:
-                found += [(m.start(), m.end(), r) for m in re.finditer(r.pattern, wide)]
+    for r in lic.rules():  # no prefilter here
+        found += [(m.start(), m.end(), r) for m in re.finditer(r.pattern, wide)]
 
     def weaker(a, b, r):
         return any(x <= a and b <= y and (o.rank > r.rank or (o.rank == r.rank and y - x > b - a)) for x, y, o in found)
@@ -49,9 +47,42 @@ def test_matches_plain_version(spark):
     assert sorted(str(tuple(r)) for r in got) == sorted(str((i, *plain(t))) for i, t in rows)
 
 
+NOTICES = {
+    "https://www.mozilla.org/en-US/MPL/2.0/": "mpl-2", "http://scripts.sil.org/OFL": "ofl-1.1", "http://www.wtfpl.net": "wtfpl",
+    "https://joinup.ec.europa.eu/collection/eupl": "eupl-1.2", "https://www.eclipse.org/legal/epl-v10.html": "epl-1",
+    "https://creativecommons.org/publicdomain/zero/1.0/": "cc0", "SPDX-License-Identifier: PSF-2.0": "python-2", "Licensed under the 0BSD license": "bsd-0-clause",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+    "you may not use this file except in compliance with the License.": "apache-2", "This is free and unencumbered software released into the public domain.": "unlicense",
+}
+
+
+def test_notices_get_their_labels(spark):
+    rows = list(enumerate(NOTICES))
+    got = {r.doc_id: r.labels.split(",") for r in lic.summary(frame(spark, rows)).collect()}
+    assert {t: label for (i, t), label in zip(rows, NOTICES.values()) if label not in got[i]} == {}
+    assert sorted((r.doc_id, *plain(t)) for (i, t), r in zip(rows, sorted(lic.summary(frame(spark, rows)).collect(), key=lambda r: r.doc_id))) == sorted(
+        tuple(r) for r in lic.summary(frame(spark, rows)).collect())
+
+
 def test_rules_are_many_and_ordered():
     listed = lic.rules()
     assert len(listed) > 300 and all(re.compile(r.pattern) for r in listed)
+    assert len({(r.label, r.pattern) for r in listed}) == len(listed)
+
+
+def test_every_rule_has_keywords_that_its_matches_hold():
+    texts = [" " + " ".join(WORD.findall(ascii_lower(t or ""))) + " " for t in [*TEXTS, *NOTICES, *[t for _, t, _, _ in lic.TEXTS]]]
+    tried = 0
+    for r in lic.rules():
+        assert r.keywords
+        for t in texts:
+            for m in re.finditer(r.pattern, t):
+                around = t[m.start() - 1:m.end() + 1]
+                assert all(any(w in around for w in words) for words in r.keywords), (r, around)
+                tried += 1
+    assert tried > 60
 
 
 def test_detections_tell_what_gave_way(spark):
