@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidemill.operators import samples as P
 from tidemill.operators import tracking as T
 from tidemill.plans.evaluation import PRED, predictions
-from tidemill.plans.registry import events, query, r6, table
+from tidemill.plans.registry import events, patchy_events, query, r6, table
 from tidemill.plans.samples import VEC, vectors
+from tidemill.plans.series import CLEAN, COLS, GAP_S, STEP_MS, mode_sql, windows_sql
 from tidemill.session import fresh_path
 from tidemill.sources import archive as A
 from tidemill.sources import datasets as D
@@ -285,3 +286,35 @@ def wafer_traces(spark, sf):
             "header", True).csv(f"{path}/measurements/{folder}")
     steps, labels = D.load_wafers(spark, path, trace_schema=traces.drop("file").schema, catalog_schema=catalog.schema)
     return steps.join(labels, "sample_id").select(F.col("sample_id").alias("pass"), "t", r6("p").alias("p"), r6("q").alias("q"), F.round(F.col("target").cast("double"), 2).alias("target"))
+
+
+@query("archive_samples", f"""WITH {VEC}, g AS (SELECT sample_id, label, t // 32 AS f, t % 32 AS t, round(x, 6) AS x FROM v),
+n AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS a FROM g WINDOW w AS (PARTITION BY sample_id, f ORDER BY t))
+SELECT sample_id, CAST(f AS INTEGER) AS dim_id, CAST(t AS INTEGER) AS reading_id, round(CASE WHEN t = 0 THEN a WHEN t % 5 = 0 THEN (a + b) / 2 ELSE x END, 7) AS value,
+ CAST(label AS INTEGER) AS code, CAST(32 AS INTEGER) AS length FROM n""")
+def archive_samples(spark, sf):
+    """Archive files in one call: read, interpolated, labels numbered, the length that models take."""
+    cases, lengths, _ = D.load_dataset(spark, "archive", ts_files(spark, sf), extension=".txt")
+    observed = lengths.agg(F.max("max_len")).first()[0]
+    known = cases.select((part_of("file") * CHUNK + F.col("case_no")).alias("sample_id"), "dims", "code")
+    steps = P.nested_to_long(known, "sample_id").withColumn("value", r6("value", 7)).join(known.select("sample_id", "code"), "sample_id")
+    return steps.withColumn("length", F.lit(D.resolve_length(None, "archive", observed)).cast("int"))
+
+
+@query("continuous_samples", f"""WITH {CLEAN}, {windows_sql('clean', (-3, -2, -1, 0), 'c.pos % 2 = 0')},
+m AS {mode_sql('rd', 'user_id, center', 't', 'event_type')}, s AS (SELECT user_id, center, sum(value) AS v, sum(k) AS k FROM rd GROUP BY 1, 2),
+r AS (SELECT s.*, m.label, row_number() OVER (PARTITION BY m.label ORDER BY s.user_id, s.center) - 1 AS r, count(*) OVER (PARTITION BY m.label) AS n,
+  dense_rank() OVER (ORDER BY m.label) - 1 AS code FROM s JOIN m ON s.user_id = m.user_id AND s.center = m.center),
+c AS (SELECT *, n - 60 AS m, CASE WHEN n > 60 THEN (r * (n - 60) + n - 1) // n END AS q FROM r)
+SELECT user_id, center, CAST(code AS INTEGER) AS code, round(v, 5) AS v, round(k, 5) AS k FROM c WHERE m <= 0 OR NOT (q < m AND (q * n) // m = r)""")
+def continuous_samples(spark, sf):
+    """A continuous frame in one call: grid, windows, most frequent label, at most 60 windows of a class, labels numbered."""
+    path = fresh_path(spark, "frame")
+    patchy_events(spark, sf).drop("us").write.parquet(path)
+    found, _, _ = D.load_dataset(spark, "continuous_samples", path, cols=COLS, freq_ms=STEP_MS, max_gap_s=GAP_S, overlap="ignore",
+                                 stamps=(-3, -2, -1, 0), label_stamps=(-3, -2, -1, 0), jump=2, max_per_class=60)
+
+    def total(c):
+        return F.aggregate("steps", F.lit(0.0), lambda a, x: a + x[c])
+
+    return found.select("user_id", "center", "code", r6(total("value"), 5).alias("v"), r6(total("k"), 5).alias("k"))

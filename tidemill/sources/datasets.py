@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import flat_csv_name, pass_key
-from tidemill.operators import clean
+from tidemill.functions import arrays
+from tidemill.operators import clean, samples
 from tidemill.operators.ordered import dense_index
-from tidemill.operators.resample import interpolate
+from tidemill.operators.resample import interpolate, regularize
 from tidemill.operators.splits import limit_ids
-from tidemill.operators.windows import count_windows
+from tidemill.operators.windows import cap_per_class, count_windows, length_stats, sample_windows
+from tidemill.schema import Columns
 from tidemill.sources.archive import read_arff, read_ts, read_tsv
 from tidemill.session import materialize
 from tidemill.sources.lines import select_files
@@ -206,6 +208,59 @@ def load_continuous(spark, path, pattern=None, format: str = "parquet", schema=N
     return select_files(reader.load(path), pattern)
 
 
+def load_archive(spark, path, pattern=None, task: str = "classification", extension: str = ".ts", limit: float | None = None, thin: int | None = None,
+                 longest: int = 256) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(samples, lengths, classes) of archive files, ready to fit.
+
+    Cases are read, and where a sample's dimensions differ in length, those beyond ``longest`` steps are thinned to every second; ``thin`` keeps every
+    so-manieth step of all. Missing steps are interpolated within each series, and ``code`` numbers the sorted labels (``target`` for the task
+    'regression', neither for others). ``limit``: a number or share of the samples, in order of their ids. ``sample_id`` counts the cases in order of file
+    and line. ``lengths``: see ``length_stats``; its largest value is the length that models take.
+    """
+    target = {"classification": "class", "regression": "double"}.get(task, "class")
+    cases = read_ts(spark, path, pattern, target=target, extension=extension)
+    cases = dense_index(cases, ["file", "case_no"], out="sample_id", unique=True)
+    if limit is not None:
+        cases = limit_ids(cases, "sample_id", limit)
+    cases = samples.repair_lengths(cases, "dims", longest)
+    if thin:
+        cases = cases.withColumn("dims", F.transform("dims", lambda s: arrays.decimate(s, thin, 0)))
+    each = cases.select("sample_id", F.posexplode("dims").alias("d", "s")).withColumn("s", arrays.interpolate(F.col("s")))
+    filled = each.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("dims"))
+    rest = [c for c in cases.columns if c not in ("dims", "times")]
+    cases = materialize(cases.select(*rest).join(filled, "sample_id"), "archive")
+    classes = None
+    if task == "classification":
+        cases, classes = clean.encode_classes(cases, "label")
+    lengths = length_stats(cases, "sample_id", [F.get("dims", F.lit(0))])
+    return cases, lengths, classes
+
+
+def resolve_length(parameter: int | None, name: str | None, observed: int) -> int:
+    """The length that models take: what the user says, else the data set's own constant, else the longest sample."""
+    return parameter or DATASET_LENGTHS.get(name or "", None) or observed
+
+
+def continuous_samples(df: DataFrame, cols: Columns, freq_ms: int, max_gap_s: float, stamps: Sequence[int], label_stamps: Sequence[int] = (0,), jump: int = 1,
+                       padding: str = "extrapolate", start: int = 0, max_per_class: int | None = None, **grid) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, classes, audit) of a continuous labelled frame, ready to fit.
+
+    Groups are put on a regular grid with gap-limited filling, cut into windows with the most frequent label, thinned to ``max_per_class`` at an even
+    stride along (group, centre), and numbered by sorted label in ``code``. ``grid``: further arguments of ``regularize``.
+    """
+    regular, audit = regularize(df, cols, freq_ms, max_gap_s, **grid)
+    found = sample_windows(regular, cols.group, cols.features, cols.label, stamps, label_stamps, jump, padding, start)
+    if max_per_class is not None:
+        found = cap_per_class(materialize(found, "windows"), "label", [cols.group, "center"], max_per_class)
+    coded, classes = clean.encode_classes(found, "label")
+    return coded, classes, audit
+
+
+def load_continuous_samples(spark, path, cols: Columns, pattern=None, format: str = "parquet", schema=None, **params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``continuous_samples`` of files."""
+    return continuous_samples(load_continuous(spark, path, pattern, format, schema), cols, **params)
+
+
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:
     """The parsed table at ``path``; built and written first if missing or to be replaced."""
     if not overwrite:
@@ -218,12 +273,16 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], overw
     return spark.read.parquet(path)
 
 
+DATASET_LENGTHS = {"weld": WELD_LENGTH, "wafer": WAFER_LENGTH}
+
 DATASETS: dict[str, Callable] = {
     "disk_health": load_disk_health,
     "weld": load_welds,
     "grid": load_grid_measurements,
     "wafer": load_wafers,
     "continuous": load_continuous,
+    "continuous_samples": load_continuous_samples,
+    "archive": load_archive,
     "ts": read_ts,
     "arff": read_arff,
     "tsv": read_tsv,
