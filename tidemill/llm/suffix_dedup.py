@@ -16,7 +16,7 @@ from tidemill.llm.common import bound_batches, releasing, Scratch
 LENGTH = 200
 REACH = 128  # positions among which a suffix finds its sample
 NAMED = LENGTH - REACH + 1  # bytes that every string of LENGTH shares with its sample's suffix
-BLOCK = 1 << 21  # suffixes hashed at once, under 2**24; longer texts are taken in pieces
+BLOCK = 1 << 19  # suffixes hashed at once, under 2**24; longer texts are taken in pieces
 PART = 16  # induced suffixes that travel together
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
