@@ -192,6 +192,7 @@ def separable(spark):
 @pytest.mark.parametrize("model,params", [
     ("decision_tree", {}), ("random_forest", {"numTrees": 5}), ("gradient_boosting", {"maxIter": 2}), ("naive_bayes", {}),
     ("mlp", {"layers": [2, 8, 3], "maxIter": 60}), ("ridge_classifier", {"alphas": (0.001,), "folds": 2}), ("ada_boost", {"rounds": 4, "depth": 2}),
+    ("linear_svm", {"maxIter": 20}), ("hist_gradient_boosting", {"rounds": 3, "max_leaves": 4}), ("xgboost", {"rounds": 3, "max_depth": 3}),
 ])
 def test_models_beat_the_majority_class(spark, model, params):
     d = separable(spark)

@@ -25,5 +25,13 @@ def test_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(SLOW_MODELS))
+def test_classifiers_judge_every_test_row(spark, sf, name):
+    """The labels of these vectors say nothing about them, so accuracy is tested on other data (test_operators, test_models)."""
+    rows = QUERIES[name](spark, sf).collect()
+    assert sorted(r.sample_id for r in rows) == [i for i in range(max(r.sample_id for r in rows) + 1) if i % 5 == 0]
+    assert {r.pred for r in rows} <= {r.truth for r in rows} | set(range(10))
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
