@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.arrays import bind
 from tidemill.llm.common import Scratch
 
 SIZE = 3
@@ -54,13 +55,16 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         spans.hint("merge"), F.col(id_column).eqNullSafe(F.col("__sid")) & (F.col("__th") == F.col("__sth")), "left")
     cut, n = F.col("__spans"), F.size(lines)
 
-    def piece(i):
-        begin = F.when(i == 0, 0).otherwise(cut[i - 1]["end"])
-        end = F.when(i == F.size(cut), n).otherwise(cut[i]["begin"])
-        return F.slice(lines, begin + 1, end - begin)
+    def rebuilt(all_lines):
+        def piece(i):
+            begin = F.when(i == 0, 0).otherwise(cut[i - 1]["end"])
+            end = F.when(i == F.size(cut), F.size(all_lines)).otherwise(cut[i]["begin"])
+            return F.slice(all_lines, begin + 1, end - begin)
 
-    # indexes stay in range under ANSI mode because each branch is only evaluated for its own pieces
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), piece)), "\n")
+        # indexes stay in range under ANSI mode because each branch is only evaluated for its own pieces
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), piece)), "\n")
+
+    kept = bind(lines, rebuilt)  # split once, not for each piece
     removed = F.aggregate(cut, F.lit(0), lambda a, s: a + s["end"] - s["begin"])
     order = [F.col(c) if c != text else F.when(cut.isNull(), F.col(text)).otherwise(kept).alias(text) for c in docs.columns]
     return joined.select(
