@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from hashlib import md5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemill.functions.arrays import bind
 from tidemill.functions.hashing import uniform
@@ -23,39 +21,45 @@ def bernoulli_keep(
     return F.when(f.isin(list(exclude)), F.lit(True)).otherwise(keep) if exclude else keep
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.BooleanType())))
-def _walk(dims: pd.Series, key: pd.Series, seed: pd.Series, apart: pd.Series, ratio: pd.Series, stop_kept: pd.Series, stop_hidden: pd.Series) -> pd.Series:
-    def row(series, name, salt, separate, r, kept, hidden):
-        if series is None:
-            return None
-        out = []
-        for f, steps in enumerate(series):
-            stem = "-".join([str(salt), *([] if name is None else [name]), *([str(f)] if separate else [])]) + "-"
-
-            def draw(t, stem=stem):
-                return int(md5(f"{stem}{t}".encode()).hexdigest()[:8], 16) / 2.0**32
-
-            state, flags = draw(-1) > r, []
-            for t in range(0 if steps is None else len(steps)):
-                flags.append(state)
-                state = state != (draw(t) < (kept if state else hidden))
-            out.append(flags)
-        return out
-
-    return pd.Series([row(*x) for x in zip(dims, key, seed, apart, ratio, stop_kept, stop_hidden)])
-
-
 def markov_keep(dims: Column, ratio: float, mean_len: float, seed: int, key: Column, apart: bool = True) -> Column:
     """``array<array<boolean>>`` of the shape of ``dims``, a two-state chain for each series: hidden runs of ``mean_len`` steps on
     average, ``ratio`` hidden overall.
 
-    The draws are ``uniform`` of the key, the series if ``apart``, and the step: step -1 draws the start, step t the move after t. The
-    chains are followed in Arrow batches in linear time; folded with array functions, each step would copy the row.
+    The chain is drawn by its runs, which are geometric: run i is 1 + floor(ln(1 - u) / ln(1 - p)) steps long, where p is the chance
+    to leave its state and u the ``uniform`` of the key, the series if ``apart``, and i; the draw of -1 gives the first run's state.
+    Runs are drawn until they cover the series, then written out, so there is one hash a run and not one a step. A null series gives
+    a null row of the mask, a series without steps an empty one.
     """
     if ratio >= 1:
         return F.transform(dims, lambda s: F.transform(s, lambda _: F.lit(False)))
     stop_hidden = 1.0 / mean_len
-    return _walk(dims, key.cast("string"), F.lit(seed), F.lit(apart), F.lit(float(ratio)), F.lit(stop_hidden * ratio / (1 - ratio)), F.lit(stop_hidden))
+    stop_kept = stop_hidden * ratio / (1 - ratio)
+
+    def row(series: Column, f: Column) -> Column:
+        steps = F.size(series)
+        parts = (key, f) if apart else (key,)
+
+        def length(i: Column, kept: Column) -> Column:
+            left = F.log(1 - uniform(seed, *parts, i))
+            runs = [steps if p <= 0 else F.lit(1) if p >= 1 else F.least(1 + F.floor(left / F.lit(math.log1p(-p))), steps.cast("bigint"))
+                    for p in (stop_kept, stop_hidden)]
+            return F.when(kept, runs[0].cast("int")).otherwise(runs[1].cast("int"))
+
+        def written(first: Column) -> Column:
+            def state(i: Column) -> Column:
+                return first == (i % 2 == 0)
+
+            # the sum of run lengths stands still once the series is covered; the draws beyond are never made
+            none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("covered"))
+            drawn = F.aggregate(series, none, lambda a, _: F.when(a["covered"] >= steps, a).otherwise(
+                F.struct((a["n"] + 1).alias("n"), (a["covered"] + length(a["n"], state(a["n"]))).alias("covered"))), lambda a: a["n"])
+            runs = F.transform(F.sequence(F.lit(0), drawn - 1), lambda i: F.array_repeat(state(i), length(i, state(i))))
+            return F.slice(F.flatten(runs), F.lit(1), steps)
+
+        flags = bind(uniform(seed, *parts, F.lit(-1)) > ratio, written)
+        return F.when(steps > 0, flags).when(series.isNotNull(), F.array().cast("array<boolean>"))
+
+    return F.transform(dims, row)
 
 
 def noise_mask(

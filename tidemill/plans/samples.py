@@ -295,10 +295,12 @@ def excluded(spark, sf):
 
 def _markov_sql(parts: tuple[str, ...]) -> str:
     start = uniform_sql("'11'", *parts, "'-1'")
-    move = uniform_sql("'11'", *parts, "CAST(t AS VARCHAR)")
-    return f"""WITH RECURSIVE m AS (SELECT vec_id AS sample_id, f, 0 AS t, {start} > 0.25 AS keep FROM embeddings, (SELECT unnest([0, 1]) AS f)
-UNION ALL SELECT sample_id, f, t + 1, keep <> ({move} < CASE WHEN keep THEN 1.0 / 3 * 0.25 / 0.75 ELSE 1.0 / 3 END) FROM m WHERE t < 31)
-SELECT sample_id, CAST(f AS INTEGER) AS f, CAST(t AS INTEGER) AS t, keep FROM m"""
+    u = uniform_sql("'11'", *parts, "CAST(i AS VARCHAR)")
+    return f"""WITH s AS (SELECT vec_id AS sample_id, f FROM embeddings, (SELECT unnest([0, 1]) AS f)),
+r AS (SELECT sample_id, f, i, ({start} > 0.25) = (i % 2 = 0) AS keep, {u} AS u FROM s, (SELECT unnest(range(0, 32)) AS i)),
+l AS (SELECT *, CAST(least(1 + floor(ln(1 - u) / CASE WHEN keep THEN ln(1 - 1.0::DOUBLE / 3 * 0.25 / 0.75) ELSE ln(1 - 1.0::DOUBLE / 3) END), 32) AS BIGINT) AS n FROM r),
+c AS (SELECT *, sum(n) OVER (PARTITION BY sample_id, f ORDER BY i) AS stop FROM l)
+SELECT sample_id, CAST(f AS INTEGER) AS f, CAST(t AS INTEGER) AS t, keep FROM (SELECT sample_id, f, keep, unnest(range(CAST(stop - n AS BIGINT), CAST(stop AS BIGINT))) AS t FROM c) WHERE t < 32"""
 
 
 @query("markov_mask", _markov_sql(("CAST(sample_id AS VARCHAR)", "CAST(f AS VARCHAR)")))
