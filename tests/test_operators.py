@@ -45,6 +45,46 @@ def test_first_by_hash_takes_exact_counts(spark, buckets):
         ("a", True): 137, ("a", False): 863, ("b", False): 2000}
 
 
+@pytest.mark.parametrize("buckets,test", [(2, 0.3), (16, 0.01), (4096, 0.25), (8, 0.0)])
+def test_split_takes_what_a_sort_takes(spark, buckets, test):
+    from hashlib import md5
+    from math import ceil
+
+    def hashed(*parts):
+        return int(md5("-".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+    d = spark.range(700).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL WHEN id = 5 THEN 'one' WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS k")
+    got = {(r.fold, r.id): r.split for r in X.ratio_split(d, "id", 0.2, test, folds=4, strata="k", first_fold=1, buckets=buckets).collect()}
+    strata, want = collections.defaultdict(list), {}
+    for r in d.collect():
+        strata[r.k].append(r.id)
+    for ids in strata.values():
+        ids.sort(key=lambda i: (hashed("1337-test", i), i))
+        n = ceil(len(ids) * test)
+        for fold in range(1, 4):
+            rest = sorted(ids[n:], key=lambda i: (hashed("1337-val", fold, i), i))
+            val = ceil(len(rest) * 0.2)
+            want |= {(fold, i): "test" for i in ids[:n]} | {(fold, i): "val" for i in rest[:val]} | {(fold, i): "train" for i in rest[val:]}
+    assert got == want
+    assert X.ratio_split(d.limit(0), "id", 0.2, test, strata="k", buckets=buckets).count() == 0
+
+
+def test_thieves_of_sparse_cells_are_those_of_the_grid(spark):
+    rng = np.random.default_rng(4)
+    truth = rng.integers(0, 30, 400)
+    pairs = [(int(t), int(p)) for t, p in zip(truth, np.where(rng.random(400) < 0.8, truth, rng.integers(5, 35, 400)))]
+    d = spark.createDataFrame(pairs + [(None, 3), (3, None)], "truth int, pred int")
+    sparse, grid = M.confusion(d), M.confusion(d, classes=range(35))
+    assert sparse.count() == len(set(pairs)) and grid.count() == 35 * 35
+    seen = sorted({c for pair in pairs for c in pair})
+    n, support = collections.Counter(pairs), collections.Counter(t for t, _ in pairs)
+    want = set()
+    for t in seen:
+        ranked = sorted(seen, key=lambda p: (-n[t, p], -p))[:4]
+        want |= {(t, k + 1, p, n[t, p] / max(1, support[t])) for k, p in enumerate(ranked) if p != t}
+    assert {tuple(r) for r in M.thieves(sparse, 3).collect()} == want
+
+
 def test_array_rules(spark):
     d = spark.createDataFrame([([10.0, 20.0, 30.0],)], "x array<double>")
     row = d.select(A.uniform_scale(F.col("x"), 5), A.pad(F.col("x"), 5), A.pad(F.col("x"), 2), A.decimate(F.col("x"), 2, 2), A.decimate(F.col("x"), 2, 3)).first()
@@ -81,6 +121,17 @@ def test_markov_mask_ratio_and_run_length(spark):
     assert not any(everything)
 
 
+def test_markov_mask_at_its_edges(spark):
+    rows = [(1, [[0.0] * 50, None, [], [0.0]]), (2, None), (None, [[0.0] * 3])]
+    d = spark.createDataFrame(rows, "sample_id int, dims array<array<double>>")
+    got = [r.mask for r in K.noise_mask(d, "sample_id", "dims", 0.4, 1).collect()]
+    assert [len(x) if x is not None else None for x in got[0]] == [50, None, 0, 1] and got[1] is None and len(got[2][0]) == 3
+    assert "00" not in "".join("1" if k else "0" for k in got[0][0])  # runs of one step each
+    assert all(K.noise_mask(d.limit(1), "sample_id", "dims", 0.0, 3).first().mask[0])
+    both = K.noise_mask(spark.createDataFrame([(1, [[0.0] * 40] * 2)], d.schema), "sample_id", "dims", 0.5, 4, mode="concurrent").first().mask
+    assert both[0] == both[1]
+
+
 def test_top_k_golden(spark):
     d = spark.createDataFrame([(1, [1, 5, 4]), (0, [2, 0, 3])], "truth int, ranked array<int>")
     assert [r.accuracy for r in M.top_k_from_ranked(d, "ranked", "truth", 3).orderBy("k").collect()] == [0.5, 1, 1]

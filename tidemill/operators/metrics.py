@@ -26,21 +26,19 @@ def counts(pred: DataFrame, truth: str = "truth", prediction: str = "pred") -> D
 
 
 def confusion(pred: DataFrame, truth: str = "truth", prediction: str = "pred", classes: Sequence | None = None) -> DataFrame:
-    """Long confusion matrix on the full label grid, with the row share.
+    """Long confusion matrix: (truth, pred, n, share of the true class's rows).
 
-    The grid is written out from the class list (one array in each class's row); classes number in the
-    hundreds, not with the data.
+    Only cells that occur, unless ``classes`` asks for the grid of these classes; cells of other classes are then left out. Rows without
+    a truth or a prediction are not counted.
     """
-    cells = counts(pred, truth, prediction)
-    grid = label_grid(cells)
+    cells = counts(pred, truth, prediction).filter("truth IS NOT NULL AND pred IS NOT NULL")
     if classes is not None:
-        kind = pred.schema[truth].dataType
-        grid = pred.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes]).cast(f"array<{kind.simpleString()}>")).alias("c"))
-    everyone = grid.agg(F.collect_set("c").alias("l")).scalar()
-    full = grid.select(F.col("c").alias("truth"), F.explode(everyone).alias("pred"))
-    filled = full.join(cells, ["truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        kind = pred.schema[truth].dataType.simpleString()
+        listed = F.array(*[F.lit(c) for c in classes]).cast(f"array<{kind}>")
+        grid = pred.sparkSession.range(1).select(F.explode(listed).alias("truth")).select("truth", F.explode(listed).alias("pred"))
+        cells = grid.join(cells, ["truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     support = F.sum("n").over(Window.partitionBy("truth"))
-    return filled.select("truth", "pred", "n", _zero(F.try_divide("n", support)).alias("share"))
+    return cells.select("truth", "pred", "n", _zero(F.try_divide("n", support)).alias("share"))
 
 
 def confusion_matrix(pred: DataFrame, classes: Sequence, truth: str = "truth", prediction: str = "pred") -> DataFrame:
@@ -254,9 +252,17 @@ def top_k_from_rank(pred: DataFrame, rank: Column, k: int) -> DataFrame:
 
 
 def thieves(cells: DataFrame, top: int = 2) -> DataFrame:
-    """Per true class the other classes that take most of it: (truth, rank, pred, share)."""
+    """Per class the other classes that take most of it: (truth, rank, pred, share), among the class's ``top`` + 1 largest cells.
+
+    ``cells`` may leave out empty ones. Of those only the ``top`` + 1 last classes by name can get a rank, where a class has fewer cells
+    than ranks: these alone are filled in, so work grows with the cells that occur and not with the classes squared.
+    """
+    classes = label_grid(cells).filter("c IS NOT NULL")
+    last = classes.orderBy(F.col("c").desc()).limit(top + 1).agg(F.collect_list("c")).scalar()
+    spare = classes.select(F.col("c").alias("truth"), F.explode(last).alias("pred")).join(cells, ["truth", "pred"], "left_anti")
+    known = cells.select("truth", "pred", "share").unionByName(spare.withColumn("share", F.lit(0.0)))
     by_share = Window.partitionBy("truth").orderBy(F.col("share").desc(), F.col("pred").desc())
-    ranked = cells.withColumn("rank", F.row_number().over(by_share)).filter(F.col("rank") <= top + 1)
+    ranked = known.withColumn("rank", F.row_number().over(by_share)).filter(F.col("rank") <= top + 1)
     return ranked.filter("truth <> pred").select("truth", "rank", "pred", "share")
 
 

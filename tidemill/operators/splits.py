@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.hashing import hash32
-from tidemill.operators.ordered import dense_index, first_by_hash
+from tidemill.functions.scalars import floor_div
+from tidemill.operators.ordered import dense_index
 from tidemill.schema import require
+from tidemill.session import materialize
 
 KINDS = ("random", "stratified", "group_stratified", "group", "by_group_list", "train_on_all")
 
@@ -35,31 +37,87 @@ def check_parameters(
         raise ValueError("a group cannot be in both test and validation")
 
 
-def _take_share(df: DataFrame, ratio: float, hashed: Column, tie: str, keys: Sequence[str]) -> DataFrame:
-    """``chosen`` on exactly ceil(ratio * n) rows per key, in hash order."""
-    return first_by_hash(df, hashed, tie, keys, lambda n: F.ceil(n * F.lit(ratio)))
+def _order(hashed: Column, sample: str) -> Column:
+    return F.struct(hashed.alias("h"), F.col(sample).alias("t"))
+
+
+def _cuts(ids: DataFrame, sample: str, val_ratio: float, test_ratio: float, numbers: Sequence[int], seed: int, buckets: int) -> DataFrame:
+    """(__key, __test, __val): per stratum the last (hash, id) that is a test row, and by fold the last that is a validation row.
+
+    One histogram of test hashes finds the bucket that holds the test cut. The next one, of all folds together, counts by bucket of
+    the validation hash the rows beyond that bucket and, apart from them, those inside it: whichever of these are test rows, the fold's
+    cut lies in a short range of buckets. Only the rows of these buckets, a few of each ``buckets``, are written and ordered.
+    """
+    width = 4294967296 // buckets
+    each = F.explode(F.array(*[F.lit(n) for n in numbers])).alias("fold")
+    val_hash = hash32(f"{seed}-val", F.col("fold"), F.col(sample))
+    rows = ids.withColumn("__ht", hash32(f"{seed}-test", F.col(sample)))
+    bucket = floor_div(F.col("__ht"), width)
+    per_key = Window.partitionBy("__key")
+    if test_ratio:
+        seen = rows.groupBy(F.col("__stratum").alias("__key"), bucket.alias("__b")).agg(F.count("*").alias("__c"))
+        upto = F.sum("__c").over(per_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+        wanted = F.ceil(F.sum("__c").over(per_key) * F.lit(test_ratio)).cast("bigint")
+        first = seen.withColumns({"__upto": upto, "__n": wanted}).filter("__upto >= __n AND __upto - __c < __n").select(
+            "__key", F.col("__b").alias("__at"), (F.col("__n") - F.col("__upto") + F.col("__c")).alias("__need"))
+        first = materialize(first, "test-cuts")
+        rows = rows.join(first, F.col("__stratum").eqNullSafe(F.col("__key"))).drop("__key")
+    else:
+        rows = rows.withColumns({"__at": F.lit(-1).cast("bigint"), "__need": F.lit(0).cast("bigint")})
+    # rows before the cut's bucket are test rows; the open ones are in it
+    rows = rows.filter(bucket >= F.col("__at")).select("*", (bucket == F.col("__at")).alias("__open"), each)
+    rows = rows.withColumn("__hv", val_hash).withColumn("__bv", floor_div(F.col("__hv"), width))
+
+    seen = rows.groupBy(F.col("__stratum").alias("__key"), "fold", "__bv").agg(
+        F.count_if(~F.col("__open")).alias("__sure"), F.count("*").alias("__all"), F.max("__need").alias("__need"))
+    per_fold = Window.partitionBy("__key", "fold")
+    upto = per_fold.orderBy("__bv").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumns({
+        "__n": F.ceil((F.sum("__all").over(per_fold) - F.col("__need")) * F.lit(val_ratio)).cast("bigint"),
+        "__upto_sure": F.sum("__sure").over(upto), "__upto_all": F.sum("__all").over(upto)}).filter("__n > 0")
+    maybe = F.when(F.col("__upto_all") >= F.col("__n"), F.col("__bv"))
+    ranges = seen.groupBy("__key", "fold").agg(
+        F.min(maybe).alias("__lo"),
+        F.coalesce(F.min(F.when(F.col("__upto_sure") >= F.col("__n"), F.col("__bv"))), F.lit(buckets)).alias("__hi"),
+        (F.first("__n") - F.min_by(F.col("__upto_sure") - F.col("__sure"), maybe)).alias("__nth"))
+    ranges = materialize(ranges.withColumnRenamed("fold", "__fold"), "val-ranges")
+
+    near = rows.join(ranges, F.col("__stratum").eqNullSafe(F.col("__key")) & (F.col("fold") == F.col("__fold")), "left").filter(
+        F.col("__open") | F.col("__bv").between(F.col("__lo"), F.col("__hi")))
+    near = materialize(near.select(
+        F.col("__stratum").alias("__key"), "fold", "__open", "__need", "__nth", _order(F.col("__ht"), sample).alias("__t"),
+        _order(F.col("__hv"), sample).alias("__v")), "near-cuts")
+    last = near.filter(F.col("__open") & (F.col("fold") == numbers[0])).withColumn(
+        "__r", F.row_number().over(per_key.orderBy("__t"))).filter("__r = __need")
+    last = materialize(last.select("__key", F.col("__t").alias("__test")), "test-last")
+    told = last.withColumnRenamed("__key", "__k")
+    rest = near.join(told, F.col("__key").eqNullSafe(F.col("__k")), "left").filter(~F.col("__open") | (F.col("__t") > F.col("__test")))
+    final = rest.withColumn("__r", F.row_number().over(per_fold.orderBy("__v"))).filter("__r = __nth")
+    by_fold = final.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("fold", "__v"))).alias("__val"))
+    by_fold = by_fold.withColumnRenamed("__key", "__k")
+    both = last.join(by_fold, F.col("__key").eqNullSafe(F.col("__k")), "full")
+    return both.select(F.when(F.col("__test").isNotNull(), F.col("__key")).otherwise(F.col("__k")).alias("__key"), "__test", "__val")
 
 
 def ratio_split(
     df: DataFrame, sample: str, val_ratio: float, test_ratio: float = 0.0, folds: int = 1, seed: int = 1337,
-    strata: str | None = None, first_fold: int = 0,
+    strata: str | None = None, first_fold: int = 0, buckets: int = 4096,
 ) -> DataFrame:
     """Random split, per stratum if given: test is shared by all folds, validation is redrawn per fold.
 
-    The validation ratio applies to what is left after the test rows are taken out.
+    Exactly ceil(ratio * n) rows of each stratum are taken, in order of a hash of the id. The validation ratio applies to what is
+    left after the test rows are taken out. The cuts are one table for all strata, folds and roles (see ``_cuts``: two counting passes
+    and one that picks the rows next to the cuts); all rows are then marked in one scan, and only there written out once for each fold.
     """
     ids = df.select(sample, (F.col(strata) if strata else F.lit(0)).alias("__stratum"))
-    if test_ratio:
-        drawn = _take_share(ids, test_ratio, hash32(f"{seed}-test", F.col(sample)), sample, ["__stratum"])
-    else:
-        drawn = ids.withColumn("chosen", F.lit(False))
-    fold_numbers = F.explode(F.sequence(F.lit(first_fold), F.lit(folds - 1)))
-    per_fold = drawn.withColumn("fold", fold_numbers)
-    test = per_fold.filter("chosen").select("fold", sample, F.lit("test").alias("split"))
-    rest = per_fold.filter("NOT chosen").drop("chosen")
-    val = _take_share(rest, val_ratio, hash32(f"{seed}-val", F.col("fold"), F.col(sample)), sample, ["fold", "__stratum"])
-    others = val.select("fold", sample, F.when(F.col("chosen"), F.lit("val")).otherwise(F.lit("train")).alias("split"))
-    return test.unionByName(others)
+    numbers = list(range(first_fold, folds))
+    cuts = materialize(_cuts(ids, sample, val_ratio, test_ratio, numbers, seed, buckets), "cuts")
+    marked = ids.join(cuts, F.col("__stratum").eqNullSafe(F.col("__key")), "left").withColumn(
+        "__is_test", _order(hash32(f"{seed}-test", F.col(sample)), sample) <= F.col("__test"))
+    per_fold = marked.select("*", F.explode(F.array(*[F.lit(n) for n in numbers])).alias("fold"))
+    is_val = _order(hash32(f"{seed}-val", F.col("fold"), F.col(sample)), sample) <= F.try_element_at("__val", F.col("fold"))
+    role = F.when(F.col("__is_test"), "test").when(is_val, "val").otherwise("train")
+    return per_fold.select("fold", sample, role.alias("split"))
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 1337, salt: str = "fold") -> DataFrame:

@@ -40,7 +40,7 @@ cs AS (SELECT *, coalesce(n / nullif(sum(n) OVER (PARTITION BY truth), 0), 0) AS
 
 @query("confusion_matrix", f"WITH {CLS}, {GRID} SELECT CAST(truth AS INTEGER) AS truth, CAST(pred AS INTEGER) AS pred, n FROM cm")
 def confusion(spark, sf):
-    return M.confusion(predictions(spark, sf)).select("truth", "pred", "n")
+    return M.confusion(predictions(spark, sf), classes=range(5)).select("truth", "pred", "n")
 
 
 @query("confusion_matrix_wide", f"""WITH {PRED} SELECT CAST(truth AS INTEGER) AS truth, {', '.join(f'count(*) FILTER (pred = {i}) AS "{i}"' for i in range(5))} FROM pr GROUP BY 1""")
