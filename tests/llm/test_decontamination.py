@@ -46,6 +46,24 @@ def test_bands_respect_text_borders():
     assert [bool(x) for x in dc.search(texts, dc.segments([item]))] == [False, False, True, False, True, True]
 
 
+def test_short_items_are_found_word_for_word():
+    items = ["Blue, sky!", "the", "a b c d e f g h", "sky blue", "", None, "blue sky"]
+    s = dc.segments(items + [prose(1, 30)])
+    texts = [dc.normalize(t) for t in ("A blue sky: Blue Sky.", "bluesky theory", "x A-B-C-D-E-F-G-H", "", "the", prose(1, 30) + " the")]
+    got = dc.search(texts, s)
+    assert got[0] == {0: (1, 0, 2, 19), 6: (1, 0, 2, 19), 3: (1, 0, 7, 15)}
+    assert [set(g) for g in got[1:]] == [set(), {2}, set(), {1}, {1, 7}]
+    assert [set(g) for g in dc.search(texts, dc.segments(items))] == [set(g) - {7} for g in got]
+
+
+def test_more_documents_than_one_search_can_number(monkeypatch):
+    items = [prose(i, 14)[:90] for i in range(6)]
+    texts = [dc.normalize(prose(90 + k, 20) + " " + items[k % 6] + " " + prose(40 + k, 5)) for k in range(11)]
+    whole = dc.search(texts, dc.segments(items))
+    monkeypatch.setattr(dc, "PACKED", 40)
+    assert dc.search(texts, dc.segments(items)) == whole and all(whole)
+
+
 def test_awkward_rows(spark):
     item = prose(5, 40)
     docs = [(1, prose(1, 50) + "\n" + item.upper().replace(" ", ",\n") + "!"), (2, None), (3, ""), (4, prose(2, 30)), (None, item), (1, item), (6, prose(9, 60000) + item)]

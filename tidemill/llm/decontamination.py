@@ -16,7 +16,8 @@ from tidemill.llm.common import map_text
 Q = 8
 SEGMENT, STEP = 100, 50  # characters of a benchmark segment, and from one to the next
 RATE = 0.1  # edits allowed per character of a segment
-SHORTEST = 25  # shorter items are not looked for
+SHORTEST = 25  # characters; shorter items are found where they stand word for word
+PACKED = 1 << 31  # documents times segments that one search can number
 BLOCK_BYTES = 4 << 20  # benchmark text that is searched for at once
 HITS = 1 << 20  # shared q-grams expanded at once
 BATCH = 1 << 22  # characters of documents searched at once
@@ -58,13 +59,17 @@ class Segments(NamedTuple):
     at: np.ndarray
     width: int  # step between bands; each band is twice as wide
     table: np.ndarray  # q-gram present, by hash
+    short: dict[str, list[int]]  # items too short for an edit budget, by text
+    words: list[int]  # how many words these have
 
 
 def segments(texts: list[str | None]) -> Segments:
-    item, parts = [], []
+    item, parts, short = [], [], {}
     for i, t in enumerate(texts):
         t = normalize(t or "")
-        if len(t) >= SHORTEST:
+        if 0 < len(t) < SHORTEST:
+            short.setdefault(t, []).append(i)
+        elif t:
             begins = [*range(0, max(1, len(t) - SEGMENT), STEP), max(0, len(t) - SEGMENT)]
             for b in sorted(set(begins)):
                 item.append(i)
@@ -80,7 +85,20 @@ def segments(texts: list[str | None]) -> Segments:
     table = np.zeros(1 << TABLE_BITS, dtype=bool)
     table[_slot(gram)] = True
     return Segments(item, parts, budget, length - Q + 1 - budget * Q, gram[order], segment[order], at[order],
-                    int(budget.max(initial=0)) + 1, table)
+                    int(budget.max(initial=0)) + 1, table, short, sorted({t.count(" ") + 1 for t in short}))
+
+
+def whole_words(text: str, s: Segments) -> dict[int, tuple[int, int, int, int]]:
+    """Short items that are whole words of a normalised text: item -> (1, 0, begin of the first place, end of the last one)."""
+    words, found = text.split(" "), {}
+    begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
+    for k in s.words:
+        for j in range(len(words) - k + 1):
+            # a run too long for a short item is not put together
+            if begin[j + k] - 1 - begin[j] < SHORTEST:
+                for i in s.short.get(text[begin[j]:begin[j + k] - 1], ()):
+                    found[i] = (1, 0, found[i][2] if i in found else begin[j], begin[j + k] - 1)
+    return found
 
 
 def bands(text: np.ndarray, owner: np.ndarray, s: Segments) -> np.ndarray:
@@ -127,9 +145,15 @@ def align(pattern: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def search(texts: list[str], s: Segments) -> list[dict[int, tuple[int, int, int, int]]]:
     """For each normalised text: item -> (segments found, least edits, begin, end) in characters of the text."""
-    result: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
+    exact = [whole_words(t, s) if s.short else {} for t in texts]
     if not s.text:
-        return result
+        return exact
+    if len(texts) * len(s.text) >= PACKED:
+        half = len(texts) // 2
+        if not half:
+            raise ValueError(f"{len(s.text)} segments in one block")
+        return search(texts[:half], s) + search(texts[half:], s)
+    result: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
     points = [np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32) for t in texts]
     gap = np.zeros(Q, dtype=np.uint8)
     joined = np.concatenate([x for t in texts for x in (codes(t), gap)] or [gap])
@@ -155,7 +179,7 @@ def search(texts: list[str], s: Segments) -> list[dict[int, tuple[int, int, int,
                     new = (seg, int(e), lo, min(lo + len(pattern), len(points[doc])))
                     seen = ({seg}, *new[1:]) if old is None else (old[0] | {seg}, min(old[1], new[1]), min(old[2], lo), max(old[3], new[3]))
                     result[doc][s.item[seg]] = seen
-    return [{i: (len(v[0]), *v[1:]) for i, v in r.items()} for r in result]
+    return [{i: (len(v[0]), *v[1:]) for i, v in r.items()} | e for r, e in zip(result, exact)]
 
 
 HIT = ("row", "n_segments", "edits", "begin", "end")
@@ -197,8 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
     ``n_segments`` found, ``edits`` (fewest of a segment), ``begin`` and ``end`` (characters of the normalised text).
 
     Both sides are compared in lower case with every run of other characters than letters and digits as one space. Items are
-    cut into overlapping segments of 100 characters (the whole item if shorter; under 25 characters it is left out), and a
-    segment is found within one edit per ten characters. By the q-gram lemma a match keeps a known number of 8-grams within
+    cut into overlapping segments of 100 characters (the whole item if shorter), and a segment is found within one edit per ten
+    characters. An item under 25 characters is found where it stands word for word. By the q-gram lemma a match keeps a known number of 8-grams within
     one of the overlapping diagonal bands; bands that reach it are aligned exactly.
 
     Null texts on either side are empty, and rows of null item id are compared like any other. Repeated documents give repeated rows,
