@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
@@ -299,3 +300,21 @@ def transduction(spark, sf):
     out = L.transduce(df.withColumn("keep", keep), ["mixed"], ["value", "k"], "keep", solver="normal")
     cells_ = out.select("mixed", F.col("mixed_pred").alias("p"), (~F.col("keep")).alias("predict"))
     return M.masked_mse(cells_, "mixed", "p", F.col("predict"), F.lit(True)).withColumn("mse", r6("mse", 5))
+
+
+@query("transforms_and_registry", """WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE)) AS y FROM lineitem WHERE l_returnflag <> 'R'),
+m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM t WHERE l_orderkey % 4 <> 0)
+SELECT l_orderkey, l_linenumber, round(y, 4) AS target, round(a * x + b, 4) AS prediction FROM t, m WHERE l_orderkey % 4 = 0""")
+def transforms_and_registry(spark, sf):
+    """A list of transforms, then a model by name with what its constructor knows of a flat configuration."""
+    keep = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
+    rows = L.apply_transforms(table(spark, sf, "lineitem"), [
+        lambda d: d.select(*keep),
+        lambda d: d.filter("l_returnflag <> 'R'"),
+        lambda d: d.withColumn("y", F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))),
+        lambda d: d.withColumn("features", array_to_vector(F.array(F.col("l_quantity").cast("double")))),
+    ])
+    config = {"featuresCol": "features", "labelCol": "y", "regParam": 0.0, "solver": "normal", "batch_size": 64, "epochs": 3}
+    fitted = L.configured_model("linear_regression", config).fit(rows.filter("l_orderkey % 4 <> 0"))
+    return fitted.transform(rows.filter("l_orderkey % 4 = 0")).select(
+        "l_orderkey", "l_linenumber", r6("y", 4).alias("target"), r6("prediction", 4).alias("prediction"))
