@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import repaired_power
+from tidemill.operators.quantiles import order_statistics
 from tidemill.session import materialize
 
 
@@ -35,20 +36,10 @@ def rename_by_position(df: DataFrame, per: int = 3, skip: Sequence[str] = ()) ->
 
 
 def median_per_file(df: DataFrame, file: str, value: str, out: str = "median") -> DataFrame:
-    """Exact median per file from a histogram of values, so a file of any size is pre-aggregated first.
-
-    The values around the middle are found by a running count over distinct values.
-    """
-    from tidemill.operators.ordered import running
-
-    histogram = df.filter(F.col(value).isNotNull()).groupBy(file, value).agg(F.count("*").alias("__c"))
-    cumulative = running(histogram, [value], {"__cum": ("sum", F.col("__c"))}, [file], unique=True)
-    sizes = df.groupBy(file).agg(F.count(value).alias("__n")).withColumnRenamed(file, "__file")
-    placed = cumulative.join(sizes, F.col(file).eqNullSafe(F.col("__file")))
-    low, high = F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1")
-    first = F.col("__cum") - F.col("__c")
-    middle = placed.filter(((first < low) & (F.col("__cum") >= low)) | ((first < high) & (F.col("__cum") >= high)))
-    return middle.groupBy(file).agg(((F.min(value) + F.max(value)) / 2).alias(out))
+    """Exact median per file; a file without values has no row. Files of any size are narrowed before anything is ordered."""
+    middle = {"__low": lambda n: F.floor((n + 1) / 2), "__high": lambda n: F.floor(n / 2) + 1}
+    found = order_statistics(df, [file], value, middle)
+    return found.select(file, ((F.col("__low") + F.col("__high")) / 2).alias(out))
 
 
 def repair_power(df: DataFrame, file: str, power: str, energy: str, interval: str, ceiling: float = 1e16) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import scalars as S
 from tidemill.operators import clean as C
+from tidemill.operators.quantiles import quantiles
 from tidemill.plans.registry import events, query, r6, table
 from tidemill.plans.series import EV
 
@@ -196,6 +197,13 @@ def median(spark, sf):
     return C.median_per_file(lines(spark, sf), "file", "diff_time").withColumn("median", r6("median"))
 
 
+@query("exact_quantiles", """SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.25) AS p25,
+quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1, 2""")
+def exact_quantiles(spark, sf):
+    shares = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99}
+    return quantiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", shares, small=1000, bins=64)
+
+
 @query("null_counts", f"WITH {LINES} SELECT file, count(*) FILTER (diff_time IS NULL) AS diff_time, count(*) FILTER (per_energy IS NULL) AS per_energy, count(*) AS rows FROM ln GROUP BY 1")
 def nulls(spark, sf):
     return C.null_counts(lines(spark, sf), ["diff_time", "per_energy"], ["file"])
