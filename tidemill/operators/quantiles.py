@@ -86,7 +86,7 @@ def _round(rows: DataFrame, state: DataFrame, keys: Sequence[str], targets: Sequ
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]],
-                     size: str | None = None, small: int = 100_000, bins: int = 1024) -> DataFrame:
+                     size: str | None = None, small: int = 1_000_000, bins: int = 1024) -> DataFrame:
     """One row per group: for each of ``ranks`` the value of that rank (from 1) in ascending order, as double.
 
     A rank is given as a function of the number of the group's values, which ``size`` may name as a column of its own. Nulls are no
@@ -130,7 +130,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict
         *[F.coalesce(F.col(t)["found"], F.col(f"{t}_v")).alias(name) for t, name in zip(targets, ranks)])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], small: int = 100_000, bins: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], small: int = 1_000_000, bins: int = 1024) -> DataFrame:
     """One row per group: the exact quantile of each share (0 to 1), linear between the two values around it. Otherwise as ``order_statistics``."""
     bad = {name: q for name, q in shares.items() if not 0 <= q <= 1}
     if bad:
