@@ -187,6 +187,18 @@ def test_exchange_raises_the_likelihood_at_each_sweep():
     assert found[-1] >= 1.02 * likelihood(kind)  # both negative
 
 
+def test_frequent_words_are_bounded_by_number_and_length(spark):
+    rows = [(b"w%d" % i, 1000 - i // 2) for i in range(600)] + [(b"once%d" % i, 1) for i in range(20_000)] + [(b"x" * 65, 5000)]
+    table = spark.createDataFrame(rows, "word binary, n long")
+    known = sorted((r for r in rows if len(r[0]) <= class_lm.LONGEST), key=lambda r: (-r[1], r[0]))
+    assert class_lm.frequent(table, 100_000) == known
+    got = class_lm.frequent(table, 5600)
+    assert got[:600] == known[:600] and abs(len(got) - 5600) < 250
+    few = class_lm.frequent(table, 100)
+    assert abs(len(few) - 100) < 10 and min(n for _, n in few) >= known[99][1] * 0.985
+    assert class_lm.frequent(table.limit(0), 10) == []
+
+
 def test_better_than_the_base_on_held_out_texts(spark, sf):
     got = queries.QUERIES["op10_class_language_model"](spark, sf).toPandas()
     assert (got.held_out == got.doc_id.map(lambda i: crc(i) % 7 == 2)).all()
