@@ -169,16 +169,20 @@ def weld(spark, sf):
     return df.groupBy(F.col("sample_id").cast("bigint").alias("sample_id")).agg(F.count("*").alias("n"), r6(F.sum("current"), 4).alias("current"), r6(F.sum("power"), 4).alias("power"))
 
 
-@query("grid_measurement_directory", """SELECT vec_id // 50 AS part, CAST(embedding[1] AS DOUBLE) < 0 AS neg, count(*) AS n, round(sum(CASE WHEN vec_id % 7 <> 0 THEN CAST(embedding[1] AS DOUBLE) ELSE 0 END), 6) AS a, round(sum(CAST(embedding[2] AS DOUBLE)), 6) AS b FROM embeddings GROUP BY 1, 2""")
+@query("grid_measurement_directory", """SELECT vec_id // 50 AS part, CAST(embedding[1] AS DOUBLE) < 0 AS neg, CAST(i AS INTEGER) AS dim, count(*) AS n,
+round(sum(CASE WHEN (vec_id + i) % 7 <> 0 THEN CAST(embedding[i + 1] AS DOUBLE) ELSE 0 END), 6) AS total FROM embeddings, range(64) r(i) GROUP BY 1, 2, 3""")
 def grid(spark, sf):
-    v = vectors(spark, sf)
-    rows = v.select("sample_id", F.when(F.col("sample_id") % 7 != 0, F.col("series")[0]).alias("va_11"), F.col("series")[1].alias("vb_22"), F.col("series")[0].alias("raw_33"), F.lpad(F.expr("sample_id div 50").cast("string"), 12, "0").alias("part"))  # files are read in order of their names
+    """All 64 values of a vector are a measurement's columns, each missing in every 7th row; three phases share a position in the names."""
+    series, phases = F.col("series"), "abc"
+    values = [F.when((F.col("sample_id") + i) % 7 != 0, series[i]).alias(f"v{phases[i % 3]}_{i + 11}") for i in range(64)]
+    # files are read in order of their names
+    rows = vectors(spark, sf).select("sample_id", *values, series[0].alias("raw_99"), F.lpad(F.expr("sample_id div 50").cast("string"), 12, "0").alias("part"))
     path = fresh_path(spark, "grid")
-    rows.repartition("part").sortWithinPartitions("part", "sample_id").select("va_11", "vb_22", "raw_33", "part").write.partitionBy("part").option("header", True).csv(path)
+    rows.repartition("part").sortWithinPartitions("part", "sample_id").drop("sample_id").write.partitionBy("part").option("header", True).csv(path)
     df = D.load_dataset(spark, "grid", path, window=50, schema=rows.drop("sample_id", "part").schema)
-    renamed = df.toDF("sample_id", "t", "a", "b", "raw")
-    whole = renamed.groupBy((F.col("raw") < 0).alias("neg"), "sample_id").agg(F.count("*").alias("n"), r6(F.sum("a")).alias("a"), r6(F.sum("b")).alias("b"))
-    return whole.select(F.col("sample_id").alias("part"), "neg", "n", "a", "b")
+    sums = [r6(F.sum(f"v{phases[i % 3]}_{i // 3}")) for i in range(64)]
+    whole = df.groupBy((F.col("raw_21") < 0).alias("neg"), "sample_id").agg(F.count("*").alias("n"), F.array(*sums).alias("sums"))
+    return whole.select(F.col("sample_id").alias("part"), "neg", "n", F.posexplode("sums").alias("dim", "total"))
 
 
 @query("wafer_metadata_chain", """WITH c AS (SELECT o_orderkey AS pass, o_custkey AS wafer, 'T' || o_custkey % 5 AS tool, CAST(o_custkey AS VARCHAR) || '.1' AS pj, CASE WHEN o_orderkey % 2 = 0 THEN 'CH2' ELSE 'CH1' END AS ch,
