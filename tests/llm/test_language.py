@@ -1,6 +1,11 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
+import pytest
 from fixtures import clashing, crc, frame
+from pyspark.sql import functions as F
 
 from tidemill.llm import language_id as lid
 from tidemill.llm.queries import QUERIES
@@ -48,6 +53,105 @@ def test_nothing_to_learn_from(spark):
     assert [tuple(r) for r in lid.identify(frame(spark, [(1, "tor")]), one, ["doc_id"]).collect()] == [(1, "aa", 1.0)]
 
 
+def plain_grams(text):
+    """Hashed 1- to 3-grams of the letters, with one space for whatever stands between them."""
+    padded = [" "]
+    for c in text.lower():
+        if c.isalpha():
+            padded.append(c)
+        elif padded[-1] != " ":
+            padded.append(" ")
+    padded += [" "] if padded[-1] != " " else []
+    found = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for c in padded[i:i + n]:
+                h = (h + ord(c)) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+            found[h % lid.SIZE] += 1
+    return found
+
+
+def plain_vector(grams, idf):
+    x = {f: (1 + math.log(n)) * idf(f) for f, n in grams.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    return {f: v / norm for f, v in x.items()} | {lid.SIZE: 1.0}
+
+
+def plain_chances(scores):
+    e = [math.exp(v - max(scores)) for v in scores]
+    return [v / sum(e) for v in e]
+
+
+def test_model_and_scores_match_plain_version(spark):
+    rows = texts(90, 7)
+    hashed = spark.range(1000, 1200).select("id", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).alias("held")).collect()
+    rows += [(r.id, "hop gru", "dd") for r in hashed if r.held][:2]  # a label of which all rows fall to the held-back fifth
+    held = {r.doc_id: r.held for r in frame(spark, rows, SCHEMA).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("held")).collect()}
+    model = lid.fit(frame(spark, rows, SCHEMA))
+    labels, s = ["aa", "bb", "cc", "dd"], lid.Settings()
+    assert model.labels == labels
+
+    grams = {i: plain_grams(t) for i, t, _ in rows}
+    seen = Counter(f for g in grams.values() for f in g)
+
+    def idf(f):
+        return math.log((1 + len(rows)) / (1 + seen[f])) + 1
+
+    assert model.idf[sorted(seen)] == pytest.approx([idf(f) for f in sorted(seen)], rel=1e-12)
+    x = {i: dict(sorted(plain_vector(g, idf).items())) for i, g in grams.items()}
+
+    def place(row):
+        at, v = lid.vector(np.bincount(list(grams[row[0]].elements()), minlength=lid.SIZE), model.idf)
+        return labels.index(row[2]), len(at), at.tobytes(), v.tobytes()
+
+    ordered = sorted(rows, key=place)
+    train = [r for r in ordered if not held[r[0]] or r[2] == "dd"]
+    kept = [r for r in ordered if held[r[0]] and r[2] != "dd"]
+    assert len(kept) > 5
+    z, n = Counter(), Counter()
+
+    def weight(f, k):
+        if abs(z[f, k]) <= s.l1:
+            return 0.0
+        return -(z[f, k] - math.copysign(s.l1, z[f, k])) / ((s.beta + math.sqrt(n[f, k])) / s.alpha + s.l2)
+
+    def scores(v):
+        return [sum(weight(f, k) * c for f, c in v.items()) for k in range(4)]
+
+    for epoch in range(s.epochs):
+        for at in np.random.default_rng(epoch).permutation(len(train)):
+            i, _, lang = train[at]
+            chances = plain_chances(scores(x[i]))
+            for k in range(4):
+                for f, c in x[i].items():
+                    g, w = c * (chances[k] - (labels[k] == lang)), weight(f, k)
+                    z[f, k] += g - (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / s.alpha * w
+                    n[f, k] += g * g
+    for k in range(4):
+        assert model.weights[:, k][sorted(seen)] == pytest.approx([weight(f, k) for f in sorted(seen)], rel=1e-6, abs=1e-9)
+
+    def loss(scale):
+        wrong = 1 / (len(kept) + 2)
+        total = 0.0
+        for i, _, lang in kept:
+            for k, p in enumerate(plain_chances([v / scale for v in scores(x[i])])):
+                total -= (1 - wrong if labels[k] == lang else wrong / 3) * math.log(max(p, 1e-300))
+        return total
+
+    scales = [0.02 * 2500 ** (i / 119) for i in range(120)]
+    scale = min(scales, key=loss)
+    assert model.temperature == pytest.approx(scale, rel=1e-9)
+
+    fresh = texts(60, 8) + [(700, "gru hop, HOP!", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lid.identify(frame(spark, fresh, SCHEMA), model, ["doc_id"]).collect()}
+    for i, t, _ in fresh:
+        p = plain_chances([v / scale for v in scores(plain_vector(plain_grams(t), idf))])
+        assert got[i] == (labels[p.index(max(p))], pytest.approx(max(p), rel=1e-6))
+    assert got[700][0] == "dd"
+
+
 def test_held_out_accuracy_of_the_query(spark, sf):
     got = QUERIES["op1_language_id"](spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas())
     assert (got.held_out == got.doc_id.map(lambda i: crc(i) % 5 == 0)).all()

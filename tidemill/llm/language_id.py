@@ -52,7 +52,8 @@ def counts(text: bytes | None, letters: np.ndarray) -> np.ndarray | None:
         return None
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    codes = np.concatenate([[32], np.where(is_letter, codes, 32)[keep], [32]]).astype(np.uint32)
+    body = np.where(is_letter, codes, 32)[keep]
+    codes = np.concatenate([[32], body, [32] if body[-1] != 32 else []]).astype(np.uint32)
     total = np.zeros(SIZE, dtype=np.int64)
     for i in range(0, len(codes), CHUNK):
         here = codes[i:i + CHUNK + max(ORDERS) - 1]
@@ -115,8 +116,8 @@ def fit(rows: DataFrame, id_column: str = "doc_id", text: str = "text", label: s
     """Learn from ``rows``; rows of null label or id, and texts without letters, are left out.
 
     Document frequencies cover all rows. The regression is fitted on about ``settings.sample`` rows, which are drawn by a hash of the
-    id at a rate that gives each label the same share; a fifth of these is held back for the temperature. What reaches the
-    driver is one row per feature and at most ``SIZE`` numbers for each sampled row, whatever the input's size.
+    id at a rate that gives each label the same share; a fifth of these is held back for the temperature, but for labels that would have
+    no others. What reaches the driver is one row per feature and at most ``SIZE`` numbers for each sampled row, whatever the input's size.
     """
     bound_batches(rows.sparkSession)
     rows = rows.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
@@ -168,7 +169,9 @@ def fit(rows: DataFrame, id_column: str = "doc_id", text: str = "text", label: s
             ys.append(labels.index(lab.as_py()))
             back.append(h.as_py())
     order = sorted(range(len(ys)), key=lambda i: (ys[i], len(rows_of[i][0]), rows_of[i][0].tobytes(), rows_of[i][1].tobytes()))  # whatever order rows came in
-    train, kept = [i for i in order if not back[i]], [i for i in order if back[i]]
+    trained = {y for y, b in zip(ys, back) if not b}  # a label of which all rows would be held back is trained on them instead
+    train = [i for i in order if not back[i] or ys[i] not in trained]
+    kept = [i for i in order if back[i] and ys[i] in trained]
     w = follow_leader([rows_of[i] for i in train], np.array([ys[i] for i in train]), len(labels), settings)
     z = np.array([rows_of[i][1] @ w[rows_of[i][0]] for i in kept]).reshape(len(kept), len(labels))
     return Model(labels, idf, w, temperature(z, np.array([ys[i] for i in kept], dtype=int)))
