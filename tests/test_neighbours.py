@@ -1,6 +1,7 @@
 """Pruned nearest neighbours against brute force, and how much they leave out."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,25 @@ def test_unequal_lengths_are_refused(spark):
     for block in (1, 4096):
         with pytest.raises(ValueError, match="differ in length"):
             NB.nearest(df, df, "sample_id", "series", "label", 1, block_rows=block)
+
+
+def test_vectors_move_once_for_a_slab(spark, monkeypatch):
+    """Where nothing can be left out, neither visits nor queries nor references carry a vector for each (query, chunk)."""
+    refs, asked = (np.random.default_rng(s).normal(size=(n, 24)) for s, n in ((7, 900), (8, 150)))
+    ids = [frame(spark, x).select(F.col("sample_id").alias("id"), F.col("series").alias("v"), "label") for x in (asked, refs)]
+    seen, placed, queries = NB._prepared(ids[0], ids[1], 3, 20, 24)
+    assert "v" not in seen.columns
+    assert seen.count() <= queries.select("block").distinct().count() * placed.select("cell", "chunk").distinct().count()
+    copies = seen.select("qslab", "cell", "chunk").distinct().join(placed, ["cell", "chunk"]).count()
+    assert copies <= 900 and seen.select("qslab", "slab").distinct().count() == 1
+    monkeypatch.setattr(NB, "SLAB_BYTES", 100 * 8 * 24)  # 100 rows
+    seen, placed, queries = NB._prepared(ids[0], ids[1], 3, 20, 24)
+    assert placed.groupBy("slab").count().agg(F.max("count")).first()[0] <= 120 and queries.select("qslab").distinct().count() == 2
+    got = NB.nearest(frame(spark, asked, 10_000), frame(spark, refs), "sample_id", "series", "label", 3, block_rows=20)
+    assert found(got) == brute(asked, refs, 3, 10_000)
+
+
+def test_a_batch_of_queries_is_looked_at_in_pieces():
+    batch = pa.record_batch({"x": pa.array(range(10_000))})
+    cut = list(NB._pieces(iter([batch]), 1024))
+    assert max(len(c) for c in cut) * 1024 <= NB.TILE and sum(len(c) for c in cut) == 10_000
