@@ -111,6 +111,34 @@ def test_wafer_loader_end_to_end(spark, tmp_path):
     assert {r.sample_id: r.target for r in labels.collect()} == {100: 10.5}
 
 
+def test_wafer_metadata_are_read_once(spark, tmp_path):
+    """Traces and labels are worked out from what was written of the metadata, not from the measurement files again."""
+    for d in ("measurements", "catalog", "tracedata"):
+        (tmp_path / d).mkdir()
+    m = tmp_path / "measurements"
+    kinds = {"Rate_time_series_Average_1.csv": "Proc_cj_id,Wafer_id,Mea_value", "mCTF_Average_1.csv": "Control_job_id,Wafer_id,Wafer_mean",
+             "Rate_time_series_StdDev_1.csv": "Proc_cj_id,Wafer_id,Std_dep_thk", "mCTF_StdDev_1.csv": "Control_job_id,Wafer_id,Wafer_std"}
+    for name, head in kinds.items():
+        put(m, name, head + "\nT-1,1,1.5\n")
+    put(tmp_path / "catalog", "c.csv", "WaferPassID,WaferID,ToolID,PJID,ChamberID,ChamberRecipeID,TraceDataFile\n100,1,T,1.3,CH2,QUALCH2CO20,d:/x/t100.zip\n")
+    put(tmp_path / "tracedata", "t100.csv", "WaferPassID,TimeStamp,p\n100,2024-01-01 00:00:02,2\n")
+    steps, labels = D.load_dataset(spark, "wafer", str(tmp_path))
+    for name in [*kinds, "../catalog/c.csv"]:
+        (m / name).write_text("")
+    assert [(r.sample_id, r.p, r.target) for r in steps.join(labels, "sample_id").collect()] == [(100, 2, 1.5)]
+
+
+def test_kinds_of_columns_go_by_all_rows(spark):
+    """What the first rows allow is tested on all."""
+    late = {"a": "5", "b": "2.5", "c": "2024-01-01", "d": "x", "e": None}
+    rows = [("1", "1", "1", "1", None)] * (D.KIND_ROWS + 50) + [tuple(late.values())]
+    kinds = D._kinds(spark.createDataFrame(rows, "a string, b string, c string, d string, e string").coalesce(1), list(late))
+    assert kinds == {"a": "bigint", "b": "double", "c": "string", "d": "string", "e": "string"}
+    days = spark.createDataFrame([("2024-01-01",), ("2024-01-02 10:00:00",), (None,)], "a string")
+    assert D._kinds(days, ["a"]) == {"a": "timestamp"} and D._kinds(days.where("a IS NULL"), ["a"]) == {"a": "string"}
+    assert D._kinds(spark.createDataFrame([("x",), (None,)], "a string"), ["a"]) == {"a": "string"}
+
+
 def test_pmu_by_given_ids(spark, tmp_path):
     put(tmp_path, "p.csv", "ExID,a1 x,a2 x,a3 x,b4 y\n1,1,2,,4\n1,5,6,7,8\n2,9,9,9,9\n")
     d = D.load_dataset(spark, "grid", str(tmp_path))

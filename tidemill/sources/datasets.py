@@ -33,6 +33,7 @@ WAFER_LENGTH = 130
 
 
 MAX_LAYOUTS = 1000  # different headers that one read may meet
+KIND_ROWS = 1000  # rows that rule out most kinds of a column before all rows are tested
 WANTED_FILES = 10_000  # file names handed to a scan; beyond that a semi-join picks the rows
 
 
@@ -99,14 +100,32 @@ def read_csv_mixed(spark: SparkSession, path: str | Sequence[str], pattern: str
 
 
 def _kinds(text: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """The first of bigint, double, timestamp that all values of a column are; string otherwise and for a column of nulls."""
-    def all_are(c: str, kind: str):
-        return F.every(F.col(c).isNull() | F.col(c).try_cast(kind).isNotNull())
+    """The first of bigint, double, timestamp that all values of a column are; string otherwise and for a column of nulls.
 
-    tried = ("bigint", "double", "timestamp")
-    tests = [all_are(c, k).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in tried] + [F.count(F.col(c)).alias(f"{i}_n") for i, c in enumerate(columns)]
-    got = text.agg(*tests).first()
-    return {c: next((k for k in tried if got[f"{i}_n"] and got[f"{i}_{k}"]), "string") for i, c in enumerate(columns)}
+    A few rows refute most kinds. What they leave is tested on all values, for each column the first kind left, and again only where that fails.
+    """
+    def refuted(rows: DataFrame, tried: dict[str, Sequence[str]]) -> tuple[set[tuple[str, str]], dict[str, int]]:
+        pairs = [(c, k) for c, kinds in tried.items() for k in kinds]
+        failed = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(k).isNull()) for c, k in pairs]
+        got = rows.agg(*[x.alias(f"k{i}") for i, x in enumerate(failed)], *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(tried)]).first()
+        return {p for i, p in enumerate(pairs) if got[f"k{i}"]}, {c: got[f"n{i}"] for i, c in enumerate(tried)}
+
+    left = {c: ["bigint", "double", "timestamp"] for c in columns}
+    wrong, _ = refuted(text.limit(KIND_ROWS), left) if columns else (set(), {})
+    left = {c: [k for k in kinds if (c, k) not in wrong] for c, kinds in left.items()}
+    found = {c: "string" for c, kinds in left.items() if not kinds}
+    while open_ := {c: kinds[:1] for c, kinds in left.items() if c not in found}:
+        wrong, values = refuted(text, open_)
+        for c, [k] in open_.items():
+            if not values[c]:
+                found[c] = "string"
+            elif (c, k) not in wrong:
+                found[c] = k
+            else:
+                left[c] = left[c][1:]
+                if not left[c]:
+                    found[c] = "string"
+    return found
 
 
 def load_disk_health(spark, path, pattern=None, schema=None, limit=None, model_prefix: str = "ST") -> DataFrame:
@@ -174,7 +193,7 @@ def load_wafers(spark, path, pattern=None, limit=None, features: Sequence[str] =
                 trace_schema=None, catalog_schema=None) -> tuple[DataFrame, DataFrame]:
     """(trace steps, labels). Gaps within a pass are interpolated from its own steps, what is left without a value becomes 0.
 
-    The metadata name the trace files. Up to ``WANTED_FILES`` names go to the scan, so that no other file is opened; a semi-join on
+    The metadata are worked out once and written. They name the trace files. Up to ``WANTED_FILES`` names go to the scan, so that no other file is opened; a semi-join on
     the file name holds for any number. With ``trace_schema`` all traces have one layout and are not looked at beforehand.
     """
     def kind(p: str) -> DataFrame:
@@ -183,6 +202,7 @@ def load_wafers(spark, path, pattern=None, limit=None, features: Sequence[str] =
     measured = wafer_measurements(
         kind("Rate_time_series.*_Average_"), kind("/mCTF.*_Average_"), kind("Rate_time_series.*_StdDev_"), kind("/mCTF.*_StdDev_"))
     meta = wafer_metadata(read_csv(spark, f"{path}/{catalog}", schema=catalog_schema), measured)
+    meta = materialize(meta.select("WaferPassID", "ChamberRecipeID", "trace_csv", label), "metadata")  # read three times below
     wanted = materialize(meta.filter(F.col("ChamberRecipeID") == WAFER_TRACE_RECIPE).select("trace_csv").distinct(), "wanted")
     listed = [r[0] for r in wanted.limit(WANTED_FILES + 1).collect() if r[0] is not None]
     names = listed if len(listed) <= WANTED_FILES else None
@@ -191,7 +211,8 @@ def load_wafers(spark, path, pattern=None, limit=None, features: Sequence[str] =
     steps = steps.withColumn("trace_csv", F.element_at(F.split("_file", "/"), -1)).join(wanted, "trace_csv", "left_semi")
     steps, labels = clean.drop_unlabelled(steps, meta.select("WaferPassID", label), "WaferPassID", label)
     features = list(features) or [c for c in steps.columns if c not in ("WaferPassID", "TimeStamp", "trace_csv", "_file", "_at", "_row")]
-    steps = dense_index(steps, [F.to_timestamp(F.col("TimeStamp").cast("string")), F.col("_row")], ["WaferPassID"], "t")
+    steps = steps.select("WaferPassID", "TimeStamp", "_row", *features)  # file names are long
+    steps = dense_index(steps, [F.to_timestamp(F.col("TimeStamp").cast("string")), F.col("_row")], ["WaferPassID"], "t", unique=True)
     steps = steps.select(F.col("WaferPassID").alias("sample_id"), "t", *[F.col(c).cast("double").alias(c) for c in features])
     steps = clean.fill_zero(interpolate(steps, ["sample_id"], "t", features), features)
     labels = labels.select(F.col("WaferPassID").alias("sample_id"), F.col(label).cast("float").alias("target"))
