@@ -17,6 +17,7 @@ from tidemill.sources import render as R
 from tidemill.sources.lines import read_lines
 
 CHUNK = 100  # samples per file
+TRACE_ROWS = 500_000  # about as many lines of traces per file
 
 
 def numbered(spark, sf):
@@ -275,7 +276,8 @@ def wafer_traces(spark, sf):
         F.col("l_orderkey").alias("WaferPassID"), F.timestamp_seconds(F.col("l_linenumber").cast("long") * 10**9 + F.round(F.col("l_extendedprice") * 100).cast("long")).cast("string").alias("TimeStamp"),
         F.when(F.col("l_linenumber") % 3 != 2, F.col("l_quantity")).alias("p"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_discount")).alias("q"),
         F.expr("l_orderkey div 2000").alias("file"))
-    traces.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/tracedata")
+    n_files = 8 + l.count() // TRACE_ROWS  # all of one folder: listing many folders takes longer than reading them
+    traces.repartition(n_files, "file").drop("file").write.option("header", True).csv(f"{path}/tracedata")
     written = D.read_csv(spark, f"{path}/tracedata", schema=traces.drop("file").schema).select("WaferPassID", F.element_at(F.split("_file", "/"), -1).alias("name")).distinct()
     job = F.concat(F.lit("T-"), F.col("o_orderkey"))
     catalog = o.join(written, F.col("o_orderkey") == F.col("WaferPassID")).select(
