@@ -187,6 +187,74 @@ def test_exchange_raises_the_likelihood_at_each_sweep():
     assert found[-1] >= 1.02 * likelihood(kind)  # both negative
 
 
+def class_moves(texts, of):
+    moves = np.zeros((class_lm.N_CLASSES, class_lm.N_CLASSES))
+    for words in texts:
+        k = [of[w] for w in [None, *words]]
+        np.add.at(moves, (k[:-1], k[1:]), 1)
+    return moves
+
+
+def class_likelihood(texts, of):
+    moves = class_moves(texts, of)
+    return class_lm.likelihood(moves, moves.sum(axis=0))
+
+
+def seasons(n):
+    """Texts in which rare words of two kinds, which end alike, follow frequent ones of their kind."""
+    r = random.Random(5)
+    cold, warm = [[f"{kind}{i}x" for i in range(60)] for kind in ("c", "w")]
+    return [(i, " ".join(f"{r.choice(['ice', 'snow'])} {r.choice(cold)}" if r.random() < 0.5 else f"{r.choice(['sun', 'sand'])} {r.choice(warm)}" for _ in range(20))) for i in range(n)]
+
+
+@pytest.mark.parametrize("near,entries,parts", [(4, 50, 3), (40, 3_000_000, 7), (500, 1, 1)])
+def test_words_beyond_the_clustered_are_placed_by_exchange(spark, near, entries, parts):
+    rows = seasons(40) + [(100, None), (101, ""), (None, "ice c1x c1x rest"), (3, "sun w1x"), (3, "sun w1x")]
+    texts, scratch, df = [plain_words(t) for _, t in rows], Scratch(spark), frame(spark, rows).repartition(parts)
+    model = class_lm.fit(df, scratch, sizes=class_lm.Sizes(4, near, 10, 300, entries))
+    encoded = class_lm.encode(df, model, ["doc_id"], scratch)
+    rank = {w: k for k, (w, _) in enumerate([x for x in model.near if x[0] != b" "][:4])}
+    start = {w: int(model.classes[class_lm.unit(b" " if w is None else w.encode(), rank, 4)]) for t in texts for w in t}
+
+    def classes(placed):
+        ids = {r.id + class_lm._first_far(model): r.word for r in model.vocabulary.collect()}
+        got = {w: int(k) for (w, _), k in zip(model.near, placed.kinds)} | {bytes(ids[r.id]): r["class"] for r in placed.placed.collect()}
+        return {w: got.get(b" " if w is None else w.encode(), start[w]) for w in start}
+
+    once = classes(class_lm.place(encoded, model, scratch, 1))
+    before = class_likelihood(texts, start)
+    assert once[None] == start[None] and class_likelihood(texts, once) > before
+    for w in start:
+        if w is None or w.encode() in rank:
+            assert once[w] == start[w]
+            continue
+        gain = {k: class_likelihood(texts, start | {w: k}) - before for k in {*start.values(), once[w]} - {start[None]}}
+        assert gain[once[w]] >= max(gain.values()) - 1e-6
+
+    placed = class_lm.place(encoded, model, scratch, 3)
+    last = classes(placed)
+    assert class_likelihood(texts, last) >= class_likelihood(texts, once)
+    moves, counts, mass = class_moves(texts, last), Counter(w for t in texts for w in t), Counter()
+    for w, n in counts.items():
+        mass[last[w]] += n + 1
+    step = class_lm.transitions(moves)
+    want = sorted((str(i), sum(step[last[a], last[b]] + math.log10((counts[b] + 1) / (mass[last[b]] + 1)) for a, b in zip([None, *t], t))) for (i, _), t in zip(rows, texts))
+    got = sorted((str(r.doc_id), r.score) for r in class_lm.score_encoded(encoded, placed, ["doc_id"]).collect())
+    assert [x for x, _ in got] == [x for x, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
+def test_rare_words_go_by_their_neighbours_not_by_their_ending(spark):
+    df, scratch = frame(spark, seasons(200)), Scratch(spark)
+    model = class_lm.fit(df, scratch, sizes=class_lm.Sizes(4, 4, 100))
+    encoded = class_lm.encode(df, model, ["doc_id"], scratch)
+    placed = class_lm.place(encoded, model, scratch)
+
+    def total(m):
+        return sum(x.score for x in class_lm.score_encoded(encoded, m, []).collect())
+
+    assert total(placed) > total(model) + 500
+
+
 def test_frequent_words_are_bounded_by_number_and_length(spark):
     rows = [(b"w%d" % i, 1000 - i // 2) for i in range(600)] + [(b"once%d" % i, 1) for i in range(20_000)] + [(b"x" * 65, 5000)]
     table = spark.createDataFrame(rows, "word binary, n long")
@@ -211,3 +279,13 @@ def test_scores_of_nothing(spark):
     assert class_lm.score(empty, model, ["doc_id"], scratch).collect() == []
     got = class_lm.score(clashing(spark, [(1, "a b"), (2, None)], "word", "__row"), model, ["doc_id"], scratch).collect()
     assert {r.doc_id: (r.n_tokens, r.n_known, r.base_score) for r in got} == {1: (3, 0, 0.0), 2: (1, 0, 0.0)}
+
+
+def test_placing_words_of_nothing(spark):
+    scratch = Scratch(spark)
+    for rows in ([], [(1, None), (2, " "), (None, "")]):
+        df = frame(spark, rows)
+        model = class_lm.fit(df, scratch)
+        encoded = class_lm.encode(df, model, ["doc_id"], scratch)
+        got = class_lm.score_encoded(encoded, class_lm.place(encoded, model, scratch), ["doc_id"]).collect()
+        assert [r.n_tokens for r in got] == [1] * len(rows)

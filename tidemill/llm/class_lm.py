@@ -1,4 +1,8 @@
-"""Scores of a class-based bigram model: exchange clustering of words, class transitions, word emissions."""
+"""Scores of a class-based bigram model: exchange clustering of words, class transitions, word emissions.
+
+``fit`` counts words, places the most frequent ones and gives the others a class by their ending. ``encode`` writes texts as numbers; from
+there ``place`` goes on exchanging all words of the training texts, and ``score_encoded`` scores.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,17 +21,22 @@ from tidemill.llm.common import Scratch, bound_batches, map_text, releasing
 
 END = b" "  # the end of a text; no word holds a space
 CLASSES = 64
-ENDINGS = 32  # classes of all other words, by their last two bytes
+ENDINGS = 32  # classes in which all other words start, by their last two bytes; words never seen stay there
 SWEEPS = 6
+ROUNDS = 3  # sweeps over all words at once
+TURNS = 64  # the remainder of a word's id says when it moves if not all may move at once, and which empty class is open to it
 LONGEST = 64  # bytes of a word that tasks know beforehand; longer ones are looked up
 STRENGTH = 50.0  # weight of the class frequency in a transition
 N_CLASSES = CLASSES + 1 + ENDINGS
+KEYS = 2 * N_CLASSES + 1  # of a word's profile: the class before, the class after, the word itself after
 
 
 class Sizes(NamedTuple):
     clustered: int = 1024  # most frequent words, which exchange clustering places
     near: int = 200_000  # about as many of the most frequent words are known to every task; the others are looked up by a join
     flush: int = 300_000  # words a task counts before it hands them on
+    group: int = 2_000_000  # about as many training tokens belong to the words that a task places at once
+    entries: int = 3_000_000  # profile entries a task holds before it hands them on
 
     @property
     def units(self) -> int:
@@ -107,7 +117,7 @@ def exchange(pairs: np.ndarray, n_words: int, n_classes: int = CLASSES, sweeps:
 
 
 class Model(NamedTuple):
-    vocabulary: DataFrame  # word, n: of all training tokens
+    vocabulary: DataFrame  # word, n, id: of all training tokens
     near: list[tuple[bytes, int]]  # the most frequent ones, in order
     tokens: int
     distinct: int
@@ -115,6 +125,8 @@ class Model(NamedTuple):
     transition: np.ndarray  # log10 probability by (class before, class)
     sizes: Sizes
     mass: np.ndarray  # training tokens and distinct words of each class, plus one: what emissions are divided by
+    kinds: np.ndarray  # class of each of ``near``
+    placed: DataFrame | None = None  # id, n, class of the other trained words; where there is none, they are in the class of their ending
 
 
 def frequent(vocabulary: DataFrame, wanted: int) -> list[tuple[bytes, int]]:
@@ -136,6 +148,12 @@ def frequent(vocabulary: DataFrame, wanted: int) -> list[tuple[bytes, int]]:
     return sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
+def transitions(matrix: np.ndarray) -> np.ndarray:
+    """log10 probabilities from counts by (class before, class)."""
+    share = (matrix.sum(axis=0) + 1) / (matrix.sum() + N_CLASSES)
+    return np.log10((matrix + STRENGTH * share) / (matrix.sum(axis=1, keepdims=True) + STRENGTH))
+
+
 def fit(rows: DataFrame, scratch: Scratch, text: str = "text", sizes: Sizes = Sizes()) -> Model:
     """Learn from all of ``rows``. Word counts stay a table; the driver gets about ``sizes.near`` of the most frequent words and the bigram counts
     of at most ``sizes.units`` units, whatever the input's size."""
@@ -154,7 +172,8 @@ def fit(rows: DataFrame, scratch: Scratch, text: str = "text", sizes: Sizes = Si
                     seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
-    vocabulary = scratch.write(raw.mapInArrow(releasing(count), words).groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    counted = raw.mapInArrow(releasing(count), words).groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = scratch.write(counted.withColumn("id", F.monotonically_increasing_id() * TURNS + F.pmod(F.xxhash64("word"), F.lit(TURNS))), "vocabulary")
     distinct, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     near = frequent(vocabulary, sizes.near)
     rank = {w: i for i, (w, _) in enumerate([x for x in near if x[0] != END][:clustered])}
@@ -181,9 +200,7 @@ def fit(rows: DataFrame, scratch: Scratch, text: str = "text", sizes: Sizes = Si
     classes = np.concatenate([placed, np.zeros(clustered - len(rank), dtype=int), CLASSES + np.arange(1 + ENDINGS)])
     member = np.zeros((units, N_CLASSES))
     member[np.arange(units), classes] = 1
-    matrix = member.T @ pairs @ member
-    share = (matrix.sum(axis=0) + 1) / (matrix.sum() + N_CLASSES)
-    transition = np.log10((matrix + STRENGTH * share) / (matrix.sum(axis=1, keepdims=True) + STRENGTH))
+    transition = transitions(member.T @ pairs @ member)
 
     def weigh(batches):
         rank = shared.value
@@ -195,73 +212,343 @@ def fit(rows: DataFrame, scratch: Scratch, text: str = "text", sizes: Sizes = Si
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_CLASSES)), pa.array(mass.sum(axis=1))], names=["pair", "n"])
 
     mass = np.ones(N_CLASSES)
-    for c, n in vocabulary.mapInArrow(releasing(weigh), schema).groupBy("pair").agg(F.sum("n")).collect():
+    for c, n in vocabulary.select("word", "n").mapInArrow(releasing(weigh), schema).groupBy("pair").agg(F.sum("n")).collect():
         mass[c] += n
-    return Model(vocabulary, near, total, distinct, classes, transition, sizes, mass)
+    kinds = classes[[unit(w, rank, clustered) for w, _ in near]].astype(int) if near else np.zeros(0, dtype=int)
+    return Model(vocabulary, near, total, distinct, classes, transition, sizes, mass, kinds)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], scratch: Scratch, text: str = "text") -> DataFrame:
-    """``keep`` columns of each row with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
+def _first_far(model: Model) -> int:
+    """Where the ids of words begin that are not among the most frequent ones, whose ids are their positions."""
+    return -(-len(model.near) // TURNS) * TURNS
 
-    ``score`` is the model's log10 probability of the words and the end: of each one's class after the class before (the
-    end before the first), times the word's share of its class with one added. Words never seen have a class, too,
-    by their ending. ``base_score`` is the sum of log10((count + 1) / (all tokens + distinct + 1)).
 
-    Every task knows the most frequent short words. The others leave it as (row, word, times), meet the counts in a join by word and are
-    summed by row, so no vocabulary is held whole. Null texts are empty and consist of the end alone. Repeated rows are scored
-    each; null values in other columns do not matter; columns of ``keep`` named like the results are replaced.
+def encode(docs: DataFrame, model: Model, keep: list[str], scratch: Scratch, text: str = "text") -> DataFrame:
+    """``keep`` columns of each row, written, with ``__row``, ``__codes`` (32 bits for each word and the end) and ``__far``.
+
+    A code is the position among the most frequent words, which every task knows, or -1 - k for the row's k-th other word. ``__far`` has k, the class of
+    the word's ending, and its id and count, null if never seen. They come from a join by word, so no vocabulary is held whole.
     """
-    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in keep if c not in results]
-    session = docs.sparkSession
-    n_all = float(np.log10(model.tokens + model.distinct + 1))
-    n_clustered = model.sizes.clustered
-    rank = {w: i for i, (w, _) in enumerate([x for x in model.near if x[0] != END][:n_clustered])}
-    classes, transition, log_mass = model.classes, model.transition, np.log10(model.mass)
-    near = session.sparkContext.broadcast((
-        {w: i for i, (w, _) in enumerate(model.near)}, np.log10(np.array([n for _, n in model.near], dtype=float) + 1),
-        classes[[unit(w, rank, n_clustered) for w, _ in model.near]].astype(int) if model.near else np.zeros(0, dtype=int)))
-    far = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("kind", pa.int32())]))
+    near = docs.sparkSession.sparkContext.broadcast({w: i for i, (w, _) in enumerate(model.near)})
+    n_clustered, classes = model.sizes.clustered, model.classes
+    far = pa.list_(pa.struct([("word", pa.binary()), ("start", pa.int32())]))
 
     def make():
-        index, logs, kinds = near.value
+        index = near.value
 
         def one(t):
             words = tokens(t)
-            at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-            known = at >= 0
-            kind = np.zeros(len(words), dtype=np.int64)
-            kind[known] = kinds[at[known]]
-            rest: Counter = Counter()
-            for i in np.flatnonzero(~known):
-                w = words[i]
-                kind[i] = classes[n_clustered] if w == END else classes[n_clustered + 1 + ending(w)]
-                rest[w, int(kind[i])] += 1
-            base = logs[at[known]].sum()
-            before = np.concatenate([classes[n_clustered:n_clustered + 1], kind[:-1]])
-            model_score = base + transition[before, kind].sum() - log_mass[kind].sum()
-            return (len(words), int(known.sum()), float(base - len(words) * n_all), float(model_score),
-                    [{"word": w, "n": n, "kind": k} for (w, k), n in rest.items()])
+            at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+            rest: dict[bytes, int] = {}
+            for i in np.flatnonzero(at < 0):
+                at[i] = -1 - rest.setdefault(words[i], len(rest))
+            return at.tobytes(), [{"word": w, "start": int(classes[n_clustered] if w == END else classes[n_clustered + 1 + ending(w)])} for w in rest]
 
         def run(texts):
             rows = [one(t) for t in texts]
-            kinds_of = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), far)
-            return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds_of)]
+            return [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], far)]
 
         return run
 
-    out = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()),
-           T.StructField("__score", T.DoubleType()), T.StructField("__far", T.ArrayType(T.StructType([
-               T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("kind", T.IntegerType())])))]
-    rows = scratch.write(map_text(docs, keep, F.col(text), make, out).withColumn("__row", F.monotonically_increasing_id()), "scored")
-    words = rows.select("__row", F.explode("__far").alias("f")).select("__row", "f.word", F.col("f.n").alias("times"))
-    found = words.join(model.vocabulary.hint("merge"), "word").groupBy("__row").agg(
-        F.sum("times").alias("__more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("__logs"))
-    joined = rows.drop("__far").join(found.hint("merge"), "__row", "left")
-
-    def plus(column: str, more: str) -> Column:
-        return F.col(column) + F.coalesce(F.col(more), F.lit(0))
-
-    return joined.select(
-        *keep, "n_tokens", plus("__known", "__more").cast("bigint").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        plus("__base", "__logs").alias("base_score"), plus("__score", "__logs").alias("score"))
+    out = [T.StructField("__codes", T.BinaryType()), T.StructField("__words", T.ArrayType(T.StructType([
+        T.StructField("word", T.BinaryType()), T.StructField("start", T.IntegerType())])))]
+    rows = scratch.write(map_text(docs, keep, F.col(text), make, out).withColumn("__row", F.monotonically_increasing_id()), "codes")
+    words = rows.select("__row", F.posexplode("__words").alias("k", "w")).select("__row", "k", "w.word", "w.start")
+    known = words.join(model.vocabulary.select("word", "id", F.col("n").alias("count")).hint("merge"), "word", "left")
+    found = known.groupBy("__row").agg(F.collect_list(F.struct("k", "start", F.col("id") + _first_far(model), "count")).alias("__far"))
+    found = found.select("__row", F.col("__far").cast("array<struct<k:int,start:int,id:bigint,n:bigint>>").alias("__far"))
+    encoded = scratch.write(rows.drop("__words").join(found.hint("merge"), "__row", "left"), "encoded")
+    scratch.drop(rows)
+    return encoded
+
+
+def _classified(encoded: DataFrame, model: Model) -> DataFrame:
+    """``__found``: k and class of each row's words that are neither among the most frequent nor in the class of their ending."""
+    if model.placed is None:
+        return encoded.withColumn("__found", F.expr("CAST(NULL AS array<struct<k:int,class:int>>)"))
+    words = encoded.select("__row", F.explode("__far").alias("f")).select("__row", "f.k", "f.id")
+    found = words.join(model.placed.select("id", "class").hint("merge"), "id").groupBy("__row").agg(F.collect_list(F.struct("k", "class")).alias("__found"))
+    return encoded.join(found.hint("merge"), "__row", "left")
+
+
+def _spread(lists: pa.ListArray, at: np.ndarray, into: dict[str, np.ndarray]) -> None:
+    """Put fields of structs that have a place ``k`` where the row's places start (``at``), in flat arrays."""
+    flat = lists.flatten()
+    place = np.repeat(at, lists.value_lengths().fill_null(0).to_numpy()) + flat.field("k").to_numpy()
+    for name, values in into.items():
+        values[place] = flat.field(name).fill_null(-1).to_numpy()
+
+
+def _pieces(batches, most: int = 1 << 20):
+    """Slices of batches of about as many bytes of codes, or of one row."""
+    for batch in batches:
+        if batch.num_rows:
+            upto = np.cumsum(pc.binary_length(batch.column("__codes")).to_numpy().astype(np.int64)) // most
+            cuts = [*np.flatnonzero(np.diff(upto, prepend=-1)), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+
+
+def _sequences(batch: pa.RecordBatch, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first token of each row, codes, class, id, count) of all tokens of a batch, one text after the other; counts of the most frequent words are 0."""
+    texts = [np.frombuffer(x, dtype=np.int32) for x in batch.column("__codes").to_pylist()]
+    starts = np.cumsum([0] + [len(x) for x in texts])
+    codes = np.concatenate(texts).astype(np.int64)
+    far, found = batch.column("__far"), batch.column("__found")
+    many = far.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    at = np.cumsum(many) - many
+    held = {name: np.zeros(many.sum(), dtype=np.int64) for name in ("start", "id", "n")}
+    _spread(far, at, held)
+    _spread(found, at, {"class": held["start"]})
+    other = codes < 0
+    place = (np.repeat(at, np.diff(starts)) - 1 - codes)[other]
+    kind, ids, counts = np.zeros(len(codes), dtype=np.int64), codes.copy(), np.zeros(len(codes), dtype=np.int64)
+    kind[~other] = kinds[codes[~other]]
+    kind[other], ids[other], counts[other] = held["start"][place], held["id"][place], held["n"][place]
+    return starts[:-1], codes, kind, ids, counts
+
+
+def likelihood(matrix: np.ndarray, weight: np.ndarray) -> float:
+    """What exchange raises: of class bigrams, given each class's size."""
+    return float(_xlogx(matrix).sum() - 2 * _xlogx(weight).sum())
+
+
+def gains(matrix: np.ndarray, now: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the likelihood gains by putting each word, taken out of its class ``now``, into each class (words by classes).
+
+    The words' profiles are entries ordered by ``word``: ``key`` is a class before, a class after (from N_CLASSES on) or, the last one, the word itself after;
+    ``n`` says how often. The same sums as in ``exchange``, but of cells that change only.
+    """
+    size, c = len(now), N_CLASSES
+    profile = np.zeros((size, KEYS))
+    profile[word, key] = n
+    left, right, own = profile[:, :c], profile[:, c:-1], profile[:, -1]
+    of = np.arange(size)
+    left[of, now] -= own  # without itself
+    right[of, now] -= own
+    total = left.sum(axis=1) + own
+    weight = matrix.sum(axis=0)
+    out = np.zeros((size, c))
+    d = np.arange(c)
+    for side, cells in ((left, matrix), (right, matrix.T)):  # cells[x, d] meets side[x]
+        other, base = (right if side is left else left), _xlogx(cells)
+        rare = np.stack([_xlogx(cells + m) - base for m in range(1, 9)])
+        w, x = np.nonzero(side)
+        for at in range(0, len(w), 1 << 14):
+            i, j = w[at:at + (1 << 14)], x[at:at + (1 << 14)]
+            m = side[i, j][:, None]
+            often = np.flatnonzero(m[:, 0] > len(rare))
+            change = rare[np.minimum(m[:, 0].astype(int), len(rare)) - 1, j]
+            change[often] = _xlogx(cells[j[often]] + m[often]) - base[j[often]]
+            inner = np.flatnonzero(j == now[i])  # the row or column the word was taken out of
+            if len(inner):
+                less = np.maximum(cells[j[inner]] - other[i[inner]], 0)
+                change[inner] = _xlogx(less + m[inner]) - _xlogx(less)
+            k = now[i]
+            e = np.arange(len(i))
+            change[e, k] = np.where(j == k, 0, base[j, k] - _xlogx(np.maximum(cells[j, k] - m[:, 0], 0)))
+            edge = np.flatnonzero(np.diff(i, prepend=-1))
+            out[i[edge]] += np.add.reduceat(change, edge, axis=0)
+    both = np.flatnonzero((own > 0) | ((left > 0) & (right > 0)).any(axis=1))
+    diag, l, r, s = matrix[d, d], left[both], right[both], own[both, None]
+    out[both] += _xlogx(diag + r + l + s) - _xlogx(diag + r) - _xlogx(diag + l) + _xlogx(diag)
+    core = matrix[now, now]
+    took = left[of, now] + right[of, now] + own
+    wrong = np.zeros(size)
+    wrong[both] = (_xlogx(diag + r + l + s) - _xlogx(diag + r) - _xlogx(diag + l) + _xlogx(diag))[np.arange(len(both)), now[both]]
+    out[of, now] += _xlogx(core) - _xlogx(np.maximum(core - took, 0)) - wrong
+    without = np.tile(weight, (size, 1))
+    without[of, now] -= total
+    return out - 2 * (_xlogx(without + total[:, None]) - _xlogx(without))
+
+
+def _best(matrix: np.ndarray, now: np.ndarray, turn: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Class of largest likelihood for each word; the one it has if none is better. No word joins the end's; of the empty classes, one is open to each word."""
+    empty = np.setdiff1d(np.flatnonzero(matrix.sum(axis=0) == 0), [CLASSES])
+    out, edges = now.copy(), np.searchsorted(word, np.arange(0, len(now) + block, block))
+    for at, (i, j) in zip(range(0, len(now), block), zip(edges, edges[1:])):
+        mine = now[at:at + block]
+        gain = gains(matrix, mine, word[i:j] - at, key[i:j], n[i:j])
+        of = np.arange(len(mine))
+        if len(empty):
+            opened = empty[turn[at:at + block] % len(empty)]
+            value = gain[of, opened]
+            gain[:, empty] = -np.inf
+            gain[of, opened] = value
+        gain[:, CLASSES] = -np.inf
+        best = gain.argmax(axis=1)
+        out[at:at + block] = np.where(gain[of, best] > gain[of, mine] + 1e-9, best, mine)
+    return out
+
+
+def _profiles(encoded: DataFrame, model: Model, groups: int) -> DataFrame:
+    """Counts of class bigrams (``part`` -1), and the profiles of all words, packed by ``part`` of the words (unless there are 0 groups)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model.kinds)
+    end, most = int(model.classes[model.sizes.clustered]), model.sizes.entries
+
+    def pack(entries, n, kind_of):
+        ids, key = np.divmod(entries, KEYS)
+        order = np.argsort(ids // TURNS % groups, kind="stable")
+        ids, key, n, kind_of = ids[order], key[order], n[order], kind_of[order]
+        part = ids // TURNS % groups
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=groups))
+        for a, b in zip(cuts, cuts[1:]):
+            first = np.flatnonzero(np.diff(ids[a:b], prepend=-1))
+            yield (int(part[a]), ids[a:b][first].tobytes(), np.diff(first, append=b - a).astype(np.uint8).tobytes(), kind_of[a:b][first].astype(np.uint8).tobytes(),
+                   key[a:b].astype(np.uint8).tobytes(), n[a:b].astype(np.int32).tobytes())
+
+    names = ["part", "ids", "many", "kinds", "keys", "n"]
+
+    def records(rows):
+        for at in range(0, len(rows), 64):
+            some = rows[at:at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.binary() if i else pa.int32()) for i in range(6)], names=names)
+
+    def merged(held):
+        entries, n, kind = (np.concatenate(x) for x in zip(*held))
+        entries, first, to = np.unique(entries, return_index=True, return_inverse=True)
+        return entries, np.bincount(to, weights=n).astype(np.int64), kind[first]
+
+    def run(batches):
+        kinds, held, size = shared.value, [], 0
+        matrix = np.zeros(N_CLASSES * N_CLASSES, dtype=np.int64)
+        for batch in _pieces(batches):
+            _, _, kind, ids, _ = _sequences(batch, kinds)
+            before = np.concatenate([[end], kind[:-1]])
+            matrix += np.bincount(before * N_CLASSES + kind, minlength=len(matrix))
+            if not groups:
+                continue
+            i = np.flatnonzero(kind != end)  # all others have a token after them
+            same = i[ids[i] == ids[i + 1]]
+            entries = np.concatenate([ids[i] * KEYS + before[i], ids[i] * KEYS + N_CLASSES + kind[i + 1], ids[same] * KEYS + KEYS - 1])
+            held.append(merged([(entries, np.ones(len(entries)), np.concatenate([kind[i], kind[i], kind[same]]).astype(np.uint8))]))
+            size += len(held[-1][0])
+            if size > most:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if 2 * size > most:
+                    yield from records([*pack(*held[0])])
+                    held, size = [], 0
+        if size:
+            yield from records([*pack(*merged(held))])
+        yield from records([(-1, matrix.tobytes(), b"", b"", b"", b"")])
+
+    schema = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in names[1:]])
+    return _classified(encoded, model).select("__codes", "__far", "__found").mapInArrow(releasing(run), schema)
+
+
+def _matrix(packed: DataFrame) -> np.ndarray:
+    """Counts by (class before, class) of all of ``_profiles``."""
+    def run(batches):
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                matrix = np.frombuffer(x, dtype=np.int64)
+                at = np.flatnonzero(matrix)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(matrix[at])], names=["cell", "n"])
+
+    out = np.zeros(N_CLASSES * N_CLASSES)
+    for at, n in packed.where("part < 0").select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[at] = n
+    return out.reshape(N_CLASSES, N_CLASSES)
+
+
+def place(encoded: DataFrame, model: Model, scratch: Scratch, rounds: int = ROUNDS) -> Model:
+    """The model after sweeps of exchange over all words of ``encoded``, the rows it was fitted on, that ``fit`` has not placed one by one.
+
+    A sweep gathers each word's profile, how often it stands before and after each class. Words are dealt into parts; every task knows the counts of
+    class bigrams at the sweep's start and puts each of its words, however rare, into the class (of all but the end's) in which the likelihood is largest,
+    all others left where they are. So classes do not depend on how rows and words are dealt. As many words move at once, a sweep may also lose; it is then
+    taken back, and from there on an eighth of the words moves in each, then a 64th; if these lose, too, it ends.
+    """
+    groups, n_near, first_far = 1 + model.tokens // model.sizes.group, len(model.near), _first_far(model)
+    end = int(model.classes[model.sizes.clustered])
+    one_by_one = [i for i, (w, _) in enumerate(model.near) if w != END][:model.sizes.clustered]
+    fixed = one_by_one[-1] + 1 if one_by_one else 0
+
+    def gathered(model, groups):
+        packed = scratch.write(_profiles(encoded, model, groups), "profiles")
+        matrix = _matrix(packed)
+        return packed, matrix, likelihood(matrix, matrix.sum(axis=0))
+
+    def moved(model, packed, matrix, parts, at):
+        def choose(table):
+            got = [np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(name).to_pylist()])
+                   for name, t in (("ids", np.int64), ("many", np.uint8), ("kinds", np.uint8), ("keys", np.uint8), ("n", np.int32))]
+            ids, first, word = np.unique(got[0], return_index=True, return_inverse=True)
+            now = got[2][first].astype(np.int64)
+            entries, to = np.unique(np.repeat(word, got[1]) * KEYS + got[3], return_inverse=True)
+            n = np.bincount(to, weights=got[4])
+            word, key = np.divmod(entries, KEYS)
+            total = np.bincount(word, weights=np.where(key < N_CLASSES, n, 0), minlength=len(ids))
+            stays = (ids < fixed) | (ids % parts != at % parts)
+            chosen = np.where(stays, now, _best(matrix, now, ids % TURNS, word, key, n))
+            return pa.table({"id": ids, "n": total.astype(np.int64), "class": chosen.astype(np.int32)})
+
+        chosen = scratch.write(packed.where("part >= 0").groupBy("part").applyInArrow(choose, "id long, n long, class int"), "classes")
+        kinds = model.kinds.copy()
+        got = chosen.where(F.col("id") < n_near).select("id", "class").toArrow()
+        kinds[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return model._replace(kinds=kinds, placed=chosen.where(F.col("id") >= first_far))
+
+    packed, matrix, reached = gathered(model, groups)
+    done, parts = 0, 1
+    while done < rounds and parts <= TURNS:
+        tried = moved(model, packed, matrix, parts, done)
+        after = gathered(tried, groups if done < rounds - 1 else 0)
+        if after[2] > reached:
+            scratch.drop(packed)
+            model, (packed, matrix, reached), done = tried, after, done + 1
+        else:
+            scratch.drop(after[0])
+            parts *= 8
+    scratch.drop(packed)
+    if model.placed is None:
+        return model
+    mass = np.ones(N_CLASSES)
+    np.add.at(mass, model.kinds, [n + 1 for _, n in model.near])
+    for c, n in model.placed.groupBy("class").agg(F.sum("n") + F.count("*")).collect():
+        mass[c] += n
+    if END not in {w for w, _ in model.near}:
+        mass[end] = model.mass[end]
+    return model._replace(transition=transitions(matrix), mass=mass)
+
+
+def score_encoded(encoded: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """``score`` of rows that ``encode`` wrote, with a model that has its most frequent words from the same ``fit``."""
+    shared = encoded.sparkSession.sparkContext.broadcast((model.kinds, np.log10(np.array([n for _, n in model.near], dtype=float) + 1)))
+    n_all, end = float(np.log10(model.tokens + model.distinct + 1)), int(model.classes[model.sizes.clustered])
+    transition, log_mass = model.transition, np.log10(model.mass)
+    fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField(*f) for f in fields])
+
+    def run(batches):
+        kinds, logs = shared.value
+        for batch in _pieces(batches):
+            starts, codes, kind, _, counts = _sequences(batch, kinds)
+            near = codes >= 0
+            base = np.log10(np.maximum(counts, 0) + 1.0)
+            base[near] = logs[codes[near]]
+            before = np.concatenate([[end], kind[:-1]])
+            lengths = np.diff(starts, append=len(codes))
+            base_score = np.add.reduceat(base, starts)
+            step = np.add.reduceat(base + transition[before, kind] - log_mass[kind], starts)
+            known = np.add.reduceat((near | (counts > 0)).astype(np.int64), starts)
+            made = [pa.array(lengths), pa.array(known), pa.array(base_score - lengths * n_all), pa.array(step)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=schema.names)
+
+    scored = _classified(encoded, model).select(*keep, "__codes", "__far", "__found").mapInArrow(releasing(run), schema)
+    return scored.select(*keep, "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, keep: list[str], scratch: Scratch, text: str = "text") -> DataFrame:
+    """``keep`` columns of each row with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
+
+    ``score`` is the model's log10 probability of the words and the end: of each one's class after the class before (the
+    end before the first), times the word's share of its class with one added. Words never seen have a class, too,
+    by their ending. ``base_score`` is the sum of log10((count + 1) / (all tokens + distinct + 1)).
+
+    Null texts are empty and consist of the end alone. Repeated rows are scored each; null values in other columns do not matter; columns of
+    ``keep`` named like the results are replaced.
+    """
+    keep = [c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    return score_encoded(encode(docs, model, keep, scratch, text), model, keep)
