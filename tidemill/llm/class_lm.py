@@ -334,8 +334,8 @@ def gains(matrix: np.ndarray, now: np.ndarray, word: np.ndarray, key: np.ndarray
         other, base = (right if side is left else left), _xlogx(cells)
         rare = np.stack([_xlogx(cells + m) - base for m in range(1, 9)])
         w, x = np.nonzero(side)
-        for at in range(0, len(w), 1 << 14):
-            i, j = w[at:at + (1 << 14)], x[at:at + (1 << 14)]
+        for at in range(0, len(w), 1 << 11):
+            i, j = w[at:at + (1 << 11)], x[at:at + (1 << 11)]
             m = side[i, j][:, None]
             often = np.flatnonzero(m[:, 0] > len(rare))
             change = rare[np.minimum(m[:, 0].astype(int), len(rare)) - 1, j]
@@ -386,16 +386,21 @@ def _profiles(encoded: DataFrame, model: Model, groups: int) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model.kinds)
     end, most = int(model.classes[model.sizes.clustered]), model.sizes.entries
 
-    def pack(entries, n, kind_of):
+    def pack(held, kinds_held):
+        entries, n = np.unique(np.concatenate(held), return_counts=True)
         ids, key = np.divmod(entries, KEYS)
-        order = np.argsort(ids // TURNS % groups, kind="stable")
-        ids, key, n, kind_of = ids[order], key[order], n[order], kind_of[order]
+        kind_of = (np.unique(np.concatenate(kinds_held)) % 128).astype(np.uint8)  # in the order of ids
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        many, ids = np.diff(first, append=len(key)), ids[first]
         part = ids // TURNS % groups
+        order = np.argsort(part, kind="stable")
+        upto = np.cumsum(many[order])
+        at = np.repeat(first[order] - (upto - many[order]), many[order]) + np.arange(len(key))
+        key, n, ids, many, kind_of, part = key[at].astype(np.uint8), n[at].astype(np.int32), ids[order], many[order].astype(np.uint8), kind_of[order], part[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=groups))
         for a, b in zip(cuts, cuts[1:]):
-            first = np.flatnonzero(np.diff(ids[a:b], prepend=-1))
-            yield (int(part[a]), ids[a:b][first].tobytes(), np.diff(first, append=b - a).astype(np.uint8).tobytes(), kind_of[a:b][first].astype(np.uint8).tobytes(),
-                   key[a:b].astype(np.uint8).tobytes(), n[a:b].astype(np.int32).tobytes())
+            i, j = upto[a - 1] if a else 0, upto[b - 1]
+            yield int(part[a]), ids[a:b].tobytes(), many[a:b].tobytes(), kind_of[a:b].tobytes(), key[i:j].tobytes(), n[i:j].tobytes()
 
     names = ["part", "ids", "many", "kinds", "keys", "n"]
 
@@ -404,13 +409,8 @@ def _profiles(encoded: DataFrame, model: Model, groups: int) -> DataFrame:
             some = rows[at:at + 64]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.binary() if i else pa.int32()) for i in range(6)], names=names)
 
-    def merged(held):
-        entries, n, kind = (np.concatenate(x) for x in zip(*held))
-        entries, first, to = np.unique(entries, return_index=True, return_inverse=True)
-        return entries, np.bincount(to, weights=n).astype(np.int64), kind[first]
-
     def run(batches):
-        kinds, held, size = shared.value, [], 0
+        kinds, held, kinds_held, size = shared.value, [], [], 0
         matrix = np.zeros(N_CLASSES * N_CLASSES, dtype=np.int64)
         for batch in _pieces(batches):
             _, _, kind, ids, _ = _sequences(batch, kinds)
@@ -420,17 +420,14 @@ def _profiles(encoded: DataFrame, model: Model, groups: int) -> DataFrame:
                 continue
             i = np.flatnonzero(kind != end)  # all others have a token after them
             same = i[ids[i] == ids[i + 1]]
-            entries = np.concatenate([ids[i] * KEYS + before[i], ids[i] * KEYS + N_CLASSES + kind[i + 1], ids[same] * KEYS + KEYS - 1])
-            held.append(merged([(entries, np.ones(len(entries)), np.concatenate([kind[i], kind[i], kind[same]]).astype(np.uint8))]))
-            size += len(held[-1][0])
+            held += [ids[i] * KEYS + before[i], ids[i] * KEYS + N_CLASSES + kind[i + 1], ids[same] * KEYS + KEYS - 1]
+            kinds_held.append(np.unique(ids[i] * 128 + kind[i]))
+            size += 2 * len(i) + len(same)
             if size > most:
-                held = [merged(held)]
-                size = len(held[0][0])
-                if 2 * size > most:
-                    yield from records([*pack(*held[0])])
-                    held, size = [], 0
+                yield from records([*pack(held, kinds_held)])
+                held, kinds_held, size = [], [], 0
         if size:
-            yield from records([*pack(*merged(held))])
+            yield from records([*pack(held, kinds_held)])
         yield from records([(-1, matrix.tobytes(), b"", b"", b"", b"")])
 
     schema = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in names[1:]])
