@@ -106,9 +106,10 @@ def op10(spark, sf_dir):
     """Class-based bigram scores of every document, learned from six sevenths of them."""
     scratch = Scratch(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(bucket_of("doc_id", 7) == 2, F.lit(False)).alias("held_out"))
-    model, keep = class_lm.fit(docs.where("NOT held_out"), scratch), ["doc_id", "held_out"]
-    encoded = class_lm.encode(docs, model, keep, scratch)
-    return class_lm.score_encoded(encoded, class_lm.place(encoded.where("NOT held_out"), model, scratch), keep)
+    words, keep = class_lm.count_words(docs.where("NOT held_out"), scratch), ["doc_id", "held_out"]
+    encoded = class_lm.encode(docs, words, keep, scratch)
+    train = encoded.where("NOT held_out")
+    return class_lm.score_encoded(encoded, class_lm.place(train, class_lm.cluster(train, words), scratch), keep)
 
 
 def token_digests(files: DataFrame) -> DataFrame:
