@@ -255,6 +255,29 @@ def test_rare_words_go_by_their_neighbours_not_by_their_ending(spark):
     assert total(placed) > total(model) + 100
 
 
+def test_sweeps_move_no_texts(spark):
+    df, scratch = frame(spark, seasons(40)), Scratch(spark)
+    words = class_lm.count_words(df, scratch, sizes=class_lm.Sizes(4, 4, 100))
+    encoded = class_lm.encode(df, words, ["doc_id"], scratch)
+    model = class_lm.cluster(encoded, words)
+    links = class_lm._links(encoded, model, scratch, 3)
+    chosen = links.select("part", "ids", "kinds")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    near, far = class_lm._near_profiles(encoded, model, 3, True), class_lm._far_profiles(links, chosen, model, 3, True)
+    assert "Join" not in plan(near) and "Aggregate" not in plan(near) and "Repartition" not in plan(near)
+    assert "__codes" not in plan(far)
+    whole = class_lm.fit(df, scratch, sizes=class_lm.Sizes(4, 4, 100))
+    assert (whole.classes == model.classes).all() and (whole.transition == model.transition).all() and (whole.mass == model.mass).all()
+
+
+def test_words_in_arrow_are_the_tokens():
+    texts = [b"  A b\x0b\x0cC\tdd  ", None, b"", b" ", b"x\xc2\xa0Y \xc3\x89\xc2\x85z", b"Z\r\n\r\nq\x1fq z\x00 \x00"]
+    many, words = class_lm._words_of(class_lm.pa.array(texts, class_lm.pa.binary()))
+    want = [class_lm.tokens(t)[:-1] for t in texts]
+    assert list(many) == [len(t) for t in want] and words.to_pylist() == sum(want, [])
+    assert list(class_lm._endings(words)) == [class_lm.ending(w) for w in sum(want, [])]
+
+
 def test_frequent_words_are_bounded_by_number_and_length(spark):
     rows = [(b"w%d" % i, 1000 - i // 2) for i in range(600)] + [(b"once%d" % i, 1) for i in range(20_000)] + [(b"x" * 65, 5000)]
     table = spark.createDataFrame(rows, "word binary, n long")

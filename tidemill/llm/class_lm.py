@@ -277,9 +277,13 @@ def cluster(encoded: DataFrame, model: Model) -> Model:
     shared = encoded.sparkSession.sparkContext.broadcast(np.array([unit(w, rank, clustered) for w, _ in model.near], dtype=np.int64))
 
     def bigrams(batches):
-        kinds, seen = shared.value + CLASSES - clustered, np.zeros(units * units, dtype=np.int64)
+        unit_of, seen = shared.value, np.zeros(units * units, dtype=np.int64)
         for batch in _pieces(batches):
-            u = _sequences(batch, kinds)[2] + clustered - CLASSES  # classes of endings follow CLASSES as their units follow the clustered
+            codes, _, other, (start,) = _codes(batch, "start")
+            u = np.zeros(len(codes), dtype=np.int64)
+            if len(unit_of):
+                unit_of.take(codes, out=u, mode="clip")
+            u[other] = start + clustered - CLASSES  # classes of endings follow CLASSES as their units follow the clustered
             np.add.at(seen, np.concatenate([[clustered], u[:-1]]) * units + u, 1)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "n"])
@@ -361,11 +365,11 @@ def encode(docs: DataFrame, model: Model, keep: list[str], scratch: Scratch, tex
 
     out = [T.StructField("__codes", T.BinaryType()), T.StructField("__words", T.ArrayType(T.StructType([
         T.StructField("word", T.BinaryType()), T.StructField("start", T.IntegerType())])))]
-    rows = scratch.write(map_text(docs, keep, F.col(text), make, out).withColumn("__row", F.monotonically_increasing_id()), "codes")
+    rows = scratch.write(map_text(docs, keep, F.col(text), make, out).withColumn("__row", F.monotonically_increasing_id()), "codes", "zstd")
     words = rows.select("__row", F.posexplode("__words").alias("k", "w")).select("__row", "k", "w.word", "w.start")
     known = words.join(model.vocabulary.select("word", (F.col("id") + _first_far(model)).alias("id"), "n").hint("merge"), "word", "left")
     found = _by_row(known.select("__row", "k", "start", "id", "n"), "__far")
-    encoded = scratch.write(rows.drop("__words").join(found.hint("merge"), "__row", "left"), "encoded")
+    encoded = scratch.write(rows.drop("__words").join(found.hint("merge"), "__row", "left"), "encoded", "zstd")
     scratch.drop(rows)
     return encoded
 
@@ -397,6 +401,19 @@ def _pieces(batches, most: int = 1 << 20):
                 yield batch.slice(a, b - a)
 
 
+def _codes(batch: pa.RecordBatch, *fields: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(codes of all tokens of a batch, places of the texts' ends, places of words that are not among the most frequent, ``fields`` of those)."""
+    texts, far = batch.column("__codes").to_pylist(), batch.column("__far")
+    codes, upto = np.frombuffer(b"".join(texts), dtype=np.int32), np.cumsum([len(x) // 4 for x in texts])
+    many = far.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    at = np.cumsum(many) - many
+    held = {name: np.zeros(many.sum(), dtype=np.int64) for name in fields}
+    _spread(far, at, held)
+    other = np.flatnonzero(codes < 0)
+    place = at[np.searchsorted(upto, other, side="right")] - 1 - codes[other]
+    return codes, upto - 1, other, [held[name][place] for name in fields]
+
+
 def _sequences(batch: pa.RecordBatch, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first token of each row, codes, class, id, count) of all tokens of a batch, one text after the other; counts of the most frequent words are 0."""
     texts = [np.frombuffer(x, dtype=np.int32) for x in batch.column("__codes").to_pylist()]
@@ -554,7 +571,7 @@ class _Entries:
 
     def _pack(self):
         """Entries by part, then the classes of rare words, which come without entries."""
-        held = np.concatenate([*self.held, np.zeros(0, dtype=np.int64)])
+        held = np.concatenate(self.held) if self.held else np.zeros(0, dtype=np.int64)
         if all(x is None for x in self.counts):
             entries, n = np.unique(held, return_counts=True)
         else:
@@ -562,7 +579,7 @@ class _Entries:
             entries, counts = held[order], np.concatenate(self.counts)[order]
             first = np.flatnonzero(np.diff(entries, prepend=-1))
             entries, n = entries[first], np.add.reduceat(counts, first) if len(first) else counts
-        ids, key = np.divmod(entries, KEYS)
+        ids, key = np.divmod(entries.astype(np.int64), KEYS)
         first = np.flatnonzero(np.diff(ids, prepend=-1))
         many, ids = np.diff(first, append=len(key)), ids[first]
         key, n = key.astype(np.uint8), n.astype(np.int32)
@@ -582,7 +599,6 @@ def _links(encoded: DataFrame, model: Model, scratch: Scratch, groups: int) -> D
     ``others`` is twice the neighbour's id (-1 for a text's end), plus 1 where it comes after. A part's records are put together in bounded ones.
     """
     most, end = model.sizes.entries, int(model.classes[model.sizes.clustered])
-    n_near = len(model.near)
 
     def pack(held):
         ids, other, kind = (np.concatenate(x) for x in zip(*held))
@@ -597,12 +613,15 @@ def _links(encoded: DataFrame, model: Model, scratch: Scratch, groups: int) -> D
             yield part, ids[w].tobytes(), many[w].astype(np.int32).tobytes(), kind[w].tobytes(), other[e].tobytes(), n[e].tobytes()
 
     def run(batches):
-        held, size, unplaced = [], 0, np.zeros(n_near, dtype=np.int64)
+        held, size = [], 0
         for batch in _pieces(batches):
-            starts, codes, kind, ids, _ = _sequences(batch, unplaced)
-            ids[np.append(starts[1:], len(ids)) - 1] = -1
-            i = np.flatnonzero((codes < 0) & (ids >= 0) & (kind != end))
-            held.append((np.tile(ids[i], 2), np.concatenate([np.where(i > 0, ids[i - 1], -1) * 2, ids[i + 1] * 2 + 1]), np.tile(kind[i], 2)))
+            codes, ends, i, (found, kind) = _codes(batch, "id", "start")
+            ids = codes.astype(np.int64)
+            ids[i] = found
+            ids[ends] = -1
+            mine = (found >= 0) & (kind != end)
+            i, kind = i[mine], kind[mine]
+            held.append((np.tile(ids[i], 2), np.concatenate([np.where(i > 0, ids[i - 1], -1) * 2, ids[i + 1] * 2 + 1]), np.tile(kind, 2)))
             size += 2 * len(i)
             if size > most:
                 yield from _records([*pack(held)], LINKED)
@@ -635,25 +654,29 @@ def _near_profiles(encoded: DataFrame, model: Model, groups: int, full: bool) ->
     end, most = int(model.classes[model.sizes.clustered]), model.sizes.entries
 
     def run(batches):
-        kinds = np.append(shared.value, end)  # the last one, -1, is a text's end
+        kinds = np.append(shared.value, end).astype(np.int32)  # the last one, -1, is a text's end
         moves = (kinds != end) & (np.arange(len(kinds)) >= fixed)
+        wide = np.int32 if len(kinds) * KEYS < 1 << 31 else np.int64
+        base = np.arange(len(kinds), dtype=wide) * KEYS  # of each word's entries
         found = _Entries(groups, most)
         for batch in _pieces(batches):
-            texts = [np.frombuffer(x, dtype=np.int32) for x in batch.column("__codes").to_pylist()]
-            b = np.concatenate(texts).astype(np.int64)
+            texts = batch.column("__codes").to_pylist()
+            b = np.frombuffer(b"".join(texts), dtype=np.int32).copy()
             far = b < 0
-            ends = np.cumsum([len(x) for x in texts]) - 1
-            b[ends], far[ends] = -1, False
-            a = np.concatenate([[-1], b[:-1]])
-            keep = ~(far | np.concatenate([[False], far[:-1]]))
-            a, b = a[keep], b[keep]
-            before, after = kinds[a], kinds[b]
+            ends = np.cumsum([len(x) // 4 for x in texts]) - 1
+            b[ends], far[ends] = len(kinds) - 1, False
+            a = np.concatenate([b[-1:], b[:-1]])  # the last token of a batch is an end, as the one before the first
+            if far.any():
+                keep = np.flatnonzero(~(far | np.concatenate([[False], far[:-1]])))
+                a, b = a.take(keep), b.take(keep)
+            before, after = kinds.take(a), kinds.take(b)
             found.matrix += np.bincount(before * N_CLASSES + after, minlength=len(found.matrix))
             if full:
-                left, right = moves[b], moves[a]
-                found.add(b[left] * KEYS + before[left])
-                found.add(a[right] * KEYS + N_CLASSES + after[right])
-                found.add(b[(a == b) & left] * KEYS + KEYS - 1)
+                left, right = np.flatnonzero(moves.take(b)), np.flatnonzero(moves.take(a))
+                found.add(base.take(b.take(left)) + before.take(left))
+                found.add(base.take(a.take(right)) + (after.take(right) + N_CLASSES))
+                same = left[a.take(left) == b.take(left)]
+                found.add(base.take(b.take(same)) + (KEYS - 1))
                 yield from found.take()
         yield from found.end()
 

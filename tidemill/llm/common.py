@@ -72,9 +72,9 @@ class Scratch:
     def __init__(self, spark):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
